@@ -396,18 +396,20 @@ def score_relevance(spark, sf):
 
 
 @query("filter_relevant", check(f"""
-    with t as (select query_id, chunk_id, query_text as q, concat(filename, ' ', text) as a, {rule_sql('query_text', X.TOPICS)} as topic,
-                      chunk_topic from {{questions}} join {{passages}} using (label))
-    select * from (select query_id, chunk_id, SCORE / 100.0 as relevance from t) where relevance >= 0.28""")
+    with t as (select session_id, turn, query as q, concat('session_', session_id % 7, ' ', answer) as a,
+                      {rule_sql('query', X.TOPICS)} as topic, {rule_sql('answer', X.TOPICS)} as chunk_topic
+               from {{turn_pairs}} where answer is not null)
+    select * from (select session_id, turn, SCORE / 100.0 as relevance from t) where relevance >= 0.28""")
        .replace("SCORE", relevance_sql("a", "q", "topic", "chunk_topic")))
 def filter_relevant(spark, sf):
     from ..plans.retrieval import filter_relevant as keep
 
-    q = view(spark, sf, "questions").select("query_id", "query_text", "label")
-    p = view(spark, sf, "passages").select("chunk_id", "text", "filename", "chunk_topic", "label")
-    pairs = q.join(p, "label").withColumn("topic", TO.detect_topic("query_text", X.TOPICS, flags=""))
-    return keep(pairs, prefix="filename", **RELEVANCE_RULES).select(
-        "query_id", "chunk_id", F.col("relevance").cast("double").alias("relevance"))
+    t = view(spark, sf, "turn_pairs").where(F.col("answer").isNotNull()).select(
+        "session_id", "turn", F.col("query").alias("query_text"), F.col("answer").alias("text"),
+        F.concat(F.lit("session_"), F.col("session_id") % 7).alias("filename"),
+        TO.detect_topic("query", X.TOPICS, flags="").alias("topic"), TO.detect_topic("answer", X.TOPICS, flags="").alias("chunk_topic"))
+    return keep(t, prefix="filename", **RELEVANCE_RULES).select(
+        "session_id", "turn", F.col("relevance").cast("double").alias("relevance"))
 
 
 @query("build_search_terms")

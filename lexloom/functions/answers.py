@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..rules import domain as D
 from . import privacy
-from .text import any_contains, bullets, lit_or_col, replace_all, strip
+from .text import any_contains, bullets, let, lit_or_col, replace_all, strip
 
 DEC = "decimal(12,4)"
 
@@ -31,26 +31,28 @@ def parse_sections(c, sections=D.ANSWER_SECTIONS) -> Column:
     An answer without an answer header is kept whole and has no lists.
     """
     c = F.coalesce(lit_or_col(c), F.lit(""))
-    raw = {name: section_text(c, header, ends) for name, header, ends in sections}
-    formed = raw["answer"].isNotNull()
-    blank = strip(c) == ""
+    raw = F.struct(*[section_text(c, header, ends).alias(name) for name, header, ends in sections])
     none = F.array().cast("array<string>")
-    fields = [
-        F.when(blank, F.lit(D.EMPTY_ANSWER)).when(formed, raw["answer"]).otherwise(strip(c)).alias("answer")
-    ]
-    for name, _, _ in sections[1:]:
-        items = F.when(formed, bullets(F.coalesce(raw[name], F.lit("")))).otherwise(none)
-        if name == "important_notes":
-            items = F.when(blank, F.array(F.lit(D.EMPTY_ANSWER_NOTE))).otherwise(items)
-        fields.append(items.alias(name))
-    return F.struct(*fields, formed.alias("is_well_formed"))
+
+    def build(r):
+        formed, blank = r["answer"].isNotNull(), strip(c) == ""
+        fields = [
+            F.when(blank, F.lit(D.EMPTY_ANSWER)).when(formed, r["answer"]).otherwise(strip(c)).alias("answer")
+        ]
+        for name, _, _ in sections[1:]:
+            items = F.when(formed, bullets(F.coalesce(r[name], F.lit("")))).otherwise(none)
+            if name == "important_notes":
+                items = F.when(blank, F.array(F.lit(D.EMPTY_ANSWER_NOTE))).otherwise(items)
+            fields.append(items.alias(name))
+        return F.struct(*fields, formed.alias("is_well_formed"))
+
+    return let(raw, build)
 
 
 def quality_gaps(answer, next_steps, risks, related_forms, important_notes, query, topic, law_count, case_count,
                  court_count, fact_checks=D.FACT_CHECKS, figure_check=D.FIGURE_CHECK, flags: str = D.I) -> Column:
     """ARRAY of gap messages, in a fixed order, before the format gap is added."""
     answer, query, topic = lit_or_col(answer), lit_or_col(query), lit_or_col(topic)
-    low = F.replace(F.lower(F.coalesce(answer, F.lit(""))), F.lit(","), F.lit(""))
     g = D.QUALITY_GAPS
     n_steps = F.size(lit_or_col(next_steps))
     forms_gap = g["no_forms"].split("{topic}")
@@ -65,6 +67,15 @@ def quality_gaps(answer, next_steps, risks, related_forms, important_notes, quer
         F.when(lit_or_col(law_count) == 0, F.lit(g["no_laws"])),
         F.when((lit_or_col(case_count) == 0) & (lit_or_col(court_count) == 0), F.lit(g["no_cases"])),
     ]
+    low_text = F.replace(F.lower(F.coalesce(answer, F.lit(""))), F.lit(","), F.lit(""))
+    return F.filter(
+        let(low_text, lambda low: F.array(*checks, *_content_gaps(low, query, fact_checks, figure_check, flags))),
+        lambda x: x.isNotNull(),
+    )
+
+
+def _content_gaps(low, query, fact_checks, figure_check, flags):
+    checks, g = [], D.QUALITY_GAPS
     for query_pattern, topic_pattern, facts in fact_checks:
         asked = query.rlike(flags + query_pattern)
         if topic_pattern:
@@ -79,7 +90,7 @@ def quality_gaps(answer, next_steps, risks, related_forms, important_notes, quer
         for p in patterns[1:]:
             asked = asked & query.rlike(flags + p)
         checks.append(F.when(asked & ~any_contains(low, figures), F.lit(g["figure"])))
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return checks
 
 
 def completeness(n_gaps, is_well_formed) -> Column:
@@ -103,19 +114,23 @@ def source_summary(law_count, case_count, court_count) -> Column:
 def assess(query, topic, law_count, case_count, court_count, parsed="parsed", **rules) -> Column:
     """STRUCT(gaps, completeness, source_summary, notes) for a parsed answer."""
     p = lit_or_col(parsed)
-    gaps = quality_gaps(
+    found = quality_gaps(
         p["answer"], p["next_steps"], p["risks"], p["related_forms"], p["important_notes"],
         query, topic, law_count, case_count, court_count, **rules,
     )
-    all_gaps = F.when(p["is_well_formed"], gaps).otherwise(
-        F.concat(F.array(F.lit(D.QUALITY_GAPS["malformed"])), gaps)
-    )
-    return F.struct(
-        all_gaps.alias("gaps"),
-        completeness(F.size(gaps), p["is_well_formed"]).alias("completeness"),
-        source_summary(law_count, case_count, court_count).alias("source_summary"),
-        F.concat(p["important_notes"], F.array_except(all_gaps, p["important_notes"])).alias("notes"),
-    )
+
+    def build(gaps):
+        with_format = F.when(p["is_well_formed"], gaps).otherwise(
+            F.concat(F.array(F.lit(D.QUALITY_GAPS["malformed"])), gaps)
+        )
+        return F.struct(
+            with_format.alias("gaps"),
+            completeness(F.size(gaps), p["is_well_formed"]).alias("completeness"),
+            source_summary(law_count, case_count, court_count).alias("source_summary"),
+            F.concat(p["important_notes"], F.array_except(with_format, p["important_notes"])).alias("notes"),
+        )
+
+    return let(found, build)
 
 
 def confidence(law_count, case_count, court_count, is_well_formed, completeness_score, gap_count,
@@ -133,16 +148,20 @@ def confidence(law_count, case_count, court_count, is_well_formed, completeness_
         + dec(lit_or_col(completeness_score)) * dec(weights["completeness"])
         - F.least(dec(gaps) * dec(weights["gap"][0]), dec(weights["gap"][1]))
     )
-    score = F.least(F.greatest(F.round(raw, 2), dec("0")), dec("1")).cast("decimal(5,2)")
+    final = F.least(F.greatest(F.round(raw, 2), dec("0")), dec("1")).cast("decimal(5,2)")
     (high, high_min, high_label), (mid, mid_min, mid_label), (low, _, low_label) = bands
-    is_high = (score >= dec(high_min)) & (gaps <= 1)
-    is_mid = ~is_high & (score >= dec(mid_min))
-    return F.struct(
-        score.alias("score"),
-        F.when(is_high, high).when(is_mid, mid).otherwise(low).alias("level"),
-        F.when(is_high, high_label).when(is_mid, mid_label).otherwise(low_label).alias("label"),
-        F.when(is_high, False).when(is_mid, gaps >= 3).otherwise(True).alias("needs_review"),
-    )
+
+    def build(score):
+        is_high = (score >= dec(high_min)) & (gaps <= 1)
+        is_mid = ~is_high & (score >= dec(mid_min))
+        return F.struct(
+            score.alias("score"),
+            F.when(is_high, high).when(is_mid, mid).otherwise(low).alias("level"),
+            F.when(is_high, high_label).when(is_mid, mid_label).otherwise(low_label).alias("label"),
+            F.when(is_high, False).when(is_mid, gaps >= 3).otherwise(True).alias("needs_review"),
+        )
+
+    return let(final, build)
 
 
 def sanitize(c, pii=D.PII_PATTERNS, repairs=D.ANSWER_REPAIRS, labels=D.ANSWER_LABEL_REMOVALS,

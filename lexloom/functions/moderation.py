@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import domain as D
-from .text import any_match, lit_or_col, replace_all, strip, word_count
+from .text import any_match, let, lit_or_col, replace_all, strip, word_count
 
 
 def keyword_condition(c: Column, word: str) -> Column:
@@ -20,7 +20,7 @@ def keyword_condition(c: Column, word: str) -> Column:
 
 def scope_score(c, words=D.SCOPE_KEYWORDS, spellings=D.CODE_SPELLINGS) -> Column:
     text = replace_all(F.lower(lit_or_col(c)), [(D.I + p, r) for p, r in spellings])
-    return sum([keyword_condition(text, w).cast("int") for w in words], F.lit(0))
+    return let(text, lambda t: sum([keyword_condition(t, w).cast("int") for w in words], F.lit(0)))
 
 
 def moderate(c, blocked=D.BLOCKED_PATTERNS, warning=D.WARNING_PATTERNS, words=D.SCOPE_KEYWORDS,
@@ -42,8 +42,8 @@ def moderate(c, blocked=D.BLOCKED_PATTERNS, warning=D.WARNING_PATTERNS, words=D.
         .otherwise("safe")
     )
     table = F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv])
-    return F.struct(
-        F.when(verdict.isin("warning", "safe"), verdict).otherwise(F.lit("blocked")).alias("status"),
-        F.element_at(table, verdict).alias("reason"),
-        verdict.isin("warning", "safe").alias("is_safe"),
-    )
+    return let(verdict, lambda v: F.struct(
+        F.when(v.isin("warning", "safe"), v).otherwise(F.lit("blocked")).alias("status"),
+        F.element_at(table, v).alias("reason"),
+        v.isin("warning", "safe").alias("is_safe"),
+    ))

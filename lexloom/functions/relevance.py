@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..rules import domain as D
 from .answers import dec
-from .text import any_match, lit_or_col, tokens
+from .text import any_match, let, lit_or_col, tokens
 
 
 def _for_topic(topic: Column, table: dict, make) -> Column:
@@ -34,29 +34,38 @@ def score_text(text, query, topic=None, chunk_topic=None, *, stop_words=D.RELEVA
     none = F.lit(None).cast("string")
     topic = F.nullif(lit_or_col(topic), F.lit("")) if topic is not None else none
     chunk_topic = F.nullif(lit_or_col(chunk_topic), F.lit("")) if chunk_topic is not None else none
-    haystack = F.regexp_replace(F.lower(text), "[_-]+", " ")
-    asked = tokens(query, stop_words)
-    shared = F.size(F.array_intersect(asked, tokens(text, stop_words)))
-    score = F.least(dec(shared) * dec("0.14"), dec("0.42"))
-
-    about = _for_topic(topic, topic_patterns, lambda ps: any_match(haystack, ps, flags))
-    score = score + F.coalesce(
-        F.when(about, dec("0.32"))
-        .when(~about & (_stem(chunk_topic) == _stem(topic)), dec("0.22"))
-        .when(~about & (chunk_topic != topic), dec("-0.2")),
-        dec("0"),
+    prepared = F.struct(
+        F.regexp_replace(F.lower(text), "[_-]+", " ").alias("hay"),
+        tokens(query, stop_words).alias("asked"), tokens(text, stop_words).alias("has"),
     )
-    wrong = F.when(about.isNotNull(), _for_topic(topic, mismatch, lambda ps: _hits(haystack, ps, flags)))
-    score = score - dec("0.5") * dec(F.coalesce(wrong, F.lit(0)))
-    for pattern, patterns in question_mismatch:
-        off = F.when(query.rlike(flags + pattern), _hits(haystack, patterns, flags)).otherwise(0)
-        score = score - dec("0.55") * dec(off)
+
+    def measured(p):
+        return F.struct(
+            F.size(p["asked"]).alias("n_asked"),
+            F.size(F.array_intersect(p["asked"], p["has"])).alias("shared"),
+            _for_topic(topic, topic_patterns, lambda ps: any_match(p["hay"], ps, flags)).cast("boolean").alias("about"),
+            F.coalesce(_for_topic(topic, mismatch, lambda ps: _hits(p["hay"], ps, flags)), F.lit(0)).alias("wrong"),
+            sum([
+                F.when(query.rlike(flags + q), _hits(p["hay"], ps, flags)).otherwise(0) for q, ps in question_mismatch
+            ], F.lit(0)).alias("off"),
+        )
 
     gate = _for_topic(topic, pathway, lambda p: query.rlike(flags + p)) if pathway else F.lit(False)
-    blocked = F.coalesce(gate, F.lit(False)) & ~F.coalesce(about, F.lit(False))
-    return (
-        F.when((F.size(asked) == 0) | blocked, dec("0")).otherwise(F.greatest(score, dec("0"))).cast("decimal(12,4)")
-    )
+
+    def total(m):
+        about = m["about"]
+        score = F.least(dec(m["shared"]) * dec("0.14"), dec("0.42")) + F.coalesce(
+            F.when(about, dec("0.32"))
+            .when(~about & (_stem(chunk_topic) == _stem(topic)), dec("0.22"))
+            .when(~about & (chunk_topic != topic), dec("-0.2")),
+            dec("0"),
+        )
+        wrong = F.when(about.isNotNull(), m["wrong"]).otherwise(0)
+        score = score - dec("0.5") * dec(wrong) - dec("0.55") * dec(m["off"])
+        blocked = F.coalesce(gate, F.lit(False)) & ~F.coalesce(about, F.lit(False))
+        return F.when((m["n_asked"] == 0) | blocked, dec("0")).otherwise(F.greatest(score, dec("0"))).cast("decimal(12,4)")
+
+    return let(let(prepared, measured), total)
 
 
 def court_query_tokens(query, topic, stop_words=D.SEARCH_STOP_WORDS, anchors=D.COURT_ANCHORS) -> Column:
@@ -76,23 +85,27 @@ def court_overlap_score(name, summary, court, case_topics, prior, query_tokens,
     summary, asked, topic = lit_or_col(summary), lit_or_col(query_tokens), lit_or_col(topic)
     cites = lit_or_col(case_topics)
     text = F.lower(F.concat_ws(" ", F.coalesce(lit_or_col(name), F.lit("")), F.coalesce(summary, F.lit(""))))
-    score = F.least(
-        F.size(F.array_intersect(asked, tokens(text, stop_words))) * F.lit(0.12), F.lit(0.48)
-    )
-    for phrases in anchors.values():
-        first = None
-        for p in (x.lower() for x in phrases):
-            wanted = F.exists(asked, lambda t, p=p: F.contains(F.lit(p), t))
-            first = F.when(text.contains(p), wanted) if first is None else first.when(text.contains(p), wanted)
-        score = score + F.when(first, 0.2).otherwise(0.0)
+
+    def evidence(text):
+        score = F.least(F.size(F.array_intersect(asked, tokens(text, stop_words))) * F.lit(0.12), F.lit(0.48))
+        for phrases in anchors.values():
+            first = None
+            for p in (x.lower() for x in phrases):
+                wanted = F.exists(asked, lambda t, p=p: F.contains(F.lit(p), t))
+                first = F.when(text.contains(p), wanted) if first is None else first.when(text.contains(p), wanted)
+            score = score + F.when(first, 0.2).otherwise(0.0)
+        wrong = _for_topic(topic, mismatch, lambda ps: _hits(text, ps, flags))
+        return score - F.lit(0.45) * F.coalesce(wrong, F.lit(0))
+
     own = F.array_contains(cites, topic) | F.array_contains(cites, _stem(topic))
-    score = score + F.when(topic.isNull(), 0.0).when(own, 0.28).when(F.size(cites) > 0, -0.15).otherwise(0.0)
-    wrong = _for_topic(topic, mismatch, lambda ps: _hits(text, ps, flags))
-    score = score - F.lit(0.45) * F.coalesce(wrong, F.lit(0))
-    score = score + F.when(F.lower(lit_or_col(court)) == home_court, 0.08).otherwise(0.0)
     low = F.lower(F.coalesce(summary, F.lit("")))
-    score = score + F.when(F.exists(asked, lambda t: F.contains(low, t)), 0.1).otherwise(0.0)
-    score = score + F.least(lit_or_col(prior) * F.lit(0.05), F.lit(0.1))
+    score = (
+        let(text, evidence)
+        + F.when(topic.isNull(), 0.0).when(own, 0.28).when(F.size(cites) > 0, -0.15).otherwise(0.0)
+        + F.when(F.lower(lit_or_col(court)) == home_court, 0.08).otherwise(0.0)
+        + F.when(F.exists(asked, lambda t: F.contains(low, t)), 0.1).otherwise(0.0)
+        + F.least(lit_or_col(prior) * F.lit(0.05), F.lit(0.1))
+    )
     return F.when(F.size(asked) == 0, 0.0).otherwise(F.greatest(score, F.lit(0.0)))
 
 

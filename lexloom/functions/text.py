@@ -14,6 +14,11 @@ def lit_or_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(lit_or_col(c), r"(?U)^\s+|\s+$", "")

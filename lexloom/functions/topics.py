@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import domain as D
-from .text import any_contains, any_match, first_rule, lit_or_col, strip
+from .text import any_contains, any_match, first_rule, let, lit_or_col, strip
 
 
 def _pattern_test(flags):
@@ -51,16 +51,18 @@ def year_range(c, year=D.YEAR_REF, after=D.AFTER_PATTERN, before=D.BEFORE_PATTER
     c = lit_or_col(c)
     years = F.transform(F.regexp_extract_all(c, F.lit(year), F.lit(0)), lambda y: y.cast("int"))
     none = F.lit(None).cast("int")
-    lo, hi, n = F.array_min(years), F.array_max(years), F.size(years)
-    only_before = c.rlike(flags + before) & ~c.rlike(flags + after)
-    return F.struct(
-        F.when(n == 0, F.when(c.rlike(flags + recent), F.lit(recent_from)))
-        .when((n == 1) & only_before, none)
-        .otherwise(lo).alias("year_min"),
-        F.when(n == 0, none)
-        .when(n == 1, F.when(only_before, lo))
-        .otherwise(hi).alias("year_max"),
-    )
+
+    def bounds(ys):
+        lo, hi, n = F.array_min(ys), F.array_max(ys), F.size(ys)
+        only_before = c.rlike(flags + before) & ~c.rlike(flags + after)
+        return F.struct(
+            F.when(n == 0, F.when(c.rlike(flags + recent), F.lit(recent_from)))
+            .when((n == 1) & only_before, none)
+            .otherwise(lo).alias("year_min"),
+            F.when(n == 0, none).when(n == 1, F.when(only_before, lo)).otherwise(hi).alias("year_max"),
+        )
+
+    return let(years, bounds)
 
 
 def section_refs(c, pattern: str = D.SECTION_REF) -> Column:
@@ -99,15 +101,20 @@ def classify(text, header_topic=None, header_source=None, law_words=D.LAW_KEYWOR
     head_topic = F.nullif(header_topic, F.lit("")) if header_topic is not None else none
     trusted = F.coalesce(header_source == D.TRUSTED_LAW_SOURCE, F.lit(False)) if header_source is not None else F.lit(False)
     sample = F.lower(F.left(text, F.lit(D.CLASSIFY_SAMPLE_CHARS)))
-    law, case = keyword_hits(sample, law_words), keyword_hits(sample, case_words)
-    total = law + case
     topic = F.coalesce(head_topic, detect_topic(text, topic_patterns, D.TOPIC_SAMPLE_CHARS, flags))
-    return F.struct(
-        F.when(trusted | (law >= case), F.lit("law")).otherwise(F.lit("case")).alias("doc_type"),
-        F.when(trusted, F.lit(0.95)).when(total == 0, F.lit(0.5))
-        .otherwise(F.greatest(law, case) / total).alias("confidence"),
-        F.when(~trusted & (total == 0), none).otherwise(topic).alias("topic"),
-    )
+    scores = let(sample, lambda s: F.struct(keyword_hits(s, law_words).alias("law"), keyword_hits(s, case_words).alias("case")))
+
+    def verdict(k):
+        law, case = k["law"], k["case"]
+        silent = law + case == 0
+        return F.struct(
+            F.when(trusted | (law >= case), F.lit("law")).otherwise(F.lit("case")).alias("doc_type"),
+            F.when(trusted, F.lit(0.95)).when(silent, F.lit(0.5))
+            .otherwise(F.greatest(law, case) / (law + case)).alias("confidence"),
+            F.when(~trusted & silent, none).otherwise(topic).alias("topic"),
+        )
+
+    return let(scores, verdict)
 
 
 def outcome(c, rules=D.DECISION_OUTCOMES) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, headings, lit_or_col, strip
+from ..functions.text import clean_text, headings, let, lit_or_col, strip
 from ..rules import domain as D
 
 RULE = "=" * 20
@@ -24,49 +24,61 @@ def header_struct(c, keys=D.HEADER_KEYS, max_lines: int = D.HEADER_MAX_LINES) ->
     ``max_lines``. Of a repeated key the last value is taken.
     """
     text = lit_or_col(c)
-    lines = F.split(text, "\n")
-    trimmed = F.transform(lines, strip)
-    n = F.size(lines)
-    marks = F.transform(
-        trimmed,
-        lambda s, i: F.when(s.startswith(RULE), "rule")
-        .when(s.contains(":") & (i < max_lines), "header")
-        .when((s == "") | s.startswith("="), "blank")
-        .otherwise("body"),
-    )
-    first = lambda kind: F.array_position(marks, kind)
-    rule, body = first("rule"), first("body")
-    at_rule = (rule > 0) & ((body == 0) | (rule < body))
-    last_header = F.when(at_rule, rule - 1).when(body > 0, body - 1).otherwise(n.cast("bigint"))
-    head = F.filter(
-        F.slice(F.arrays_zip(trimmed.alias("s"), marks.alias("m")), F.lit(1), F.greatest(last_header, F.lit(0)).cast("int")),
-        lambda z: z["m"] == "header",
-    )
-    pairs = F.filter(
-        F.transform(
-            head,
-            lambda z: F.struct(
-                F.lower(strip(F.substring_index(z["s"], ":", 1))).alias("key"),
-                strip(F.substr(z["s"], F.instr(z["s"], ":") + 1)).alias("value"),
+
+    def marked(lines):
+        trimmed = F.transform(lines, strip)
+        kinds = F.transform(
+            trimmed,
+            lambda s, i: F.when(s.startswith(RULE), "rule")
+            .when(s.contains(":") & (i < max_lines), "header")
+            .when((s == "") | s.startswith("="), "blank")
+            .otherwise("body"),
+        )
+        return F.struct(lines.alias("lines"), trimmed.alias("trimmed"), kinds.alias("kinds"))
+
+    def located(m):
+        rule, body = F.array_position(m["kinds"], "rule"), F.array_position(m["kinds"], "body")
+        at_rule = (rule > 0) & ((body == 0) | (rule < body))
+        return F.struct(
+            m["lines"].alias("lines"), m["trimmed"].alias("trimmed"), m["kinds"].alias("kinds"),
+            F.when(at_rule, rule - 1).when(body > 0, body - 1).otherwise(F.size(m["lines"])).cast("int").alias("n_head"),
+            F.when(at_rule, rule).when(body > 1, body - 1).otherwise(0).cast("int").alias("start"),
+        )
+
+    def result(m):
+        zipped = F.arrays_zip(m["trimmed"].alias("s"), m["kinds"].alias("k"))
+        head = F.filter(F.slice(zipped, F.lit(1), m["n_head"]), lambda z: z["k"] == "header")
+        pairs = F.filter(
+            F.transform(
+                head,
+                lambda z: F.struct(
+                    F.lower(strip(F.substring_index(z["s"], ":", 1))).alias("key"),
+                    strip(F.substr(z["s"], F.instr(z["s"], ":") + 1)).alias("value"),
+                ),
             ),
-        ),
-        lambda p: p["key"].isin(*keys),
-    )
-    seen = F.transform(pairs, lambda p: p["key"])
-    last_of_key = F.filter(
-        pairs, lambda p, i: F.array_position(F.slice(seen, i + 2, F.greatest(F.size(seen), F.lit(1))), p["key"]) == 0
-    )
-    headers = F.map_from_entries(last_of_key)
+            lambda p: p["key"].isin(*keys),
+        )
+        rest = strip(F.array_join(F.slice(m["lines"], m["start"] + 1, F.size(m["lines"])), "\n"))
+        return F.struct(
+            let(let(pairs, _last_of_key), _title_from_policy).alias("headers"),
+            F.when(m["start"] > 0, rest).otherwise(text).alias("body"),
+        )
+
+    return let(let(let(F.split(text, "\n"), marked), located), result)
+
+
+def _last_of_key(pairs: Column) -> Column:
+    keys = F.transform(pairs, lambda p: p["key"])
+    later = lambda i: F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1)))
+    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(later(i), p["key"]) == 0))
+
+
+def _title_from_policy(headers: Column) -> Column:
     has = lambda k: F.coalesce(F.element_at(headers, k), F.lit("")) != ""
-    headers = F.when(
-        has("policy_title") & ~has("title"),
-        F.map_concat(
-            F.map_filter(headers, lambda k, v: k != "title"), F.create_map(F.lit("title"), F.element_at(headers, "policy_title"))
-        ),
-    ).otherwise(headers)
-    start = F.when(at_rule, rule).when(body > 1, body - 1).otherwise(F.lit(0).cast("bigint"))
-    rest = strip(F.array_join(F.slice(lines, (start + 1).cast("int"), n), "\n"))
-    return F.struct(headers.alias("headers"), F.when(start > 0, rest).otherwise(text).alias("body"))
+    renamed = F.map_concat(
+        F.map_filter(headers, lambda k, v: k != "title"), F.create_map(F.lit("title"), F.element_at(headers, "policy_title"))
+    )
+    return F.when(has("policy_title") & ~has("title"), renamed).otherwise(headers)
 
 
 def parse_documents(df: DataFrame) -> DataFrame:

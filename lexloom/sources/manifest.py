@@ -10,10 +10,11 @@ from ..rules import domain as D
 
 def expand(parts: DataFrame, prefix: str = D.CHAPTER_URL_PREFIX) -> DataFrame:
     """One URL per chapter of (volume, part, n_chapters)."""
-    return parts.select(
+    chapters = parts.select("volume", "part", F.explode(F.sequence(F.lit(1), F.col("n_chapters").cast("int"))).alias("chapter"))
+    return chapters.select(
         F.concat(
             F.lit(prefix), F.col("volume").cast("string"), F.lit("-part-"), F.col("part"), F.lit("-chapter-"),
-            F.explode(F.sequence(F.lit(1), F.col("n_chapters").cast("int"))).cast("string"),
+            F.col("chapter").cast("string"),
         ).alias("url")
     )
 

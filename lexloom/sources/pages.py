@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_contains, clean_text, lit_or_col, strip
+from ..functions.text import any_contains, clean_text, let, lit_or_col, strip
 from ..rules import domain as D
 
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
@@ -42,19 +42,26 @@ def page_text(c, tags=D.REMOVED_TAGS, classes=D.REMOVED_CLASSES, main_classes: s
         html = F.regexp_replace(
             html, rf'(?is)<(\w+)\b[^>]*\bclass\s*=\s*["\'][^"\']*{cls}[^"\']*["\'][^>]*>.*?</\1\s*>', ""
         )
+    return let(html, lambda h: _main_text(h, main_classes, min_chars))
+
+
+def _main_text(html: Column, main_classes: str, min_chars: int) -> Column:
     body = F.coalesce(_region(html, r"(?is)<body\b[^>]*>(.*)</body\s*>"), html)
+    marked = lambda attr: F.nullif(
+        F.regexp_extract(html, rf"(?is)<(\w+)\b[^>]*\b{attr}[^>]*>(.*?)</\1\s*>", 2), F.lit("")
+    )
     main = F.coalesce(
         _region(html, r"(?is)<main\b[^>]*>(.*?)</main\s*>"),
-        F.nullif(F.regexp_extract(html, r'(?is)<(\w+)\b[^>]*\bid\s*=\s*["\']main-content["\'][^>]*>(.*?)</\1\s*>', 2), F.lit("")),
-        F.nullif(
-            F.regexp_extract(
-                html, rf'(?is)<(\w+)\b[^>]*\bclass\s*=\s*["\'][^"\']*(?:{main_classes})[^"\']*["\'][^>]*>(.*?)</\1\s*>', 2
-            ), F.lit("")),
+        marked(r'id\s*=\s*["\']main-content["\']'),
+        marked(rf'class\s*=\s*["\'][^"\']*(?:{main_classes})[^"\']*["\']'),
         _region(html, r"(?is)<article\b[^>]*>(.*?)</article\s*>"),
         body,
     )
-    first, second = clean_text(_nodes(main)), clean_text(_nodes(body))
-    return F.when(F.length(first) >= min_chars, first).when(F.length(second) >= min_chars, second).otherwise(F.lit(""))
+    return let(
+        F.struct(clean_text(_nodes(main)).alias("main"), clean_text(_nodes(body)).alias("body")),
+        lambda t: F.when(F.length(t["main"]) >= min_chars, t["main"])
+        .when(F.length(t["body"]) >= min_chars, t["body"]).otherwise(F.lit("")),
+    )
 
 
 def links(pages: DataFrame, any_of=(), all_of=(), cut_suffix: bool = False, limit: int | None = None,
