@@ -16,6 +16,7 @@ from ..plans import court_search as CS
 from ..plans import retrieval as RE
 from ..rules import domain as D
 from ..rules import sample as X
+from ..session import materialise
 from ..sources.decisions import parse_search_results
 from .corpus import RESULT, plain
 from .registry import query
@@ -147,17 +148,18 @@ def over_dense(sql: str) -> str:
 def _cands(spark, sf):
     questions, passages = views(spark, sf, "questions", "passages")
     dense = V.knn(questions, passages, 16)
-    return dense.join(passages.drop("embedding", "label"), "chunk_id").join(questions.select("query_id", "query_text"), "query_id")
+    rows = dense.join(passages.drop("embedding", "label"), "chunk_id").join(questions.select("query_id", "query_text"), "query_id")
+    return materialise(rows, "candidates")
 
 
 @query("bm25_rescore", over_dense(" select query_id, chunk_id, round(bm25, 6) as bm25 from bm"))
 def bm25_rescore(spark, sf):
-    return RA.bm25(_cands(spark, sf), ["query_id"], "chunk_id").withColumn("bm25", F.round("bm25", 6))
+    return RA.bm25(_cands(spark, sf), ["query_id"], "chunk_id").select(
+        "query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 def _normed(spark, sf):
-    c = _cands(spark, sf)
-    return RA.normalise_by_max(c.join(RA.bm25(c, ["query_id"], "chunk_id"), ["query_id", "chunk_id"]), ["query_id"], "bm25", "bm25_score")
+    return RA.normalise_by_max(RA.bm25(_cands(spark, sf), ["query_id"], "chunk_id"), ["query_id"], "bm25", "bm25_score")
 
 
 @query("normalise_by_max", over_dense(" select query_id, chunk_id, round(bm25_score, 6) as bm25_score from norm"))

@@ -22,6 +22,10 @@ def _hits(text: Column, patterns, flags) -> Column:
     return sum([text.rlike(flags + p).cast("int") for p in patterns], F.lit(0))
 
 
+def _any_inside(words: Column, phrase: str) -> Column:
+    return F.exists(words, lambda w: F.contains(F.lit(phrase), w))
+
+
 def _stem(topic: Column) -> Column:
     return F.replace(topic, F.lit("_ead"), F.lit(""))
 
@@ -91,7 +95,7 @@ def court_overlap_score(name, summary, court, case_topics, prior, query_tokens,
         for phrases in anchors.values():
             first = None
             for p in (x.lower() for x in phrases):
-                wanted = F.exists(asked, lambda t, p=p: F.contains(F.lit(p), t))
+                wanted = _any_inside(asked, p)
                 first = F.when(text.contains(p), wanted) if first is None else first.when(text.contains(p), wanted)
             score = score + F.when(first, 0.2).otherwise(0.0)
         wrong = _for_topic(topic, mismatch, lambda ps: _hits(text, ps, flags))

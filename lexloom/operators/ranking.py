@@ -16,33 +16,37 @@ def words(c) -> Column:
 
 def bm25(cands: DataFrame, group: list[str], item: str, query_text: str = "query_text", text: str = "text",
          k1: float = D.BM25_K1, b: float = D.BM25_B, epsilon: float = D.BM25_EPSILON) -> DataFrame:
-    """(group, item, bm25): scores with statistics of the candidate set itself.
+    """Adds ``bm25``: scores with statistics of the candidate set itself.
 
     A term in more than half of the candidates gets a small share of the mean
-    idf in place of a negative weight. Groups are a few candidates per question.
+    idf in place of a negative weight. A group is a question with its few
+    candidates. ``cands`` is read more than once and should be a stored table;
+    text never travels with the exploded words.
     """
-    docs = cands.select(
-        *group, item, words(text).alias("_t"), words(query_text).alias("_q"),
-    ).withColumn("_len", F.size("_t"))
+    one = Window.partitionBy(*group)
+    docs = cands.select(*group, item, words(text).alias("_t"), words(query_text).alias("_q")).withColumn("_len", F.size("_t"))
     stats = docs.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
-    df = (
-        docs.select(*group, F.explode(F.array_distinct("_t")).alias("_w"))
-        .groupBy(*group, "_w").agg(F.count(F.lit(1)).alias("_df"))
-        .join(stats, group)
-        .withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
+    terms = (
+        docs.select(*group, item, "_len", F.explode("_t").alias("_w"))
+        .groupBy(*group, item, "_len", "_w").agg(F.count(F.lit(1)).alias("_tf"))
     )
-    floor = df.groupBy(*group).agg((F.avg("_idf") * epsilon).alias("_eps"))
-    asked = docs.select(*group, item, "_len", "_t", F.explode("_q").alias("_w")).withColumn(
-        "_tf", F.size(F.filter("_t", lambda t: t == F.col("_w")))
-    ).drop("_t").where(F.col("_tf") > 0)
-    weight = F.when(F.col("_idf") < 0, F.col("_eps")).otherwise(F.col("_idf"))
-    part = weight * F.col("_tf") * (k1 + 1) / (
-        F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg"))
+    asked = (
+        docs.groupBy(*group).agg(F.first("_q").alias("_q")).select(*group, F.explode("_q").alias("_w"))
+        .groupBy(*group, "_w").agg(F.count(F.lit(1)).alias("_times"))
     )
-    sums = asked.join(df, [*group, "_w"]).join(floor, group).groupBy(*group, item).agg(F.sum(part).alias("bm25"))
-    return docs.select(*group, item).join(sums, [*group, item], "left").select(
-        *group, item, F.round(F.coalesce("bm25", F.lit(0.0)), 9).alias("bm25")
+    n, df = F.col("_n"), F.col("_df")
+    known = (
+        terms.join(stats, group)
+        .withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy(*group, "_w")))
+        .withColumn("_idf", F.log(n - df + 0.5) - F.log(df + 0.5))
+        # a word fills _df rows, so weighting by 1 / _df averages over distinct words
+        .withColumn("_eps", epsilon * F.sum(F.col("_idf") / df).over(one) / F.sum(F.lit(1.0) / df).over(one))
     )
+    tf = F.col("_tf")
+    weight = F.when(F.col("_idf") < 0, F.col("_eps")).otherwise(F.col("_idf"))
+    part = F.col("_times") * weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
+    sums = known.join(asked, [*group, "_w"]).groupBy(*group, item).agg(F.sum(part).alias("bm25"))
+    return cands.join(sums, [*group, item], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 9))
 
 
 def normalise_by_max(df: DataFrame, group: list[str], column: str, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators.ranking import merge_sources, words
 from ..operators.skew import first_per_key
 from ..operators.vectors import keep_best
 from ..rules import domain as D
+from ..session import materialise
 
 
 def rank_decisions(cands: DataFrame, wanted: int = 5, group: str = "query_id", pathway=D.REQUIRED_PATHWAY,
@@ -124,11 +125,14 @@ def search_decisions(queries: DataFrame, decisions: DataFrame, known_topics, ter
     on_topic, open_ended = queries.where(known), queries.where(~known)
     near = lexical_hits(on_topic, decisions, terms, primary, fetch)
     far = lexical_hits(on_topic, decisions, terms, broader, fetch)
-    raw = merge_sources(near, far, "query_id", "case_id", "pos", wanted).unionByName(
-        lexical_hits(open_ended, decisions, terms, every, fetch)
+    # the searches read every decision; what they found is stored before it is ranked and re-ranked
+    raw = materialise(
+        merge_sources(near, far, "query_id", "case_id", "pos", wanted).unionByName(
+            lexical_hits(open_ended, decisions, terms, every, fetch)
+        ), "hits",
     )
     attach = lambda c: c.join(decisions, "case_id").join(queries, "query_id")
-    ranked = rank_decisions(attach(raw), wanted, pathway=pathway, flags=flags, **rank_rules)
+    ranked = materialise(rank_decisions(attach(raw), wanted, pathway=pathway, flags=flags, **rank_rules), "ranked")
     if not pathway:
         return ranked
     strict = F.lit(False)

@@ -11,6 +11,7 @@ from ..operators.sections import resolve_refs
 from ..operators.skew import first_per_key
 from ..operators.vectors import ALL, knn
 from ..rules import domain as D
+from ..session import materialise
 from .context import build_context
 
 
@@ -70,33 +71,43 @@ def with_cells(chunks: DataFrame, members: DataFrame) -> DataFrame:
     return chunks.join(cells, "document_id")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int = D.TOP_K, query_text: str = "query_text") -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int = D.TOP_K, query_id: str = "query_id",
+                  query_text: str = "query_text") -> DataFrame:
     """Dense candidates (2k), lexical rescoring, rank fusion, best ``k`` with all scores.
 
     ``queries`` and ``chunks`` may carry ``cells``. Only ids and scores go through
-    the search; text is joined to the few candidates afterwards.
+    the search; text is joined to the few candidates afterwards. The candidates are
+    stored, so the corpus is searched once however often they are read.
     """
-    dense = knn(queries, chunks, top_k * 2)
-    rows = dense.join(chunks.drop("embedding", "cells"), "chunk_id").join(queries.select("query_id", query_text), "query_id")
-    sparse = bm25(rows, ["query_id"], "chunk_id", query_text)
-    scored = normalise_by_max(rows.join(sparse, ["query_id", "chunk_id"]), ["query_id"], "bm25", "bm25_score")
-    fused = rrf_fuse(scored, ["query_id"])
-    return first_per_key(fused, ["query_id"], [F.desc("score"), "dense_pos"], top_k, "pos", keep=True).drop(query_text)
+    dense = knn(queries, chunks, top_k * 2, query_id=query_id)
+    payload = [c for c in queries.columns if c not in chunks.columns and c != "cells"]
+    rows = materialise(
+        dense.join(chunks.drop("embedding", "cells"), "chunk_id").join(queries.select(*payload), query_id), "candidates"
+    )
+    scored = normalise_by_max(bm25(rows, [query_id], "chunk_id", query_text), [query_id], "bm25", "bm25_score")
+    fused = rrf_fuse(scored, [query_id])
+    return first_per_key(fused, [query_id], [F.desc("score"), "dense_pos"], top_k, "pos", keep=True)
 
 
 def retrieve(scoped: DataFrame, corpus: DataFrame, chunks: DataFrame, top_k: int = D.TOP_K,
              max_docs: int | None = D.MAX_SCOPED_DOCS, query_text: str = "query_text") -> DataFrame:
-    """Laws and decisions per question, ``top_k`` each, as rows with ``source``."""
-    members = scope_members(corpus, max_docs)
-    parts = []
-    for kind in ("law", "case"):
-        docs = members.where(F.col("doc_type") == kind).select("scope", "document_id")
-        side = with_cells(chunks.where(F.col("doc_type") == kind), docs)
-        q = scoped.where(F.col(f"{kind}_scope").isNotNull()).select(
-            "query_id", "embedding", query_text, F.array(f"{kind}_scope").alias("cells")
-        )
-        parts.append(hybrid_search(q, side, top_k, query_text).withColumn("source", F.lit(kind)))
-    return parts[0].unionByName(parts[1])
+    """Laws and decisions per question, ``top_k`` each, as rows with ``source``.
+
+    Each question asks once per source; both are answered in one pass over the chunks.
+    """
+    cell = lambda kind, scope: F.concat_ws("|", kind, scope)
+    members = scope_members(corpus, max_docs).select("document_id", cell("doc_type", "scope").alias("scope"))
+    asks = F.explode(F.filter(
+        F.array(*[
+            F.struct(F.lit(k).alias("source"), F.col(f"{k}_scope").alias("scope")) for k in ("law", "case")
+        ]), lambda a: a["scope"].isNotNull(),
+    ))
+    q = scoped.select("query_id", "embedding", query_text, asks.alias("_a")).select(
+        cell("_a.source", F.col("query_id").cast("string")).alias("_ask"), "query_id", F.col("_a.source").alias("source"),
+        "embedding", F.col(query_text).alias("_search"), F.array(cell("_a.source", "_a.scope")).alias("cells"),
+    )
+    found = hybrid_search(q, with_cells(chunks, members), top_k, "_ask", "_search")
+    return found.drop("_ask", "_search")
 
 
 def filter_relevant(cands: DataFrame, min_score: str = D.MIN_RELEVANCE, prefix: str | None = None,
@@ -116,7 +127,7 @@ def answer_contexts(scoped: DataFrame, corpus: DataFrame, chunks: DataFrame, map
     time with the file name in front.
     """
     found = retrieve(scoped, corpus, chunks, max_docs=max_docs, query_text=search_text)
-    found = rerank_top_n(found, ["query_id", "source"], scorer=scorer).join(
+    found = rerank_top_n(found.drop("filename"), ["query_id", "source"], scorer=scorer).join(
         scoped.select("query_id", user_text, F.col("topic").alias("topic")), "query_id"
     ).join(corpus.select("document_id", "filename"), "document_id", "left").na.fill("", ["filename"])
     laws = found.where(F.col("source") == "law")
