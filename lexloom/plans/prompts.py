@@ -82,7 +82,7 @@ def checklist(query, topic, forms_follow_up, patterns=HINT_PATTERNS, hints=HINTS
 
 
 def assemble(query, context_text, law_refs, case_refs, topic, mode, has_conversation, follow_up, forms_follow_up, prior_query,
-             has_matter, wording=WORDING, patterns=HINT_PATTERNS, flags: str = D.I) -> Column:
+             has_matter, wording=WORDING, patterns=HINT_PATTERNS, cap_topic: str = "h1b", flags: str = D.I) -> Column:
     """STRUCT(system_message, user_message, total_chars)."""
     q, topic, mode = lit_or_col(query), F.nullif(lit_or_col(topic), F.lit("")), lit_or_col(mode)
     conv, follow, forms = (lit_or_col(c) for c in (has_conversation, follow_up, forms_follow_up))
@@ -117,7 +117,7 @@ def assemble(query, context_text, law_refs, case_refs, topic, mode, has_conversa
         F.when(lit_or_col(has_matter), F.lit(f"{h['matter']}\n{w['matter']}")),
         F.when(conv & ~follow, F.concat(F.lit(h["conversation"] + "\nMost recent question: "), prior, F.lit("\n" + w["thread"]))),
         F.when(follow, F.concat(F.lit(h["follow_up"] + "\nPrior question: "), prior, F.lit("\n" + w["direct"]))),
-        checklist(q, topic, forms, patterns, flags=flags), reference, ask,
+        checklist(q, topic, forms, patterns, cap_topic=cap_topic, flags=flags), reference, ask,
     )
     return F.struct(
         system.alias("system_message"), user.alias("user_message"), (F.length(system) + F.length(user)).alias("total_chars")
