@@ -126,10 +126,12 @@ def answer_contexts(scoped: DataFrame, corpus: DataFrame, chunks: DataFrame, map
     Relevance is tested twice, before and after section resolution, the second
     time with the file name in front.
     """
+    scoped = materialise(scoped, "scoped")
     found = retrieve(scoped, corpus, chunks, max_docs=max_docs, query_text=search_text)
-    found = rerank_top_n(found.drop("filename"), ["query_id", "source"], scorer=scorer).join(
+    # a few rows per question, read once for laws and once for decisions
+    found = materialise(rerank_top_n(found.drop("filename"), ["query_id", "source"], scorer=scorer).join(
         scoped.select("query_id", user_text, F.col("topic").alias("topic")), "query_id"
-    ).join(corpus.select("document_id", "filename"), "document_id", "left").na.fill("", ["filename"])
+    ).join(corpus.select("document_id", "filename"), "document_id", "left").na.fill("", ["filename"]), "found")
     laws = found.where(F.col("source") == "law")
     cases = best_chunk_per_doc(found.where(F.col("source") == "case"), ["query_id"])
     cases = filter_relevant(cases, query_text=user_text, **rules)
