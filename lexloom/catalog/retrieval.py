@@ -388,8 +388,8 @@ def search_cases(spark, sf):
     questions = view(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     questions = questions.withColumn("topic", TO.detect_topic("query_text", X.TOPICS, flags="")).withColumn(
         "terms", R.search_terms("query_text", "topic", anchors=X.ANCHORS, phrases=X.PHRASES, stop_words=X.STOP_WORDS, pathway={}, flags=""))
-    decisions = parse_search_results(
-        view(spark, sf, "documents").select(F.expr(RESULT).alias("result")), topic_words=X.COURT_TOPIC_WORDS, outcomes=X.OUTCOMES)
+    decisions = materialise(parse_search_results(
+        view(spark, sf, "documents").select(F.expr(RESULT).alias("result")), topic_words=X.COURT_TOPIC_WORDS, outcomes=X.OUTCOMES), "decisions")
     out = CS.search_decisions(questions, decisions, ["en", "fr", "de"], broader=["ca9", "bia", "zz"], every=["ca9", "bia", "zz", "scotus"],
                               second=["bia", "ca9"], second_terms="keit ung die", **COURT_RULES)
     return out.select("query_id", "case_id", "case_name", "court", "rank", "relevance_score")

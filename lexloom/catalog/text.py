@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions import topics as TO
 from ..rules import domain as D
 from ..rules import sample as X
+from ..session import spread
 from .registry import query
 from .views import check, view
 
@@ -454,7 +455,7 @@ CHAPTER = ("concat('https://www.uscis.gov/policy-manual/volume-', cast(l_linenum
 def parse_policy_url(spark, sf):
     m = L.policy_url(F.expr(CHAPTER))
     get = lambda k, n: F.element_at("m", k).alias(n)
-    return view(spark, sf, "lineitem").withColumn("m", m).select(
+    return spread(view(spark, sf, "lineitem")).withColumn("m", m).select(
         "l_orderkey", "l_linenumber", get("policy_volume", "volume"), get("policy_part", "part"),
         get("policy_chapter", "chapter"), get("visa_type", "topic"), F.size("m").alias("n_keys"))
 
@@ -479,7 +480,7 @@ MANUAL_FILE = ("case when l_returnflag = 'N' then '' when l_linestatus = 'F' the
              case when l_linestatus = 'F' then ' — Part ' || l_returnflag || ' — Ch. ' || l_suppkey else '' end end as label
     from {{lineitem}} left join s on s.v = l_linenumber"""))
 def filename_labels(spark, sf):
-    return view(spark, sf, "lineitem").select(
+    return spread(view(spark, sf, "lineitem")).select(
         "l_orderkey", "l_linenumber", L.manual_label(F.expr(MANUAL_FILE), "l_linestatus").alias("label"))
 
 
@@ -497,7 +498,7 @@ CASE_FILE = ("case when l_returnflag = 'N' then '' when l_linestatus = 'F' then
                 || lower(l_returnflag) || '-' || l_suppkey || '/' end as url
     from {lineitem}"""))
 def case_labels(spark, sf):
-    return view(spark, sf, "lineitem").withColumn("c", L.case_label(F.expr(CASE_FILE))).select(
+    return spread(view(spark, sf, "lineitem")).withColumn("c", L.case_label(F.expr(CASE_FILE))).select(
         "l_orderkey", "l_linenumber", "c.label", "c.url")
 
 

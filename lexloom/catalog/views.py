@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..session import spread
+
 AS_OF = "2024-01-31 00:00:00"
 
 BASE = {
@@ -20,6 +22,9 @@ BASE = {
     "pages", "benchmark", "labels", "conversations",
 }
 
+# tables whose rows cost much more to process than to read
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
 VIEWS = {
     # one row per answered question
     "audit_logs": """
@@ -148,7 +153,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     path = f"{sf}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:

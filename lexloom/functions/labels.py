@@ -82,20 +82,25 @@ def case_label(filename, base_url: str = D.COURT_BASE_URL, placeholder: str = D.
 def policy_url(url, title=None, pattern: str = D.CHAPTER_URL_PATTERN, topics=D.VOLUME_PART_TOPICS) -> Column:
     """MAP of header values carried by a chapter URL; keys without value are left out."""
     url = lit_or_col(url)
-    low = F.lower(url)
-    number = lambda i: F.regexp_extract(low, pattern, i).try_cast("int").cast("string")
-    vol, chap = number(1), number(3)
-    part = F.nullif(F.regexp_extract(low, pattern, 2), F.lit(""))
-    topic = lookup(F.concat_ws("/", vol, part), {f"{v}/{p}": t for v, p, t in topics})
     none = F.lit(None).cast("string")
     head = F.nullif(F.left(lit_or_col(title), F.lit(200)), F.lit("")) if title is not None else none
-    return F.map_filter(
-        F.create_map(
-            F.lit("source_url"), url, F.lit("policy_volume"), vol, F.lit("policy_part"), part,
-            F.lit("policy_chapter"), chap, F.lit("visa_type"), topic, F.lit("policy_title"), head,
-        ),
-        lambda k, v: v.isNotNull(),
-    )
+
+    def parts(low):
+        number = lambda i: F.regexp_extract(low, pattern, i).try_cast("int").cast("string")
+        return F.struct(
+            number(1).alias("volume"), F.regexp_extract(low, pattern, 2).alias("part"), number(3).alias("chapter")
+        )
+
+    def headers(p):
+        found = p["part"] != ""
+        only = lambda c: F.when(found, c)
+        return F.create_map(
+            F.lit("source_url"), url, F.lit("policy_volume"), p["volume"], F.lit("policy_part"), only(p["part"]),
+            F.lit("policy_chapter"), p["chapter"], F.lit("visa_type"), only(topic_of_part(p["volume"], p["part"], topics)),
+            F.lit("policy_title"), head,
+        )
+
+    return F.map_filter(let(let(F.lower(url), parts), headers), lambda k, v: v.isNotNull())
 
 
 def topic_forms(topic, own, forms=D.TOPIC_FORMS) -> Column:

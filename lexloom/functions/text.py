@@ -36,14 +36,20 @@ def any_contains(c, words) -> Column:
 
 
 def first_rule(c, rules, test, otherwise=None) -> Column:
-    """Value of the first rule whose test holds, in rule order."""
-    expr = None
-    for value, spec in rules:
-        cond = test(lit_or_col(c), spec)
-        expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
-    if expr is None:
-        return F.lit(otherwise).cast("string")
-    return expr.otherwise(F.lit(otherwise).cast("string"))
+    """Value of the first rule whose test holds, in rule order.
+
+    A computed text is bound once; the arms of a ``when`` would each compute it again.
+    """
+    def arms(v):
+        expr = None
+        for value, spec in rules:
+            cond = test(v, spec)
+            expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
+        if expr is None:
+            return F.lit(otherwise).cast("string")
+        return expr.otherwise(F.lit(otherwise).cast("string"))
+
+    return arms(F.col(c)) if isinstance(c, str) else let(c, arms)
 
 
 def replace_all(c, rules) -> Column:

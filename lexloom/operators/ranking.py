@@ -23,29 +23,25 @@ def bm25(cands: DataFrame, group: list[str], item: str, query_text: str = "query
     candidates. ``cands`` is read more than once and should be a stored table;
     text never travels with the exploded words.
     """
-    one = Window.partitionBy(*group)
     docs = cands.select(*group, item, words(text).alias("_t"), words(query_text).alias("_q")).withColumn("_len", F.size("_t"))
     stats = docs.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
-    terms = (
-        docs.select(*group, item, "_len", F.explode("_t").alias("_w"))
-        .groupBy(*group, item, "_len", "_w").agg(F.count(F.lit(1)).alias("_tf"))
+    n, df, tf = F.col("_n"), F.col("_df"), F.col("_tf")
+    idf = (
+        docs.select(*group, F.explode(F.array_distinct("_t")).alias("_w"))
+        .groupBy(*group, "_w").agg(F.count(F.lit(1)).alias("_df"))
+        .join(stats, group)
+        .withColumn("_idf", F.log(n - df + 0.5) - F.log(df + 0.5))
     )
+    floor = idf.groupBy(*group).agg((F.avg("_idf") * epsilon).alias("_eps"))
+    # only the question's own words are counted within a text
     asked = (
-        docs.groupBy(*group).agg(F.first("_q").alias("_q")).select(*group, F.explode("_q").alias("_w"))
-        .groupBy(*group, "_w").agg(F.count(F.lit(1)).alias("_times"))
-    )
-    n, df = F.col("_n"), F.col("_df")
-    known = (
-        terms.join(stats, group)
-        .withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy(*group, "_w")))
-        .withColumn("_idf", F.log(n - df + 0.5) - F.log(df + 0.5))
-        # a word fills _df rows, so weighting by 1 / _df averages over distinct words
-        .withColumn("_eps", epsilon * F.sum(F.col("_idf") / df).over(one) / F.sum(F.lit(1.0) / df).over(one))
+        docs.select(*group, item, "_len", "_t", F.explode("_q").alias("_w"))
+        .select(*group, item, "_len", "_w", (F.col("_len") - F.size(F.array_remove("_t", F.col("_w")))).alias("_tf"))
+        .where(tf > 0)
     )
-    tf = F.col("_tf")
     weight = F.when(F.col("_idf") < 0, F.col("_eps")).otherwise(F.col("_idf"))
-    part = F.col("_times") * weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    sums = known.join(asked, [*group, "_w"]).groupBy(*group, item).agg(F.sum(part).alias("bm25"))
+    part = weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
+    sums = asked.join(idf, [*group, "_w"]).join(floor, group).groupBy(*group, item).agg(F.sum(part).alias("bm25"))
     return cands.join(sums, [*group, item], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 9))
 
 

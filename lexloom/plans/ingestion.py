@@ -12,7 +12,7 @@ from ..operators.activity import make_alerts
 from ..operators.chunking import chunk_documents
 from ..operators.crawl_state import assign_versions, detect_changes, mark_latest, upsert_records
 from ..rules import domain as D
-from ..session import materialise
+from ..session import materialise, spread
 from ..sources.documents import parse_documents
 
 
@@ -26,12 +26,12 @@ def prepare_documents(raw: DataFrame, existing: DataFrame | None = None, classif
     kind = classify(
         "text", F.element_at("headers", "visa_type"), F.element_at("headers", "source"), **(classify_rules or {})
     )
-    typed = materialise(parsed.withColumn("_k", kind).select(
+    typed = spread(materialise(parsed.withColumn("_k", kind).select(
         "document_id", "filename", "title", "text", F.col("_k.doc_type").alias("doc_type"),
         F.col("_k.confidence").alias("confidence"), F.col("_k.topic").alias("topic"),
         F.when(F.coalesce(strip("text"), F.lit("")) == "", F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
         F.when(F.coalesce(strip("text"), F.lit("")) == "", F.lit("No text found")).alias("error_message"),
-    ), "documents")
+    ), "documents"))
     slim = assign_versions(typed.select("document_id", "filename", "doc_type"), existing)
     return typed.join(mark_latest(slim).select("document_id", "version", "is_latest"), "document_id")
 

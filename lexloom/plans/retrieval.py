@@ -11,7 +11,7 @@ from ..operators.sections import resolve_refs
 from ..operators.skew import first_per_key
 from ..operators.vectors import ALL, knn
 from ..rules import domain as D
-from ..session import materialise
+from ..session import materialise, spread
 from .context import build_context
 
 
@@ -81,9 +81,9 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int = D.TOP_K, q
     """
     dense = knn(queries, chunks, top_k * 2, query_id=query_id)
     payload = [c for c in queries.columns if c not in chunks.columns and c != "cells"]
-    rows = materialise(
+    rows = spread(materialise(
         dense.join(chunks.drop("embedding", "cells"), "chunk_id").join(queries.select(*payload), query_id), "candidates"
-    )
+    ))
     scored = normalise_by_max(bm25(rows, [query_id], "chunk_id", query_text), [query_id], "bm25", "bm25_score")
     fused = rrf_fuse(scored, [query_id])
     return first_per_key(fused, [query_id], [F.desc("score"), "dense_pos"], top_k, "pos", keep=True)

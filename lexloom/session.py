@@ -36,6 +36,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df):
+    """Give every task slot a share of a small table.
+
+    A scan with fewer splits than slots is bounded by slots × split size, so the
+    exchange is cheap; larger scans are left as they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def materialise(df, label: str):
     """Write ``df`` to the shared scratch folder and read it back.
 

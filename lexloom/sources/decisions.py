@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import lookup
-from ..functions.text import any_contains, lit_or_col, strip
+from ..functions.text import any_contains, let, lit_or_col, strip
 from ..functions.topics import outcome
 from ..rules import domain as D
 
@@ -44,33 +44,32 @@ def _shared(r: Column, base_url: str):
 def parse_search_results(df: DataFrame, json_col: str = "result", base_url: str = D.COURT_BASE_URL,
                          topic_words=D.COURT_TOPIC_WORDS, outcomes=D.COURT_OUTCOMES, summary_chars: int = 300) -> DataFrame:
     """One flat row per search result; each value comes from the first key that has one."""
-    r = F.from_json(json_col, RESULT_SCHEMA)
-    name, case_id, url, snippet = _shared(F.col("_r"), base_url)
-    c = F.col("_r")
-    name = F.coalesce(name, _first(c, "case_name"), F.lit("Unknown Case"))
-    summary = F.nullif(
-        F.when(F.length(snippet) > summary_chars, F.concat(F.left(snippet, F.lit(summary_chars)), F.lit("..."))).otherwise(snippet),
-        F.lit(""),
-    )
-    court = F.coalesce(_first(c, "court_id", "court"), F.lit(""))
-    text = F.lower(F.concat(name, F.lit(" "), F.coalesce(summary, F.lit(""))))
-    topics = F.filter(
-        F.array(*[F.when(any_contains(text, ws), F.lit(t)) for t, ws in topic_words.items()]) if topic_words
-        else F.array().cast("array<string>"),
-        lambda t: t.isNotNull(),
-    )
+    def flat(c):
+        name, case_id, url, snippet = _shared(c, base_url)
+        summary = let(snippet, lambda s: F.nullif(
+            F.when(F.length(s) > summary_chars, F.concat(F.left(s, F.lit(summary_chars)), F.lit("..."))).otherwise(s), F.lit("")
+        ))
+        court = F.coalesce(_first(c, "court_id", "court"), F.lit(""))
+        return F.struct(
+            F.coalesce(name, _first(c, "case_name"), F.lit("Unknown Case")).alias("case_name"), case_id.alias("case_id"),
+            court.alias("court"), F.coalesce(lookup(court, D.COURT_NAMES), c["court"], F.lit("Federal Court")).alias("court_name"),
+            _first(c, "dateFiled", "date_filed", "dateDecided", "date_decided").alias("date_decided"),
+            F.coalesce(
+                F.nullif(F.try_element_at(c["citation"], F.lit(1)), F.lit("")),
+                _first(c, "neutralCite", "lexisCite", "docketNumber"),
+            ).alias("citation"),
+            summary.alias("summary"), url.alias("url"), F.coalesce(c["meta"]["score"]["bm25"], F.lit(0.5)).alias("prior"),
+        )
+
+    none = F.array().cast("array<string>")
+    text = F.lower(F.concat(F.col("_f.case_name"), F.lit(" "), F.coalesce("_f.summary", F.lit(""))))
+    topics = let(text, lambda t: F.filter(
+        F.array(*[F.when(any_contains(t, ws), F.lit(name)) for name, ws in topic_words.items()]) if topic_words else none,
+        lambda x: x.isNotNull(),
+    ))
     others = [x for x in df.columns if x != json_col]
-    return df.withColumn("_r", r).select(
-        *others, name.alias("case_name"), case_id.alias("case_id"), court.alias("court"),
-        F.coalesce(lookup(court, D.COURT_NAMES), c["court"], F.lit("Federal Court")).alias("court_name"),
-        _first(c, "dateFiled", "date_filed", "dateDecided", "date_decided").alias("date_decided"),
-        F.coalesce(
-            F.nullif(F.try_element_at(c["citation"], F.lit(1)), F.lit("")), _first(c, "neutralCite", "lexisCite", "docketNumber")
-        ).alias("citation"),
-        summary.alias("summary"), url.alias("url"),
-        F.coalesce(c["meta"]["score"]["bm25"], F.lit(0.5)).alias("prior"),
-        topics.alias("case_topics"),
-        outcome(F.coalesce(summary, F.lit("")), outcomes).alias("outcome"),
+    return df.withColumn("_f", let(F.from_json(json_col, RESULT_SCHEMA), flat)).select(
+        *others, "_f.*", topics.alias("case_topics"), outcome(F.coalesce("_f.summary", F.lit("")), outcomes).alias("outcome")
     )
 
 
@@ -83,39 +82,47 @@ def opinion_text(plain, html, min_plain: int = 500, limit: int = 50_000) -> Colu
 def parse_decisions(df: DataFrame, source_type: str, json_col: str = "result", base_url: str = D.COURT_BASE_URL,
                     min_chars: int = 100, outcomes=D.DECISION_OUTCOMES) -> DataFrame:
     """(…, url, title, content, outcome) per decision: header block, syllabus, opinion or excerpt."""
-    name, case_id, url, snippet = _shared(F.col("_r"), base_url)
-    c = F.col("_r")
-    name = F.coalesce(name, F.lit("Unknown Case"))
-    citation = F.coalesce(F.try_element_at(c["citation"], F.lit(1)), F.lit(""))
-    syllabus = strip(drop_tags(_first(c, "syllabus")))
-    full = F.nullif(opinion_text(c["plain_text"], c["html"]), F.lit(""))
-    result = outcome(
-        F.concat_ws(
-            " ", F.coalesce(snippet, F.lit("")), F.coalesce(syllabus, F.lit("")),
-            F.left(F.coalesce(full, F.lit("")), F.lit(2000)),
-        ), outcomes,
-    )
     label = source_type.upper()
-    line = lambda k, v: F.concat(F.lit(k + ": "), v)
-    content = F.concat_ws(
-        "\n",
-        line("CASE", name), F.lit(f"SOURCE: {label} Decision"), line("COURT", F.coalesce(c["court"], F.lit(label))),
-        line("DATE", F.coalesce(_first(c, "dateFiled", "date_filed"), F.lit(""))), line("CITATION", citation),
-        line("OUTCOME", F.coalesce(result, F.lit("unknown"))), line("URL", url), F.lit(""), F.lit("=" * 60), F.lit(""),
-        F.concat(F.lit("SYLLABUS:\n"), F.nullif(syllabus, F.lit("")), F.lit("\n\n")),
-        F.coalesce(
-            F.concat(F.lit("FULL OPINION:\n"), full),
-            F.concat(F.lit("DECISION EXCERPT:\n"), F.nullif(snippet, F.lit(""))),
-        ),
-    )
-    others = [x for x in df.columns if x != json_col]
-    return (
-        df.withColumn("_r", F.from_json(json_col, RESULT_SCHEMA))
-        .select(
-            *others, url.alias("url"), case_id.alias("case_id"),
-            F.concat(name, F.lit(" ("), F.coalesce(F.nullif(citation, F.lit("")), case_id), F.lit(")")).alias("title"),
-            content.alias("content"), result.alias("outcome"), F.lit(source_type).alias("source_type"),
-            F.lit("CASE").alias("doc_type"),
+
+    def flat(c):
+        name, case_id, url, snippet = _shared(c, base_url)
+        return F.struct(
+            F.coalesce(name, F.lit("Unknown Case")).alias("name"), case_id.alias("case_id"), url.alias("url"),
+            F.coalesce(snippet, F.lit("")).alias("snippet"),
+            F.coalesce(strip(drop_tags(_first(c, "syllabus"))), F.lit("")).alias("syllabus"),
+            opinion_text(c["plain_text"], c["html"]).alias("full"),
+            F.coalesce(F.try_element_at(c["citation"], F.lit(1)), F.lit("")).alias("citation"),
+            F.coalesce(c["court"], F.lit(label)).alias("court"),
+            F.coalesce(_first(c, "dateFiled", "date_filed"), F.lit("")).alias("filed"),
+        )
+
+    def record(d):
+        evidence = F.concat_ws(" ", d["snippet"], d["syllabus"], F.left(d["full"], F.lit(2000)))
+        return F.struct(
+            d["url"].alias("url"), d["case_id"].alias("case_id"),
+            F.concat(d["name"], F.lit(" ("), F.coalesce(F.nullif(d["citation"], F.lit("")), d["case_id"]), F.lit(")")).alias("title"),
+            d.alias("d"), outcome(evidence, outcomes).alias("outcome"),
         )
-        .where(F.length("content") >= min_chars)
+
+    def content(r):
+        d, line = r["d"], lambda k, v: F.concat(F.lit(k + ": "), v)
+        given = lambda head, v, tail="": F.when(v != "", F.concat(F.lit(head + ":\n"), v, F.lit(tail)))
+        return F.concat_ws(
+            "\n",
+            line("CASE", d["name"]), F.lit(f"SOURCE: {label} Decision"), line("COURT", d["court"]), line("DATE", d["filed"]),
+            line("CITATION", d["citation"]), line("OUTCOME", F.coalesce(r["outcome"], F.lit("unknown"))), line("URL", r["url"]),
+            F.lit(""), F.lit("=" * 60), F.lit(""), given("SYLLABUS", d["syllabus"], "\n\n"),
+            F.coalesce(given("FULL OPINION", d["full"]), given("DECISION EXCERPT", d["snippet"])),
+        )
+
+    built = let(let(F.from_json(json_col, RESULT_SCHEMA), flat), record)
+    row = let(built, lambda r: F.struct(
+        r["url"].alias("url"), r["case_id"].alias("case_id"), r["title"].alias("title"), content(r).alias("content"),
+        r["outcome"].alias("outcome"),
+    ))
+    others = [x for x in df.columns if x != json_col]
+    # the length test sits inside the row expression, so that no pushed-down filter builds the text twice
+    kept = F.filter(F.array(row), lambda r: F.length(r["content"]) >= min_chars)
+    return df.select(*others, F.explode(kept).alias("_d")).select(
+        *others, "_d.*", F.lit(source_type).alias("source_type"), F.lit("CASE").alias("doc_type")
     )
