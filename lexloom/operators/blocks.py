@@ -20,7 +20,7 @@ def bounded_grid(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     blocks = max(1, math.ceil(left.count() / max(1, left_rows)))
     slices = max(1, math.ceil(right.count() / slice_rows))
     part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("long")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long")
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     a = left.withColumn("_lb", part(left_key, blocks)).withColumn("_rs", every(slices))
     b = right.withColumn("_rs", part(right_key, slices)).withColumn("_lb", every(blocks))
     return a.groupBy("_lb", "_rs").cogroup(b.groupBy("_lb", "_rs")).applyInPandas(meet, schema)
