@@ -9,7 +9,6 @@ and corpus slices meet in a grid of bounded groups instead.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +30,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1.0, norm)
 
 
-def keep_best(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int):
+def keep_best(q: np.ndarray, items: np.ndarray, s: np.ndarray, k: int):
     """Best k rows per question; equal scores fall to the smaller id."""
-    order = np.lexsort((ids, -s, q))
-    q, ids, s = q[order], ids[order], s[order]
+    order = np.lexsort((items, -s, q))
+    q, items, s = q[order], items[order], s[order]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], int)
     rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
     keep = rank < k
-    return q[keep], ids[keep], s[keep]
+    return q[keep], items[keep], s[keep]
 
 
 def _cell_rows(cells) -> dict:
@@ -49,7 +48,7 @@ def _cell_rows(cells) -> dict:
     return {name: np.asarray(ix) for name, ix in rows.items()}
 
 
-def _score(qm, q_cells, ids, xm, x_cells, k, block=256):
+def _score(qm, q_cells, items, xm, x_cells, k, block=256):
     """Candidates (question row, id, score) of one corpus batch, at most k per question and cell."""
     out_q, out_i, out_s = [], [], []
     for name, rows in x_cells.items():
@@ -66,7 +65,7 @@ def _score(qm, q_cells, ids, xm, x_cells, k, block=256):
             else:
                 qi, xi = np.nonzero(np.ones_like(s, dtype=bool))
             out_q.append(part[qi])
-            out_i.append(ids[rows[xi]])
+            out_i.append(items[rows[xi]])
             out_s.append(s[qi, xi])
     if not out_q:
         return None
@@ -130,17 +129,20 @@ def _broadcast_knn(q, x, k, query_id, item_id):
 
 
 def _grid_knn(q, x, k, query_id, item_id, dim, max_broadcast):
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    names = [query_id, item_id, "vector_score"]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         best = None
-        if len(left) and len(right):
+        if left.num_rows and right.num_rows:
             best = _score(
-                _unit(np.vstack(left["vec"].to_numpy()).astype(np.float64)), _cell_rows(left["cells"]),
-                right[item_id].to_numpy(), _unit(np.vstack(right["vec"].to_numpy()).astype(np.float64)),
-                _cell_rows(right["cells"]), k,
+                _unit(_matrix(left["vec"].combine_chunks())), _cell_rows(left["cells"].to_pylist()),
+                right[item_id].to_numpy(), _unit(_matrix(right["vec"].combine_chunks())),
+                _cell_rows(right["cells"].to_pylist()), k,
             )
         if best is None:
-            return pd.DataFrame({c: [] for c in (query_id, item_id, "vector_score")})
-        return pd.DataFrame({query_id: left[query_id].to_numpy()[best[0]], item_id: best[1], "vector_score": best[2]})
+            types = [left.schema.field(query_id).type, right.schema.field(item_id).type, pa.float64()]
+            return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
+        return pa.table([left[query_id].take(pa.array(best[0])), pa.array(best[1]), pa.array(best[2])], names=names)
 
     rows = max(1, max_broadcast // (dim * 8))
     return bounded_grid(q, x, query_id, item_id, rows, meet, _schema(q, x, query_id, item_id))

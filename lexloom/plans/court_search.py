@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,13 +67,13 @@ def lexical_hits(queries: DataFrame, decisions: DataFrame, terms: str, courts, f
                 table.setdefault(w, []).append(i)
         return {w: np.asarray(ix) for w, ix in table.items()}
 
-    def count(table, ids, word_lists):
+    def count(table, cases, word_lists):
         q, x, h = [], [], []
         for row, ws in enumerate(word_lists):
             hit = [table[w] for w in ws if w in table]
             if hit:
                 who, n = np.unique(np.concatenate(hit), return_counts=True)
-                q.append(who), x.append(np.full(len(who), ids[row])), h.append(n)
+                q.append(who), x.append(np.full(len(who), cases[row])), h.append(n)
         if not q:
             return None
         return keep_best(np.concatenate(q), np.concatenate(x), np.concatenate(h), fetch)
@@ -99,13 +98,18 @@ def lexical_hits(queries: DataFrame, decisions: DataFrame, terms: str, courts, f
 
         found = side.mapInArrow(scan, schema)
     else:
-        def meet(left, right):
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             best = None
-            if len(left) and len(right):
-                best = count(postings(left["_w"]), right["case_id"].to_numpy(dtype=str), right["_w"])
+            if left.num_rows and right.num_rows:
+                best = count(
+                    postings(left["_w"].to_pylist()), np.asarray(right["case_id"].to_pylist(), dtype=str), right["_w"].to_pylist()
+                )
             if best is None:
-                return pd.DataFrame({group: [], "case_id": [], "hits": []})
-            return pd.DataFrame({group: left[group].to_numpy()[best[0]], "case_id": best[1].tolist(), "hits": best[2]})
+                best = (np.array([], int), np.array([], str), np.array([], int))
+            return pa.table(
+                [left[group].take(pa.array(best[0])), pa.array(best[1].tolist(), pa.string()), pa.array(best[2])],
+                names=[group, "case_id", "hits"],
+            )
 
         found = bounded_grid(asked, side, group, "case_id", max(1, max_terms // 10), meet, schema)
     return first_per_key(found, [group], [F.desc("hits"), "case_id"], fetch, "pos", keep=True).drop("hits")
