@@ -316,7 +316,42 @@ def contexts(spark, sf):
     return RE.answer_contexts(scoped, corpus, passages, _mappings(spark, sf), section_pattern=X.SECTION_REF, **RELEVANCE_RULES)
 
 
-@query("answer_contexts")
+def _numbered_sql(table, tag, label, text="text"):
+    body = f"'[{tag} ' || nth_row || '] {label}' || chr(10) || {strip_sql(text)}"
+    return (f"(select query_id, string_agg({body}, chr(10) || chr(10) order by nth_row) as t, count(*) as n "
+            f"from (select *, row_number() over (partition by query_id order by pos) as nth_row from {table}) group by 1)")
+
+
+def _contexts_sql():
+    score = lambda text: relevance_sql(text, "query_text", "topic", "chunk_topic")
+    named = "filename || ' ' || text2"
+    steps = f"""
+    , six as (select b.query_id, b.chunk_id, b.document_id, b.score, b.pos, b.text, b.query_text, s.topic, p.chunk_topic, p.filename
+              from best_case b join scoped s using (query_id) join passages p using (chunk_id) where b.pos <= 6),
+    cn as (select *, count(*) over (partition by query_id) as n, row_number() over (partition by query_id, document_id order by score desc, pos) as rn,
+                  min(pos) over (partition by query_id, document_id) as seen from six),
+    co as (select * exclude (pos), row_number() over (partition by query_id order by case when n > 5 then -score end, case when n > 5 then seen else pos end) as pos
+           from cn where n <= 5 or rn = 1),
+    c1 as (select * from (select *, {score('text')} as r1 from co where n <= 5 or pos <= 5) where r1 >= 28),
+    cr as (select c1.*, m.current_section, now.text as now_text, m.old_section_ref is not null as hit,
+                  sum((m.old_section_ref is not null)::int) over (partition by c1.query_id order by c1.pos) as nth
+           from (select *, regexp_extract_all(text, {quoted(REF)})[1] as ref from c1) c1
+           left join maps m on m.old_section_ref = c1.ref left join passages now on now.chunk_id = m.current_chunk_id),
+    c2 as (select *, case when hit and nth <= 2 then text || chr(10) || chr(10) || '[CURRENT EQUIVALENT OF ' || chr(39) || ref || chr(39) || ': ' || current_section
+                     || ' (v1)]' || chr(10) || '[CURRENT POLICY TEXT: ' || left(now_text, 500) || '...]' else text end as text2 from cr),
+    c3 as (select * from (select *, {score(named)} as r2 from c2) where r2 >= 28),
+    l3 as (select query_id, text, pos from best_law where pos <= 6),
+    lt as {_numbered_sql('l3', 'LAW', 'USCIS Policy Manual')},
+    ct as {_numbered_sql('c3', 'CASE', 'Matter of Decision  (BIA)', 'text2')},
+    f as (select s.query_id, coalesce('## RELEVANT LAWS AND POLICIES' || chr(10) || chr(10) || lt.t || chr(10) || chr(10), '')
+            || coalesce('## RELEVANT CASE PRECEDENTS' || chr(10) || chr(10) || ct.t || chr(10) || chr(10), '') as t,
+            coalesce(lt.n, 0) as n_laws, coalesce(ct.n, 0) as n_cases from scoped s left join lt using (query_id) left join ct using (query_id))
+    select query_id, n_laws, n_cases, length(context_text) // 4 as tokens, context_text
+    from (select query_id, n_laws, n_cases, {trim_sql('t', 36000)} as context_text from f)"""
+    return with_scopes(_side_sql("law") + _side_sql("case") + ", " + MAPS + steps, FALLBACK)
+
+
+@query("answer_contexts", _contexts_sql())
 def answer_contexts(spark, sf):
     c = contexts(spark, sf)
     n = lambda x: F.greatest(F.size(x), F.lit(0))
