@@ -105,6 +105,12 @@ def conversation_flags(spark, sf):
     return _flagged(spark, sf).select("session_id", "turn", "f.*")
 
 
+@query("forms_follow_up", over_history(f" select session_id, turn, turn_count > 0 and regexp_matches(query, {quoted(X.FORMS_ASKED)}) as forms_follow_up from h"))
+def forms_follow_up(spark, sf):
+    asks = (F.col("turn_count") > 0) & C.asks_for_forms("query", X.FORMS_ASKED, "")
+    return _sessions(spark, sf).select("session_id", "turn", asks.alias("forms_follow_up"))
+
+
 @query("explicit_subtopic", check(f"""
     select session_id, turn, regexp_matches(query, {quoted('thth|eaueau')}) as names_subtopic,
            regexp_matches(query, {quoted(X.FORMS_ASKED)}) as asks_for_forms from {{turn_pairs}}"""))

@@ -11,6 +11,7 @@ from ..functions import topics as TO
 from ..operators import ranking as RA
 from ..operators import sections as SE
 from ..operators import vectors as V
+from ..operators.activity import attach_filenames as attach
 from ..plans import context as CO
 from ..plans import court_search as CS
 from ..plans import retrieval as RE
@@ -222,6 +223,14 @@ def rerank_top_n(spark, sf):
     return out.select("query_id", "label", "chunk_id", "pos", F.round("score", 6).alias("score"))
 
 
+@query("attach_filenames", check("""
+    select p.chunk_id, p.document_id, coalesce(c.filename, '') as filename
+    from {passages} p left join (select * from {corpus} where status = 'completed') c on c.document_id = p.document_id"""))
+def attach_filenames(spark, sf):
+    passages, corpus = views(spark, sf, "passages", "corpus")
+    return attach(passages.select("chunk_id", "document_id"), corpus.where(F.col("status") == "completed"))
+
+
 @query("merge_case_sources", check("""
     with h as (select user_id, cast(floor(value) as bigint) as case_id, event_id as pos, case event_type when 'purchase' then 0 else 1 end as p
                from {events} where event_type in ('purchase', 'view')),

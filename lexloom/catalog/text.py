@@ -198,6 +198,18 @@ def scope_score(spark, sf):
     return documents(spark, sf).select("doc_id", MO.scope_score("text", X.SCOPE_WORDS, []).alias("score"))
 
 
+KEYWORDS = list(dict.fromkeys(X.SCOPE_WORDS))
+
+
+@query("keyword_join", check(f"""
+    with k(keyword) as (values {', '.join(f"({quoted(w)})" for w in KEYWORDS)})
+    select doc_id, keyword from {{documents}} join k on case when length(keyword) <= 4
+      then regexp_matches(lower(text), '(^|[^PLN])' || keyword || '([^PLN]|$)') else contains(lower(text), keyword) end""")
+       .replace("PLN", r"\p{L}\p{N}_"))
+def keyword_join(spark, sf):
+    return documents(spark, sf).select("doc_id", F.explode(MO.matching_keywords("text", KEYWORDS)).alias("keyword"))
+
+
 @query("moderate_queries", rf"""
     with q as (select doc_id, case when n_chars < 150 then '  ' else text end as q from documents),
     v as (select doc_id, case when {strip_sql('q')} = '' then 'empty' when {any_sql('q', X.BLOCKED)} then 'blocked'
@@ -413,7 +425,20 @@ def filter_relevant(spark, sf):
         "session_id", "turn", F.col("relevance").cast("double").alias("relevance"))
 
 
-@query("build_search_terms")
+def _terms_sql():
+    strings = lambda ws: "[" + ", ".join(quoted(w) for w in ws) + "]::varchar[]"
+    anchors = "case topic " + " ".join(f"when {quoted(t)} then {strings(ws)}" for t, ws in X.ANCHORS.items()) + " else []::varchar[] end"
+    phrases = "".join(f" || case when regexp_matches(text, {quoted(p)}) then {strings(ws)} else []::varchar[] end" for p, ws in X.PHRASES)
+    in_order = tokens_sql("text", X.STOP_WORDS).removeprefix("list_distinct(")[:-1]
+    step = "case when len([t for t in acc if contains(lower(t), x[1])]) > 0 then acc else list_concat(acc, x) end"
+    return f"""
+    with q as (select item_id, text, {rule_sql('text', X.TOPICS)} as topic from benchmark),
+    s as (select item_id, topic, {anchors}{phrases} as seed, {in_order} as words from q),
+    t as (select item_id, topic, list_reduce(list_prepend(seed, [[w] for w in words]), lambda acc, x: {step}) as terms from s)
+    select item_id, topic, case when len(terms) = 0 then 'immigration visa' else array_to_string(terms[1:10], ' ') end as terms from t"""
+
+
+@query("build_search_terms", _terms_sql())
 def build_search_terms(spark, sf):
     topic = TO.detect_topic("text", X.TOPICS, flags="")
     terms = R.search_terms("text", "topic", anchors=X.ANCHORS, phrases=X.PHRASES, stop_words=X.STOP_WORDS, pathway={}, flags="")

@@ -47,3 +47,13 @@ def moderate(c, blocked=D.BLOCKED_PATTERNS, warning=D.WARNING_PATTERNS, words=D.
         F.element_at(table, v).alias("reason"),
         v.isin("warning", "safe").alias("is_safe"),
     ))
+
+
+def matching_keywords(c, words=D.SCOPE_KEYWORDS) -> Column:
+    """ARRAY of the lexicon's words that a text contains, in lexicon order.
+
+    The lexicon is folded into the expression, so a text meets it without a join.
+    """
+    return let(F.lower(lit_or_col(c)), lambda t: F.filter(
+        F.array(*[F.when(keyword_condition(t, w), F.lit(w)) for w in words]), lambda w: w.isNotNull()
+    ))

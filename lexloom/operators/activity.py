@@ -174,3 +174,9 @@ def feedback_validate(submissions: DataFrame, audit: DataFrame, existing: DataFr
     known = submissions.join(audit.select("audit_id"), "audit_id", "left_semi")
     fresh = known.join(existing.select("audit_id", "user_id"), ["audit_id", "user_id"], "left_anti")
     return first_per_key(fresh, ["audit_id", "user_id"], ["created_at", "feedback_id"])
+
+
+def attach_filenames(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Adds the document's file name, '' where the document is not stored."""
+    names = documents.select("document_id", "filename")
+    return chunks.drop("filename").join(names, "document_id", "left").na.fill("", ["filename"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.relevance import score_text
+from ..operators.activity import attach_filenames
 from ..operators.ranking import best_chunk_per_doc, bm25, normalise_by_max, rerank_top_n, rrf_fuse
 from ..operators.sections import resolve_refs
 from ..operators.skew import first_per_key
@@ -129,9 +130,10 @@ def answer_contexts(scoped: DataFrame, corpus: DataFrame, chunks: DataFrame, map
     scoped = materialise(scoped, "scoped")
     found = retrieve(scoped, corpus, chunks, max_docs=max_docs, query_text=search_text)
     # a few rows per question, read once for laws and once for decisions
-    found = materialise(rerank_top_n(found.drop("filename"), ["query_id", "source"], scorer=scorer).join(
-        scoped.select("query_id", user_text, F.col("topic").alias("topic")), "query_id"
-    ).join(corpus.select("document_id", "filename"), "document_id", "left").na.fill("", ["filename"]), "found")
+    ranked = rerank_top_n(found, ["query_id", "source"], scorer=scorer).join(
+        scoped.select("query_id", user_text, "topic"), "query_id"
+    )
+    found = materialise(attach_filenames(ranked, corpus), "found")
     laws = found.where(F.col("source") == "law")
     cases = best_chunk_per_doc(found.where(F.col("source") == "case"), ["query_id"])
     cases = filter_relevant(cases, query_text=user_text, **rules)
