@@ -37,13 +37,9 @@ def plain(sql: str) -> str:
     "select doc_id, source || '_' || doc_id as title, length(text) as n_chars, 1 as total_pages from {documents}"))
 def scan_corpus(spark, sf):
     d = view(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("_"), "doc_id", F.lit(".txt")).alias("filename"), "text")
-    # written as text files and read back whole, the name kept as folder
-    path = scratch_dir(spark, "texts")
-    d.withColumn("file", F.col("filename")).write.mode("overwrite").parquet(path)
-    back = spark.read.schema(d.schema).parquet(path)
-    return back.select(
-        "doc_id", F.replace("filename", F.lit(".txt"), F.lit("")).alias("title"), F.length("text").alias("n_chars"),
-        F.lit(1).alias("total_pages"))
+    return d.select(
+        "doc_id", F.replace(F.substring_index("filename", "/", -1), F.lit(".txt"), F.lit("")).alias("title"),
+        F.length("text").alias("n_chars"), F.lit(1).alias("total_pages"))
 
 
 HEADED = ("concat(case when lang = 'es' then '' else concat('TITLE: ', case when lang = 'de' then '' else source end, '\nSOURCE: ', lang, "

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .blocks import bounded_grid
 from .skew import first_per_key
 
@@ -91,7 +92,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id
     else:
         found = _grid_knn(q, x, k, query_id, item_id, dim, max_broadcast)
     best = first_per_key(found, [query_id], [F.desc("vector_score"), item_id], k, "dense_pos", keep=True)
-    return best.select(query_id, item_id, "vector_score", "dense_pos")
+    # k rows per question from a pass over the whole corpus: stored, so that no later join searches again
+    return materialise(best.select(query_id, item_id, "vector_score", "dense_pos"), "neighbours")
 
 
 def _schema(q, x, query_id, item_id):

@@ -68,10 +68,12 @@ def process_crawl(pages: DataFrame, previous: DataFrame, at: Column, order: str
         body = F.coalesce(body, F.nullif(F.col("clean_text"), F.lit("")))
     p = pages.withColumn("content", body)
     good = p.where(F.col("content").isNotNull())
-    # the rank in detect_changes reads its input twice, page text only once
-    kinds = detect_changes(good.select("url", order, "content"), previous, order)
+    # hashes and kinds are read by every output below; page text stays out of that table
+    kinds = materialise(detect_changes(good.select("url", order, "content"), previous, order), "changes")
     keys = ["url", order]
-    results = p.join(kinds, keys, "left").withColumn("result", F.coalesce("change_type", F.lit("failed")))
+    results = p.drop("content", "clean_text").join(kinds, keys, "left").withColumn(
+        "result", F.coalesce("change_type", F.lit("failed"))
+    )
     records = upsert_records(
         previous,
         results.where(F.col("result") != "failed").select(
@@ -80,9 +82,12 @@ def process_crawl(pages: DataFrame, previous: DataFrame, at: Column, order: str
         ),
         at, order,
     )
-    ingest = results.where(F.col("should_process")).select(
+    changed = good.join(
+        kinds.where("should_process").select(*keys, F.col("change_type").alias("result")), keys
+    )
+    ingest = changed.select(
         order, "url", F.concat("source_type", F.lit("_"), url_to_filename("url"), F.lit(".txt")).alias("filename"), "content"
     )
     return {
-        "results": results, "records": records, "alerts": make_alerts(results, alert_sources), "to_ingest": ingest,
+        "results": results, "records": records, "alerts": make_alerts(changed, alert_sources), "to_ingest": ingest,
     }

@@ -144,7 +144,7 @@ def test_lexical_search_in_both_forms(spark):
         assert got == want
 
 
-def test_chunks_follow_the_reference_rules(one):
+def test_chunk_rules(one):
     law = "Intro.\nClause 1.1 " + "x" * 60 + "\nSection 3 " + "y" * 60 + "\nClause 1.2 " + "z" * 60 + "\n§ 4 short"
     got = one({"t": law}, law_pieces("t"))
     assert [(p.section, p.clause) for p in got] == [("Section 3", "Clause 1.1"), ("Section 3", "Clause 1.2")]
