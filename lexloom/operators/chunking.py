@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lit_or_col, strip
+from ..functions.text import let, lit_or_col, strip
 from ..rules import domain as D
 
 
@@ -46,12 +46,15 @@ def law_pieces(c, clause: str = D.CLAUSE_MARKER, section: str = D.SECTION_MARKER
     """
     text = lit_or_col(c)
     at_clause, at_section = f"(?iU)(?={clause})", f"(?iU)(?={section})"
-    by_clause = F.split(text, at_clause)
     # a text that opens with a marker has no leading piece in Java's split
-    n = F.size(by_clause) + text.rlike(f"(?iU)^(?:{clause})").cast("int")
-    pieces = F.filter(
-        F.transform(F.when(n <= 2, F.split(text, at_section)).otherwise(by_clause), strip),
-        lambda p: F.length(p) >= min_chars,
+    opens = text.rlike(f"(?iU)^(?:{clause})").cast("int")
+    cut = let(
+        F.split(text, at_clause),
+        lambda by_clause: F.when(F.size(by_clause) + opens <= 2, F.split(text, at_section)).otherwise(by_clause),
+    )
+    pieces = F.transform(
+        F.filter(F.transform(cut, strip), lambda p: F.length(p) >= min_chars),
+        lambda p: F.struct(p.alias("text"), _label(p, section).alias("section"), _label(p, clause).alias("clause")),
     )
     none = F.lit(None).cast("string")
     item = "array<struct<text:string,section:string,clause:string>>"
@@ -59,12 +62,11 @@ def law_pieces(c, clause: str = D.CLAUSE_MARKER, section: str = D.SECTION_MARKER
         pieces,
         F.struct(none.alias("section"), F.array().cast(item).alias("out")),
         lambda acc, p: F.struct(
-            F.coalesce(_label(p, section), acc["section"]).alias("section"),
+            F.coalesce(p["section"], acc["section"]).alias("section"),
             F.concat(
                 acc["out"],
                 F.array(F.struct(
-                    p.alias("text"), F.coalesce(_label(p, section), acc["section"]).alias("section"),
-                    _label(p, clause).alias("clause"),
+                    p["text"].alias("text"), F.coalesce(p["section"], acc["section"]).alias("section"), p["clause"].alias("clause"),
                 )),
             ).alias("out"),
         ),

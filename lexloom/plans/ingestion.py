@@ -33,7 +33,9 @@ def prepare_documents(raw: DataFrame, existing: DataFrame | None = None, classif
         F.when(F.coalesce(strip("text"), F.lit("")) == "", F.lit("No text found")).alias("error_message"),
     ), "documents"))
     slim = assign_versions(typed.select("document_id", "filename", "doc_type"), existing)
-    return typed.join(mark_latest(slim).select("document_id", "version", "is_latest"), "document_id")
+    # stored, so its size is known: text stays in place while the versions are small enough to be sent to it
+    versions = materialise(mark_latest(slim).select("document_id", "version", "is_latest"), "versions")
+    return typed.join(versions, "document_id")
 
 
 def chunk_rows(documents: DataFrame, chunk_rules: dict | None = None, metadata_rules: dict | None = None) -> DataFrame:
