@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -24,16 +23,25 @@ def build_session(app: str = "lexloom", master: str | None = None, shuffle_parti
     return b.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``.
+def scratch_base(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a local temporary
-    folder is used instead.
+    Where the setting is unset, a session on one machine (master ``local[...]``)
+    gets a folder below its warehouse; on a cluster that is an error, since
+    executors would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lexloom-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder in the shared scratch location."""
+    return f"{scratch_base(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def spread(df):
