@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,7 +24,22 @@ def build_session(app: str = "lexloom", master: str | None = None, shuffle_parti
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return b.getOrCreate()
+    return ship_package(b.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that their workers import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lexloom_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "lexloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"lexloom/{f.relative_to(root)}")
+    sc.addPyFile(archive)
+    sc._lexloom_shipped = True
+    return spark
 
 
 def scratch_base(spark: SparkSession) -> str:
