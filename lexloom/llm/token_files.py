@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -38,8 +39,9 @@ FRAME_IDS = 1 << 20
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX_ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("first", "<u4"), ("frames", "<u4"), ("ids", "<u8")])
 SEEK_ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
-_ODD = re.compile(r" (?=\s|\Z)|\s(?= )")
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
+#: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary's format).
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -51,32 +53,55 @@ class Encoder:
     remembered. The table is bounded by ``limit`` pieces.
     """
 
-    def __init__(self, tokenizer_json: bytes, end_id: int | None, limit: int = 400_000):
+    def __init__(self, tokenizer_json: bytes, end_id: int | None, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.limit, self.first, self.rest = limit, {}, {}
+        self.limit, self.first, self.rest, self.subs = limit, {}, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes, with the end id appended."""
-        cut = [(_SPLIT.split(t) if _ODD.search(t) else t.split(" ")) if t else [] for t in texts]
+        cut = [t.split(" ") if t else [] for t in texts]
         if len(self.rest) + len(self.first) > self.limit:
             self.first.clear()
             self.rest.clear()
+        if len(self.subs) > self.limit:
+            self.subs.clear()
         self._learn(self.first, {c[0] for c in cut if c}, "")
-        seen = self.rest
-        self._learn(seen, {p for c in cut for p in c[1:] if p not in seen}, " ")
-        first, rest = self.first, seen.__getitem__
-        return [b"".join((first[c[0]], *map(rest, c[1:]), self.end)) if c else self.end for c in cut]
+        self._learn(self.rest, set().union(*(c[1:] for c in cut)).difference(self.rest), " ")
+        return [self._join(c) if c else self.end for c in cut]
+
+    def _join(self, cut: list[str]) -> bytes:
+        try:
+            return b"".join((self.first[cut[0]], *map(self.rest.__getitem__, cut[1:]), self.end))
+        except TypeError:  # a run of white space: cut only between a space and what is not white space on both sides
+            cut = _SPLIT.split(" ".join(cut))
+            self._learn(self.first, {cut[0]}, "")
+            self._learn(self.rest, set(cut[1:]), " ")
+            return b"".join((self.first[cut[0]], *map(self.rest.__getitem__, cut[1:]), self.end))
 
     def _learn(self, table: dict, pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in table]
+        """Add the ids of new pieces. Those of Latin letters are cut further, as the
+        pre-tokenizer cuts them, so that a word costs its merges once with whatever
+        punctuation follows it."""
+        subs = self.subs
+        cut = {p: _CUT.findall(lead + p) if p.isascii() or max(p) < "\u0250" else [lead + p] for p in pieces if p not in table}
+        if lead:
+            odd = [p for p in cut if not p or p[0].isspace()]  # these belong to the white space before
+            table.update(dict.fromkeys(odd))
+            for p in odd:
+                del cut[p]
+        new = [x for x in {x for c in cut.values() for x in c} if x not in subs]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([lead + p for p in part], add_special_tokens=False), strict=True):
-                table[p] = np.array(e.ids, "<u4").tobytes()
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            raw = np.array(e.ids, "<u4").tobytes()
+            subs.update((x, raw[4 * i : 4 * j]) for x, i, j in zip(part, ends[:-1], ends[1:], strict=True))
+        for p, c in cut.items():
+            table[p] = subs[c[0]] if len(c) == 1 else b"".join(map(subs.__getitem__, c))
 
 
 def _encoder(tokenizer_json: bytes, end_id: int | None) -> Encoder:
