@@ -251,7 +251,7 @@ def read_files(manifest: DataFrame, digest: bool = False, wanted: DataFrame | No
                     }
                 f.close()
 
-    return arrow_map(files.repartition("path"), run, f"doc_id long, start long, n_tokens long, {last}")
+    return arrow_map(files.repartition(max(1, manifest.count()), "path"), run, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def write_tokens(docs: DataFrame, tokenizer_json: bytes, end_id: int | None, folder: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
