@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import materialise, scratch_base, ship_package
 
-__all__ = ["WordTable", "arrow_map", "documents", "materialise", "remainder", "words_of", "with_checkpoint_dir", "xxmix"]
+__all__ = ["WordTable", "arrow_map", "documents", "materialise", "remainder", "summed", "words_of", "with_checkpoint_dir", "xxmix"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,37 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
     return df.mapInArrow(run, schema)
 
 
+def summed(df: DataFrame, per_task: Callable[[Iterator[dict]], np.ndarray], size: int, slice_size: int = 1 << 16) -> np.ndarray:
+    """Sum of one vector of ``size`` counts per task.
+
+    Tasks send their non-zero slices, which are added slice by slice; the driver gets
+    ``size`` numbers, whatever the input.
+    """
+
+    def count(batches: Iterator[dict]) -> Iterator[dict]:
+        total = per_task(batches)
+        for at in range(0, size, slice_size):
+            part = total[at : at + slice_size]
+            if part.any():
+                yield {"slice": [at // slice_size], "counts": [np.asarray(part, np.float64).astype(np.uint32 if part.max() < 2**32 else np.float64).tobytes()]}
+
+    def add(batches: Iterator[dict]) -> Iterator[dict]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b["slice"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                width = min(slice_size, size - k * slice_size)
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.uint32 if len(c) == 4 * width else np.float64).astype(np.float64)
+        for k, v in sums.items():
+            yield {"slice": [k], "counts": [v.tobytes()]}
+
+    kind, out = "slice int, counts binary", np.zeros(size)
+    parts = min(64, -(-size // slice_size))
+    for r in arrow_map(arrow_map(df, count, kind).repartition(parts, "slice"), add, kind).toLocalIterator():
+        part = np.frombuffer(r.counts)
+        out[r.slice * slice_size : r.slice * slice_size + len(part)] = part
+    return out
+
+
 class WordTable(dict):
     """Word -> row of a value table, computed once per distinct word.
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, arrow_map, materialise, words_of, xxmix
+from .common import WordTable, arrow_map, materialise, summed, words_of, xxmix
 from .components import components
 
 SKETCH = 1 << 20
@@ -84,30 +84,15 @@ def _texts(docs: DataFrame, doc: str, text: str) -> DataFrame:
 def _sketch(texts: DataFrame, n: int) -> np.ndarray:
     """Counts of set elements by a slot of their hash: SKETCH numbers, whatever the input."""
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def count(batches: Iterator[dict]) -> np.ndarray:
         shingler, total = Shingler(n), np.zeros(SKETCH, np.int64)
         for b in batches:
             for at in range(0, len(b["text"]), 256):
                 sets = [shingler.of(t.as_py()) for t in b["text"][at : at + 256]]
                 total += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
-        for at in range(0, SKETCH, SLICE):
-            if total[at : at + SLICE].any():
-                yield {"slice": [at // SLICE], "counts": [total[at : at + SLICE].astype(np.uint32).tobytes()]}
+        return total
 
-    def add(batches: Iterator[dict]) -> Iterator[dict]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, c in zip(b["slice"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                part = np.frombuffer(c, np.uint32 if len(c) == 4 * SLICE else np.int64).astype(np.int64)
-                sums[k] = sums.get(k, 0) + part
-        yield {"slice": list(sums), "counts": [v.tobytes() for v in sums.values()]}
-
-    kind = "slice int, counts binary"
-    rows = arrow_map(arrow_map(texts, run, kind).repartition(SKETCH // SLICE, "slice"), add, kind).collect()
-    out = np.zeros(SKETCH, np.int64)
-    for r in rows:
-        out[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.counts, np.int64)
-    return out
+    return summed(texts, count, SKETCH)
 
 
 def _sets(texts: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:

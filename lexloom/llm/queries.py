@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import scratch_dir
 
-from . import jaccard, token_files, toxicity
+from . import jaccard, mixing_lm, token_files, toxicity
 from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(documents(spark, sf_dir), n=3, percent=90)
+
+
+@query
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2)
