@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import scratch_dir
 
-from . import jaccard, mixing_lm, token_files, toxicity
+from . import cap_filters, jaccard, mixing_lm, multi_index, token_files, toxicity
 from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,17 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_lm.score(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2)
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(_embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(_embeddings(spark, sf_dir), 0.93)
