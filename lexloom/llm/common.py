@@ -61,11 +61,11 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
     return df.mapInArrow(run, schema)
 
 
-def summed(df: DataFrame, per_task: Callable[[Iterator[dict]], np.ndarray], size: int, slice_size: int = 1 << 16) -> np.ndarray:
+def summed(df: DataFrame, per_task: Callable[[Iterator[dict]], np.ndarray], size: int, slice_size: int = 1 << 16, finish: Callable[[np.ndarray], np.ndarray] = lambda v: v, kind_of: str = "f8") -> np.ndarray:
     """Sum of one vector of ``size`` counts per task.
 
-    Tasks send their non-zero slices, which are added slice by slice; the driver gets
-    ``size`` numbers, whatever the input.
+    Tasks send their non-zero slices, which are added slice by slice and put through
+    ``finish``; the driver gets ``size`` numbers of type ``kind_of``, whatever the input.
     """
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
@@ -82,12 +82,12 @@ def summed(df: DataFrame, per_task: Callable[[Iterator[dict]], np.ndarray], size
                 width = min(slice_size, size - k * slice_size)
                 sums[k] = sums.get(k, 0) + np.frombuffer(c, np.uint32 if len(c) == 4 * width else np.float64).astype(np.float64)
         for k, v in sums.items():
-            yield {"slice": [k], "counts": [v.tobytes()]}
+            yield {"slice": [k], "counts": [finish(v).astype(kind_of).tobytes()]}
 
-    kind, out = "slice int, counts binary", np.zeros(size)
+    kind, out = "slice int, counts binary", np.zeros(size, kind_of)
     parts = min(64, -(-size // slice_size))
     for r in arrow_map(arrow_map(df, count, kind).repartition(parts, "slice"), add, kind).toLocalIterator():
-        part = np.frombuffer(r.counts)
+        part = np.frombuffer(r.counts, kind_of)
         out[r.slice * slice_size : r.slice * slice_size + len(part)] = part
     return out
 

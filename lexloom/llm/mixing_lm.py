@@ -203,9 +203,12 @@ def _tables(words: DataFrame, tasks: int) -> np.ndarray:
                     np.add.at(total, (slots[k] + OFFSETS[k]) * 2 + bit, weight)
         return total
 
-    total = summed(words.where("c > 0").repartition(tasks, "word"), count, 2 * int(OFFSETS[-1]), 1 << 18).reshape(-1, 2)
-    top = np.maximum(total.max(axis=1, keepdims=True) / 65_535, 1)
-    return np.where(total > 0, np.maximum(np.round(total / top), 1), 0).astype(np.uint16)
+    def scaled(v: np.ndarray) -> np.ndarray:
+        v = v.reshape(-1, 2)
+        top = np.maximum(v.max(axis=1, keepdims=True) / 65_535, 1)
+        return np.where(v > 0, np.maximum(np.round(v / top), 1), 0).ravel()
+
+    return summed(words.where("c > 0").repartition(tasks, "word"), count, 2 * int(OFFSETS[-1]), 1 << 18, scaled, "u2").reshape(-1, 2)
 
 
 class Mixer:
@@ -267,10 +270,9 @@ class Mixer:
         return np.bincount(word, weights=np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(words))
 
 
-def _mixer(words: DataFrame, tables: np.ndarray) -> Mixer:
+def _mixer(words: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     """Every task learns online from its share of the words; weights are averaged by tokens."""
-    sc = words.sparkSession.sparkContext
-    shared, mixer = sc.broadcast(tables), Mixer(tables)
+    mixer = Mixer(np.zeros((0, 2), np.uint16))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         m, step = Mixer(shared.value), 0
@@ -288,7 +290,7 @@ def _mixer(words: DataFrame, tables: np.ndarray) -> Mixer:
         mixer.weights.ravel()[r.i] = r.w
     for r in seen.collect():  # 512 * STEPS rows
         mixer.seen.ravel()[r.i] = r.w
-    return mixer
+    return mixer.weights, mixer.seen
 
 
 def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,12 +306,13 @@ def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "t
     words = materialise(entries.groupBy("word").agg(F.sum("tf").alias("c"), per_class(F.col("tf")).alias("taught"), per_class(F.lit(1)).alias("there")), "words")
     distinct, known, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
     tasks = lambda rows: max(1, -(-distinct // rows))
-    tables = _tables(words, tasks(400_000))
+    shared = words.sparkSession.sparkContext.broadcast(_tables(words, tasks(400_000)))  # 4 bytes a slot: 81 MB
     dealt = words.repartition(tasks(40_000), "word")
-    shared = words.sparkSession.sparkContext.broadcast(_mixer(dealt, tables))
+    weights, observed = _mixer(dealt, shared)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        m = shared.value
+        m = Mixer(shared.value)
+        m.weights, m.seen = weights, observed
         for b in batches:
             logs = np.zeros((len(b["word"]), CLASSES))
             for ws, z, _, i in _batches(b, "there"):
