@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import scratch_dir
 
-from . import cap_filters, jaccard, mixing_lm, multi_index, token_files, toxicity
+from . import cap_filters, jaccard, mixing_lm, multi_index, quality, token_files, toxicity
 from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,11 @@ def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(_embeddings(spark, sf_dir), 0.93)
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, _labels(spark, sf_dir), remainder(F.col("doc_id"), 4) != 2)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
