@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import scratch_dir
 
-from . import cap_filters, jaccard, mixing_lm, multi_index, quality, token_files, toxicity
+from . import cap_filters, jaccard, line_dedup, mixing_lm, multi_index, quality, token_files, toxicity
 from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,33 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, _labels(spark, sf_dir), remainder(F.col("doc_id"), 4) != 2)
     scored = quality.score(docs, model)
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir), threshold=2, least=20, n_chars="n_chars")
+    return out.select("doc_id", "n_lines", "n_dropped", "n_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
+ORACLES["op7_line_dedup"] = """
+with lines as (
+    select doc_id, pos - 1 as pos, string_split(text, chr(10))[pos] as line
+    from (select doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) as pos from documents)
+),
+long_lines as (select * from lines where length(line) >= 20),
+firsts as (select line, min((doc_id, pos)) as first from long_lines group by line),
+pairs as (
+    select distinct b.line from firsts a join firsts b
+    on length(a.line) between length(b.line) - 2 and length(b.line) + 2 and a.first < b.first and a.line <> b.line
+    where levenshtein(a.line, b.line) <= 2
+),
+kept as (
+    select l.doc_id, l.pos, l.line,
+        length(l.line) < 20 or (f.first = (l.doc_id, l.pos) and p.line is null) as stays
+    from lines l left join firsts f on f.line = l.line left join pairs p on p.line = l.line
+)
+select doc_id, cast(count(*) as int) as n_lines, cast(count(*) filter (not stays) as int) as n_dropped,
+    cast(coalesce(length(string_agg(line, chr(10) order by pos) filter (stays)), 0) as bigint) as n_chars,
+    md5(coalesce(string_agg(line, chr(10) order by pos) filter (stays), '')) as kept_md5
+from kept group by doc_id
+"""
