@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import scratch_dir
 
-from . import cap_filters, jaccard, line_dedup, mixing_lm, multi_index, quality, token_files, toxicity
+from . import cap_filters, jaccard, line_dedup, mixing_lm, mixture, multi_index, quality, token_files, toxicity
 from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,15 @@ select doc_id, cast(count(*) as int) as n_lines, cast(count(*) filter (not stays
     md5(coalesce(string_agg(line, chr(10) order by pos) filter (stays), '')) as kept_md5
 from kept group by doc_id
 """
+
+
+MIX = {"rate": 0.5, "alpha": 0.5, "rounds": 20, "seed": "mix"}
+
+
+@query
+def op2_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixture.mix(documents(spark, sf_dir), **MIX)
+    return out.withColumns({c: F.round(c, 5) for c in ("weight", "probability")})
+
+
+ORACLES["op2_mixing_weights"] = mixture.check_sql(**MIX)
