@@ -27,6 +27,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,6 +213,23 @@ def _tables(words: DataFrame, tasks: int) -> np.ndarray:
     return summed(words.where("c > 0").repartition(tasks, "word"), count, 2 * int(OFFSETS[-1]), 1 << 18, scaled, "u2").reshape(-1, 2)
 
 
+def _packed(tables: np.ndarray) -> bytes:
+    """Compressed tables: at most their fixed size of 4 bytes a slot (81 MB), little while they are empty."""
+    return zstandard.ZstdCompressor(level=1).compress(tables.tobytes())
+
+
+_TABLES: dict[bytes, np.ndarray] = {}
+
+
+def _unpacked(shared) -> np.ndarray:
+    """The tables, unpacked once per worker."""
+    key = xxhash.xxh3_128_digest(shared.value)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = np.frombuffer(zstandard.ZstdDecompressor().decompress(shared.value), np.uint16).reshape(-1, 2)
+    return _TABLES[key]
+
+
 class Mixer:
     """Gated weights over the contexts' logits, and the final correction table."""
 
@@ -275,7 +294,7 @@ def _mixer(words: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     mixer = Mixer(np.zeros((0, 2), np.uint16))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        m, step = Mixer(shared.value), 0
+        m, step = Mixer(_unpacked(shared)), 0
         for b in batches:
             for ws, z, c, _ in _batches(b, "taught"):
                 m.learn(ws, z, c, max(0.02, 0.5 / (1 + step / 4)))
@@ -306,12 +325,12 @@ def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "t
     words = materialise(entries.groupBy("word").agg(F.sum("tf").alias("c"), per_class(F.col("tf")).alias("taught"), per_class(F.lit(1)).alias("there")), "words")
     distinct, known, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
     tasks = lambda rows: max(1, -(-distinct // rows))
-    shared = words.sparkSession.sparkContext.broadcast(_tables(words, tasks(400_000)))  # 4 bytes a slot: 81 MB
+    shared = words.sparkSession.sparkContext.broadcast(_packed(_tables(words, tasks(400_000))))
     dealt = words.repartition(tasks(40_000), "word")
     weights, observed = _mixer(dealt, shared)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        m = Mixer(shared.value)
+        m = Mixer(_unpacked(shared))
         m.weights, m.seen = weights, observed
         for b in batches:
             logs = np.zeros((len(b["word"]), CLASSES))
