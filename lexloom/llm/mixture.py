@@ -86,7 +86,7 @@ def probabilities(raked: DataFrame, rate: float) -> DataFrame:
     order = Window.orderBy(F.desc("weight"), *DIMS)  # the cell table only
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     mass = F.col("tokens") * F.col("weight")
-    r = r.withColumn("scale", (F.lit(rate * total) - F.coalesce(F.sum("tokens").over(before), F.lit(0))) / F.sum(mass).over(after))
+    r = r.withColumn("scale", F.try_divide(F.lit(rate * total) - F.coalesce(F.sum("tokens").over(before), F.lit(0)), F.sum(mass).over(after)))
     scale = _number(r.where(F.col("scale") * F.col("weight") <= 1), F.max("scale"))
     p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(1e300 if scale is None else scale) * F.col("weight"))).otherwise(rate)
     return r.withColumn("probability", p).select(*DIMS, "tokens", "weight", "probability")

@@ -108,7 +108,7 @@ def train(found: list[np.ndarray], times: list[np.ndarray], label: np.ndarray, s
             step += 1
             share = [times[i] / max(1, times[i].sum()) for i in part]
             size = [len(found[i]) for i in part]
-            ids, weight = np.concatenate([found[i] for i in part]), np.concatenate(share)
+            ids, weight = np.concatenate([found[i] for i in part]).astype(np.int64), np.concatenate(share)
             row = np.repeat(np.arange(len(part)), size)
             picked = vectors[ids]
             x = np.zeros((len(part), s.dims))
@@ -145,8 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     if len(np.unique(y)) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(BUCKETS), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    found = [np.frombuffer(f, np.uint16).astype(np.int64) for f in rows["found"]]
-    times = [np.frombuffer(t, np.uint32).astype(np.float64) for t in rows["times"]]
+    found = [np.frombuffer(f, np.uint16) for f in rows["found"]]
+    times = [np.frombuffer(t, np.uint32) for t in rows["times"]]
     return train(found, times, y, s)
 
 

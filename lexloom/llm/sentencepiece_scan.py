@@ -348,7 +348,7 @@ def _up(t: pa.Table) -> pa.Table:
     total = None
     for raw in t["matrix"].to_pylist():
         total = _unpack(raw) if total is None else product(total, _unpack(raw))
-    return pa.table({"row": t["row"][:1], "at": pa.array([t["at"][0].as_py() // FAN], pa.int64()), "matrix": pa.array([_pack(total)], pa.binary())})
+    return pa.table({"row": t["row"][:1], "at": t["group"][:1], "matrix": pa.array([_pack(total)], pa.binary())})
 
 
 def _down(t: pa.Table) -> pa.Table:
@@ -392,7 +392,7 @@ def encode(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text
     width = most
     while width > 1:
         width = -(-width // FAN)
-        group = levels[-1].groupBy("row", F.floor(F.col("at") / FAN).alias("group"))
+        group = levels[-1].withColumn("group", F.floor(F.col("at") / FAN)).groupBy("row", "group")
         levels.append(materialise(group.applyInArrow(_up, "row long, at long, matrix binary"), "matrices"))
     outer = levels[-1].select("row", "at", F.lit(0).alias("entry"), F.lit(0).alias("leave"))  # the whole document: one state at each end
     for level in levels[-2::-1]:
