@@ -29,6 +29,8 @@ from .common import materialise
 
 SLOTS = 1 << 20
 _LAST = (1 << 63) - 1
+#: (doc, pos) as one number, which unlike a struct a hash aggregate can hold.
+PLACE = "cast(doc as decimal(20, 0)) * 4294967296 + pos"
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -39,7 +41,7 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + F.when(F.lit(i) > short, 1).otherwise(0)).cast("int")
 
 
-def keys(line: Column, length: Column, threshold: int) -> Column:
+def keys(line: Column, length: Column, threshold: int) -> list[Column]:
     """Hashed keys of a line; the first threshold + 1 are those of its own segments."""
     parts = threshold + 1
     own = [(i, 0, 0) for i in range(1, parts + 1)]
@@ -53,21 +55,23 @@ def keys(line: Column, length: Column, threshold: int) -> Column:
     for i, d, shift in own + asked:
         start, size = _segment(length - d, i, parts)
         out.append(F.xxhash64(F.lit(i), length - d, line.substr(start + shift, size)))
-    return F.array(*out)
+    return out
 
 
 def lines_of(docs: DataFrame, least: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, pos, line, length, h, h2 of every line of at least ``least`` characters."""
+    """doc, pos, line, length, h, h2, at of every line of at least ``least`` characters; ``at`` orders by (doc, pos)."""
     cut = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("pos", "line"))
-    return cut.withColumn("length", F.length("line")).where(F.col("length") >= least).withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
+    return cut.withColumn("length", F.length("line")).where(F.col("length") >= least).withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line")).withColumn("at", F.expr(PLACE))
 
 
 def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """h, h2 of the distinct lines that have an earlier line within the threshold."""
     from pyspark.sql import Window
 
-    distinct = lines.select("h", "h2", keys(F.col("line"), F.col("length"), threshold).alias("keys")).groupBy("h", "h2").agg(F.first("keys").alias("keys"))
-    rows = distinct.select(F.col("h").alias("id"), F.posexplode("keys").alias("k", "key")).select("key", "id", (F.col("k") <= threshold).alias("own"))
+    made = keys(F.col("line"), F.col("length"), threshold)
+    names = [f"k{i}" for i in range(len(made))]  # single columns, so that a hash aggregate can hold them
+    distinct = lines.select("h", "h2", *[k.alias(n) for k, n in zip(made, names, strict=True)]).groupBy("h", "h2").agg(*[F.first(n).alias(n) for n in names])
+    rows = distinct.select(F.col("h").alias("id"), F.posexplode(F.array(*names)).alias("k", "key")).select("key", "id", (F.col("k") <= threshold).alias("own"))
     w = Window.partitionBy("key")
     met = rows.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("any", F.max("own").over(w))
     met = materialise(met.where("any and low <> high").select("key", "id", "own").distinct(), "line-keys")
@@ -75,7 +79,7 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     ids = met.select("id").distinct()
     slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS))
     maybe = lines.withColumn("slot", slot("h")).join(F.broadcast(ids.select(slot("id").alias("slot")).distinct()), "slot", "left_semi")
-    texts = maybe.groupBy("h", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.first("line").alias("line")).withColumnRenamed("h", "id")
+    texts = maybe.groupBy("h", "h2").agg(F.min("at").alias("first"), F.first("line").alias("line")).withColumnRenamed("h", "id")
     full = materialise(met.join(texts, "id"), "line-candidates")
     a, b = full.alias("a"), full.select(F.col("key").alias("key_b"), F.col("own").alias("own_b"), F.col("first").alias("first_b"), F.col("line").alias("line_b"))
     found = a.join(
@@ -94,16 +98,17 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 20, doc: str =
     """
     lines = lines_of(docs, least, doc, text)
     near = materialise(near_lines(lines, threshold), "near-lines")
-    places = lines.select("doc", "pos", "h", "h2")
-    firsts = places.groupBy("h", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"))
+    places = materialise(lines.select("doc", "pos", "h", "h2"), "places")
+    firsts = places.groupBy("h", "h2").agg(F.min(F.expr(PLACE)).alias("first"))
     firsts = firsts.join(near.withColumn("near", F.lit(True)), ["h", "h2"], "left")
-    gone = places.join(firsts, ["h", "h2"]).where(F.col("near") | (F.struct("doc", "pos") != F.col("first")))
+    gone = places.join(firsts, ["h", "h2"]).where(F.col("near") | (F.expr(PLACE) != F.col("first")))
     gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc", "_doc")
     cut = F.split(F.col(text).cast("string"), "\n", -1)
     every = F.sequence(F.lit(0), F.size(cut) - 1)
     kept = F.array_join(F.transform(F.array_except(every, F.col("_gone")), lambda i: F.get(cut, i)), "\n")
     n = F.coalesce(F.size(cut), F.lit(0))
-    out = docs.join(gone, F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)) == F.col("_doc"), "left").select(
+    # hashing the few numbers of a document's lost lines saves sorting the texts
+    out = docs.join(gone.hint("shuffle_hash"), F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)) == F.col("_doc"), "left").select(
         *[c for c in docs.columns if c not in (text, n_chars, "n_lines", "n_dropped")],
         F.when(F.col("_gone").isNull(), F.col(text).cast("string")).otherwise(kept).alias(text),
         F.when(F.col(text).isNull(), 0).otherwise(n).alias("n_lines"),
