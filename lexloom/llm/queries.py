@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.session import scratch_dir
 
 from . import cap_filters, jaccard, line_dedup, mixing_lm, mixture, multi_index, quality, sentencepiece_scan, token_files, toxicity
-from .common import documents, materialise, remainder
+from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,10 +130,11 @@ def _pieces() -> sentencepiece_scan.Model:
 
 def encoded_digest(docs: DataFrame, model: sentencepiece_scan.Model) -> DataFrame:
     """Per document: n_ids, crc32 of its ids as little-endian int32, length and md5 of the decoded text."""
-    encoded = materialise(sentencepiece_scan.encode(docs, model), "encoded")
-    ids = sentencepiece_scan.whole(encoded).select("row", "doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"))
-    text = sentencepiece_scan.decode(encoded, model).select("row", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
-    return ids.join(text, "row").drop("row")
+    out = sentencepiece_scan.whole(sentencepiece_scan.with_text(sentencepiece_scan.encode(docs, model), model))
+    return out.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+        F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
 
 
 @query

@@ -307,31 +307,44 @@ def _walk(m: Model, text: str, p: int, q: int, entry: State, leave: State) -> li
     return out[::-1]
 
 
-def _cut(docs: DataFrame, shared, doc: str, text: str, chunk: int) -> DataFrame:
-    """Rows of one chunk are encoded at once; longer ones become chunks with their surroundings."""
+def _source(docs: DataFrame, doc: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(c).cast("string").alias(f"_{c}") for c in keep])
+
+
+def _short(src: DataFrame, shared, chunk: int, kept: list[str]) -> DataFrame:
+    """Documents of one chunk, encoded at once."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            for at in range(0, len(b["doc_id"]), 512):
+                part = {c: v[at : at + 512] for c, v in b.items()}
+                yield {**part, "ids": [shared.value.encode(t.as_py()) for t in part["text"]]}
+
+    made = arrow_map(src.where(F.length("text") < chunk), run, f"doc_id long, ids binary{''.join(f', {c} string' for c in kept)}")
+    return made.select(F.lit(None).cast("long").alias("row"), "doc_id", F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("chunks"), "ids", *kept)
+
+
+def _chunks(src: DataFrame, shared, chunk: int, kept: list[str]) -> DataFrame:
+    """Chunks of the longer documents, each with the characters around it."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        m, row = shared.value, TaskContext.get().partitionId() << 32
+        row, around = TaskContext.get().partitionId() << 32, shared.value.longest
         for b in batches:
-            for at in range(0, len(b["doc_id"]), 256):
-                out: dict[str, list] = {n: [] for n in ("row", "doc_id", "chunk", "chunks", "lead", "size", "text", "ids")}
-                for d, t in zip(b["doc_id"][at : at + 256].to_pylist(), b["text"][at : at + 256].to_pylist(), strict=True):
-                    row += 1
-                    whole = t is None or len(t) < chunk
-                    t = (t or "") if whole else SPACE + t.replace(" ", SPACE)
-                    k = 1 if whole else -(-len(t) // chunk)
-                    for c in range(k):
-                        p = c * chunk
-                        lead = min(p, m.longest)
-                        values = (row, d, c, k, lead, min(chunk, len(t) - p), None if whole else t[p - lead : p + chunk + m.longest], m.encode(t) if whole else None)
-                        for n, v in zip(out, values, strict=True):
-                            out[n].append(v)
-                yield out
-
-    src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return materialise(arrow_map(src, run, "row long, doc_id long, chunk long, chunks long, lead int, size int, text string, ids binary"), "chunks")
+            for i in range(len(b["doc_id"])):
+                row += 1
+                t = SPACE + b["text"][i].as_py().replace(" ", SPACE)
+                starts = list(range(0, len(t), chunk))
+                n = len(starts)
+                yield {
+                    "row": [row] * n, "doc_id": [b["doc_id"][i].as_py()] * n, "chunk": list(range(n)), "chunks": [n] * n, "lead": [min(p, around) for p in starts],
+                    "size": [min(chunk, len(t) - p) for p in starts], "text": [t[max(0, p - around) : p + chunk + around] for p in starts],
+                    **{c: [b[c][i].as_py()] * n for c in kept},
+                }
+
+    kind = "row long, doc_id long, chunk long, chunks long, lead int, size int, text string" + "".join(f", {c} string" for c in kept)
+    return materialise(arrow_map(src.where(F.length("text") >= chunk), run, kind), "chunks")
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -368,15 +381,16 @@ def _down(t: pa.Table) -> pa.Table:
     return pa.table({"row": t["row"], "at": t["at"], "entry": pa.array(entry, pa.int32()), "leave": pa.array(leave, pa.int32())})
 
 
-def encode(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """row, doc_id, chunk, ids (little-endian int32 bytes): the ids of each document by chunk.
+def encode(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """row, doc_id, chunk, chunks, ids (little-endian int32 bytes): the ids of each document by chunk.
 
-    ``row`` numbers the rows of ``docs``.
+    ``row`` numbers the documents of several chunks and is null for the others. The
+    columns in ``keep`` go along as text, with "_" in front of their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary
-    rows = _cut(docs, shared, doc, text, chunk)
-    done = rows.where("chunks = 1").select("row", "doc_id", "chunk", "ids")
-    long_ = rows.where("chunks > 1")
+    src, kept = _source(docs, doc, text, keep), [f"_{c}" for c in keep]
+    done = _short(src, shared, chunk, kept)
+    long_ = _chunks(src, shared, chunk, kept)
     most = long_.agg(F.max("chunks")).first()[0]
     if most is None:
         return done
@@ -402,30 +416,42 @@ def encode(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text
     def back(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             got = zip(*(b[c].to_pylist() for c in ("text", "lead", "size", "entry", "leave")), strict=True)
-            yield {"row": b["row"], "doc_id": b["doc_id"], "chunk": b["chunk"], "ids": [trace(shared.value, t, p, p + n, i, j) for t, p, n, i, j in got]}
+            yield {**b, "ids": [trace(shared.value, t, p, p + n, i, j) for t, p, n, i, j in got]}
 
     ready = long_.join(outer.withColumnRenamed("at", "chunk"), ["row", "chunk"])
-    return done.unionByName(arrow_map(ready, back, "row long, doc_id long, chunk long, ids binary"))
+    kind = "row long, doc_id long, chunk long, chunks long, ids binary" + "".join(f", {c} string" for c in kept)
+    return done.unionByName(materialise(arrow_map(ready, back, kind), "traced"))
 
 
-def decode(encoded: DataFrame, model: Model) -> DataFrame:
-    """row, doc_id, text from the chunks of ``encode``."""
+def with_text(encoded: DataFrame, model: Model) -> DataFrame:
+    """Adds the decoded ``text`` of each chunk."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"row": b["row"], "doc_id": b["doc_id"], "chunk": b["chunk"], "text": [shared.value.decode(np.frombuffer(i, "<i4").tolist(), c == 0) for i, c in zip(b["ids"].to_pylist(), b["chunk"].to_pylist(), strict=True)]}
+            for at in range(0, len(b["ids"]), 512):
+                part = {c: v[at : at + 512] for c, v in b.items()}
+                yield {**part, "text": [shared.value.decode(np.frombuffer(i, "<i4").tolist(), c == 0) for i, c in zip(part["ids"].to_pylist(), part["chunk"].to_pylist(), strict=True)]}
 
-    pieces = arrow_map(encoded, run, "row long, doc_id long, chunk long, text string")
-    return pieces.groupBy("row", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "").alias("text"))
+    return arrow_map(encoded, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", text string")
 
 
 def whole(encoded: DataFrame) -> DataFrame:
-    """row, doc_id, ids (bytes of the whole document): its chunks are its own text's size together."""
-    one = encoded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
+    """One row per document: ids (and text, if decoded) of its chunks in order; only documents of several chunks are grouped."""
+    rest = [c for c in encoded.columns if c not in ("row", "chunk", "chunks", "ids", "text")]
+    parts = [c for c in ("ids", "text") if c in encoded.columns]
+    one = encoded.where("chunks = 1").select(*rest, *parts)
+    grouped = encoded.where("chunks > 1").groupBy("row").agg(*[F.first(c).alias(c) for c in rest], F.array_sort(F.collect_list(F.struct("chunk", *parts))).alias("parts"))
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def join(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"row": b["row"], "doc_id": b["doc_id"], "ids": [b"".join(x["ids"] for x in parts) for parts in b["parts"].to_pylist()]}
+            got = b["parts"].to_pylist()
+            yield {**b, **{c: [(b"" if c == "ids" else "").join(x[c] for x in p) for p in got] for c in parts}}
 
-    return arrow_map(one, run, "row long, doc_id long, ids binary")
+    kinds = {f.name: f.dataType.simpleString() for f in encoded.schema}
+    return one.unionByName(arrow_map(grouped, join, ", ".join(f"`{c}` {kinds[c]}" for c in [*rest, *parts])))
+
+
+def decode(encoded: DataFrame, model: Model) -> DataFrame:
+    """doc_id, text of every document of ``encode``."""
+    return whole(with_text(encoded, model)).drop("ids")
