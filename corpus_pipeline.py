@@ -48,14 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the piece ids (little-endian int32) of every document's text.
-
-    Rows of one doc_id share the smallest source and lang among them.
-    """
-    model = queries._pieces()
-    tags = docs.groupBy("doc_id").agg(F.min("source").alias("source"), F.min("lang").alias("lang"))
-    ids = sentencepiece_scan.whole(materialise(sentencepiece_scan.encode(docs, model), "encoded"))
-    return ids.join(tags, ids["doc_id"].eqNullSafe(tags["doc_id"])).select(ids["doc_id"], "source", "lang", (F.length("ids") / 4).cast("long").alias("n_ids"), "ids")
+    """doc_id, source, lang and the piece ids (little-endian int32) of every document's text."""
+    ids = sentencepiece_scan.whole(sentencepiece_scan.encode(docs, queries._pieces(), keep=("source", "lang")))
+    return ids.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), (F.length("ids") / 4).cast("long").alias("n_ids"), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
