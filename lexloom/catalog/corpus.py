@@ -67,6 +67,9 @@ def serialize_scraped(spark, sf):
 
 
 # --- pages -------------------------------------------------------------------------
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def _page_sql():
     h = "html"
     h = sub_sql(h, [("(?s)<!--.*?-->|<![^>]*>", "")])
@@ -76,7 +79,7 @@ def _page_sql():
 
     def text(e):
         e = sub_sql(e, [("(?s)<[^>]*>", "\u0001")])
-        for a, b in PA.ENTITIES:
+        for a, b in ENTITIES:
             e = f"replace({e}, {quoted(a)}, {quoted(b)})"
         nodes = f"array_to_string([x for x in [{strip_sql('n')} for n in string_split({e}, chr(1))] if x <> ''], chr(10))"
         return strip_sql(sub_sql(nodes, [(" {2,}", " "), ("\n{3,}", "\n\n"), (r"(?m)^\d+\s*$", "")]))
@@ -170,8 +173,8 @@ DECISION_CTE = rf"""
            decided as date_decided, case when n_chars > 3000 then 'C' || source else 'D' || source end as citation, summary,
            case when lang = 'fr' then 'https://www.courtlistener.com/opinion/' || source || '/' else 'https://www.courtlistener.com/opinion/' || case_id || '/' end as url,
            case when lang = 'en' then round(n_chars / 1000.0, 6) else 0.5 end as prior,
-           array_to_string([t for t in [{', '.join(f"case when contains(lower(concat(name, ' ', summary)), {quoted(w[0])}) then {quoted(t)} end" for t, w in X.COURT_TOPIC_WORDS.items())}] if t is not null], '|') as case_topics,
-           case {' '.join(f"when {' or '.join(f'contains(lower(summary), {quoted(w)})' for w in ws)} then {quoted(v)}" for v, ws in X.OUTCOMES)} end as outcome
+           array_to_string([t for t in [{', '.join(f"case when contains(lower(concat(name, ' ', snip)), {quoted(w[0])}) then {quoted(t)} end" for t, w in X.COURT_TOPIC_WORDS.items())}] if t is not null], '|') as case_topics,
+           case {' '.join(f"when {' or '.join(f'contains(lower(snip), {quoted(w)})' for w in ws)} then {quoted(v)}" for v, ws in X.OUTCOMES)} end as outcome
     from s""")
 def parse_search_results(spark, sf):
     d = view(spark, sf, "documents").select("doc_id", F.expr(RESULT).alias("result"))
@@ -182,10 +185,10 @@ def parse_search_results(spark, sf):
 @query("parse_decisions", DECISION_CTE + rf""",
     s as (select *, case when lang = 'fr' then 'https://www.courtlistener.com/opinion/' || source || '/' else 'https://www.courtlistener.com/opinion/' || case_id || '/' end as url,
         case when lang = 'fr' then 'Syl ' || source end as syl,
-        left(case when lang = 'en' and length(text) > 500 then text when lang <> 'fr' then regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g') else '' end, 50000) as op,
+        case when lang = 'en' and length(text) > 500 then text when lang <> 'fr' then regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g') else '' end as op,
         case when n_chars > 3000 then 'C' || source else '' end as cit,
         case when source = 'src1' then '' else '2001-02-03' end as filed from r),
-    o as (select *, case {' '.join(f"when {' or '.join(f'contains(lower(concat(snip, chr(32), syl, chr(32), left(op, 2000))), {quoted(w)})' for w in ws)} then {quoted(v)}" for v, ws in X.OUTCOMES)} end as outcome from s),
+    o as (select *, case {' '.join(f"when {' or '.join(f'contains(lower(concat(snip, chr(32), syl, chr(32), op)), {quoted(w)})' for w in ws)} then {quoted(v)}" for v, ws in X.OUTCOMES)} end as outcome from s),
     c as (select *, array_to_string([x for x in ['CASE: ' || name, 'SOURCE: BIA Decision', 'COURT: ' || case lang when 'fr' then 'Court Fr' when 'es' then 'scotus' else 'plain' end,
         'DATE: ' || filed, 'CITATION: ' || cit, 'OUTCOME: ' || coalesce(outcome, 'unknown'), 'URL: ' || url, '', '{RULE}', '',
         case when syl is not null then 'SYLLABUS:' || chr(10) || syl || chr(10) || chr(10) end,
@@ -198,7 +201,7 @@ def parse_decisions(spark, sf):
 
 
 @query("select_opinion_text", r"""
-    select doc_id, left(case when length(text) > 500 then text else regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g') end, 50000) as text
+    select doc_id, case when length(text) > 500 then text else regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g') end as text
     from documents""")
 def select_opinion_text(spark, sf):
     return view(spark, sf, "documents").select(
@@ -217,7 +220,7 @@ def dedupe_by_id(spark, sf):
 
 # --- sinks -------------------------------------------------------------------------------
 @query("write_corpus", check("""
-    select document_id, chunk_index, doc_type, left(text, 65000) as text, left(coalesce(filename, ''), 190) as section, coalesce(topic, '') as topic
+    select document_id, chunk_index, doc_type, text, coalesce(filename, '') as section, coalesce(topic, '') as topic
     from {lines}"""))
 def write_corpus(spark, sf):
     lines = view(spark, sf, "lines").select("document_id", "chunk_index", "doc_type", "text", F.col("filename").alias("section"), "topic")

@@ -40,7 +40,7 @@ SCOPE_CTES = """
                       case when coalesce(cases, 0) > 0 then e.topic when own is null then '*' end as case_scope
                from eff e left join present p on p.topic = e.topic),
     members as (select * from (select doc_type, scope, document_id, row_number() over (partition by doc_type, scope order by document_id) as rn
-                from (select doc_type, topic as scope, document_id from corpus union all select doc_type, '*', document_id from corpus)) where rn <= 50)"""
+                from (select doc_type, topic as scope, document_id from corpus union all select doc_type, '*', document_id from corpus)))"""
 
 
 def with_scopes(sql: str, fallback: str = "null") -> str:
@@ -86,9 +86,9 @@ def apply_topic_override(spark, sf):
     return _counted(spark, sf, _scoped(spark, sf, FALLBACK))
 
 
-@query("cap_candidate_docs", with_scopes(" select doc_type, scope, document_id from members"))
+@query("cap_candidate_docs", with_scopes(f" select doc_type, scope, document_id from members where rn <= {D.MAX_SCOPED_DOCS}"))
 def cap_candidate_docs(spark, sf):
-    return RE.scope_members(view(spark, sf, "corpus").select("doc_type", "topic", "document_id"))
+    return RE.scope_members(view(spark, sf, "corpus").select("doc_type", "topic", "document_id"), D.MAX_SCOPED_DOCS)
 
 
 # --- vector search ---------------------------------------------------------------

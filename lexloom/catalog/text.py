@@ -82,15 +82,15 @@ def extract_headings(spark, sf):
 
 
 @query("classify_documents", check(f"""
-    with s as (select doc_id, text, source, {hits_sql('lower(left(text, 3000))', X.LAW_WORDS)} as l,
-                      {hits_sql('lower(left(text, 3000))', X.CASE_WORDS)} as c,
+    with s as (select doc_id, text, source, {hits_sql('lower(text)', X.LAW_WORDS)} as l,
+                      {hits_sql('lower(text)', X.CASE_WORDS)} as c,
                       case when source = 'src3' then 'given' end as head,
                       case when source = 'src5' then 'uscis_policy' else source end as head_source from {{documents}})
     select doc_id, case when head_source = 'uscis_policy' or l >= c then 'law' else 'case' end as doc_type,
            round(case when head_source = 'uscis_policy' then 0.95 when l + c = 0 then 0.5
                       else greatest(l, c) * 1.0 / (l + c) end, 6) as confidence,
            case when head_source <> 'uscis_policy' and l + c = 0 then null
-                else coalesce(head, {rule_sql('left(text, 5000)', X.TOPICS)}) end as topic from s"""))
+                else coalesce(head, {rule_sql('text', X.TOPICS)}) end as topic from s"""))
 def classify_documents(spark, sf):
     head = F.when(F.col("source") == "src3", "given")
     source = F.when(F.col("source") == "src5", D.TRUSTED_LAW_SOURCE).otherwise(F.col("source"))
@@ -99,9 +99,9 @@ def classify_documents(spark, sf):
         "doc_id", "k.doc_type", F.round("k.confidence", 6).alias("confidence"), "k.topic")
 
 
-@query("detect_topic", check(f"select doc_id, {rule_sql('left(text, 5000)', X.TOPICS)} as topic from {{documents}}"))
+@query("detect_topic", check(f"select doc_id, {rule_sql('text', X.TOPICS)} as topic from {{documents}}"))
 def detect_topic(spark, sf):
-    return documents(spark, sf).select("doc_id", TO.detect_topic("text", X.TOPICS, D.TOPIC_SAMPLE_CHARS, "").alias("topic"))
+    return documents(spark, sf).select("doc_id", TO.detect_topic("text", X.TOPICS, flags="").alias("topic"))
 
 
 @query("infer_topic", check(f"select doc_id, {rule_sql('lower(text)', X.IMPLIED)} as topic from {{documents}}"))
@@ -441,7 +441,7 @@ def _terms_sql():
 @query("build_search_terms", _terms_sql())
 def build_search_terms(spark, sf):
     topic = TO.detect_topic("text", X.TOPICS, flags="")
-    terms = R.search_terms("text", "topic", anchors=X.ANCHORS, phrases=X.PHRASES, stop_words=X.STOP_WORDS, pathway={}, flags="")
+    terms = R.search_terms("text", "topic", anchors=X.ANCHORS, phrases=X.PHRASES, stop_words=X.STOP_WORDS, pathway={}, limit=10, flags="")
     return view(spark, sf, "benchmark").withColumn("topic", topic).select("item_id", "topic", terms.alias("terms"))
 
 
@@ -486,7 +486,7 @@ def parse_policy_url(spark, sf):
 
 
 @query("url_to_filename", check(
-    r"select page_id, left(regexp_replace(replace(replace(url, 'https://', ''), 'http://', ''), '[^\p{{L}}\p{{N}}_]', '_', 'g'), 80) as filename from {pages}"
+    r"select page_id, regexp_replace(replace(replace(url, 'https://', ''), 'http://', ''), '[^\p{{L}}\p{{N}}_]', '_', 'g') as filename from {pages}"
     .replace("{{", "\u0002").replace("}}", "\u0003")).replace("\u0002", "{").replace("\u0003", "}"))
 def url_to_filename(spark, sf):
     return view(spark, sf, "pages").select("page_id", L.url_to_filename("url").alias("filename"))

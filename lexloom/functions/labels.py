@@ -9,9 +9,11 @@ from ..rules import domain as D
 from .text import let, lit_or_col
 
 
-def url_to_filename(c, width: int = 80) -> Column:
+def url_to_filename(c, width: int | None = None) -> Column:
+    """File name of a URL, whole unless ``width`` cuts it: names cut short would join pages that differ."""
     bare = F.regexp_replace(lit_or_col(c), "https://|http://", "")
-    return F.left(F.regexp_replace(bare, r"(?U)\W", "_"), F.lit(width))
+    name = F.regexp_replace(bare, r"(?U)\W", "_")
+    return name if width is None else F.left(name, F.lit(width))
 
 
 def lookup(c, table: dict, default=None) -> Column:

@@ -70,8 +70,3 @@ def detect_entities(df: DataFrame, id_col: str, text_col: str, patterns=D.PII_PA
     return suspects.mapInPandas(
         scan, f"{id_col} {id_type}, seq int, label string, match string, start int, end int"
     )
-
-
-def any_entity(c, patterns=D.PII_PATTERNS) -> Column:
-    counts = entity_counts(c, patterns)
-    return reduce(lambda a, b: a | b, [counts[label] > 0 for label, _ in patterns])

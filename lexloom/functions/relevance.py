@@ -115,7 +115,7 @@ def court_overlap_score(name, summary, court, case_topics, prior, query_tokens,
 
 def search_terms(query, topic, *, anchors=D.COURT_ANCHORS, phrases=D.SEARCH_PHRASES, stop_words=D.SEARCH_STOP_WORDS,
                  pathway=D.REQUIRED_PATHWAY, pathway_terms: str = D.PATHWAY_SEARCH_TERMS,
-                 default_terms=D.DEFAULT_SEARCH_TERMS, limit: int = 10, flags: str = D.I) -> Column:
+                 default_terms=D.DEFAULT_SEARCH_TERMS, limit: int | None = None, flags: str = D.I) -> Column:
     """Search string: topic anchors, phrases the question calls for, then its own unseen words."""
     query, topic = lit_or_col(query), lit_or_col(topic)
     none = F.array().cast("array<string>")
@@ -130,6 +130,6 @@ def search_terms(query, topic, *, anchors=D.COURT_ANCHORS, phrases=D.SEARCH_PHRA
         .otherwise(F.concat(acc, F.array(w))),
     )
     terms = F.when(F.size(terms) == 0, strings(default_terms)).otherwise(terms)
-    text = F.array_join(F.slice(terms, 1, limit), " ")
+    text = F.array_join(terms if limit is None else F.slice(terms, 1, limit), " ")
     gate = _for_topic(topic, pathway, lambda p: query.rlike(flags + p)) if pathway else F.lit(False)
     return F.when(gate, F.lit(pathway_terms)).otherwise(text)

@@ -14,11 +14,7 @@ def _pattern_test(flags):
 
 
 def detect_topic(c, patterns=D.CORPUS_TOPIC_PATTERNS, sample: int | None = None, flags: str = D.I) -> Column:
-    """First topic whose pattern occurs; ``sample`` limits the characters read.
-
-    The classifier looks for a document's topic in its opening only, so that
-    limit is part of its meaning and is passed by ``classify``.
-    """
+    """First topic whose pattern occurs, in the whole text or its first ``sample`` characters."""
     c = lit_or_col(c)
     return first_rule(F.left(c, F.lit(sample)) if sample else c, patterns, _pattern_test(flags))
 
@@ -94,15 +90,15 @@ def keyword_hits(c, words) -> Column:
 
 
 def classify(text, header_topic=None, header_source=None, law_words=D.LAW_KEYWORDS, case_words=D.CASE_KEYWORDS,
-             topic_patterns=D.CORPUS_TOPIC_PATTERNS, flags: str = D.I) -> Column:
-    """STRUCT(doc_type, confidence, topic) of a document."""
+             topic_patterns=D.CORPUS_TOPIC_PATTERNS, flags: str = D.I, sample: int | None = None) -> Column:
+    """STRUCT(doc_type, confidence, topic) of a document, from its whole text or its first ``sample`` characters."""
     text = lit_or_col(text)
     none = F.lit(None).cast("string")
     head_topic = F.nullif(header_topic, F.lit("")) if header_topic is not None else none
     trusted = F.coalesce(header_source == D.TRUSTED_LAW_SOURCE, F.lit(False)) if header_source is not None else F.lit(False)
-    sample = F.lower(F.left(text, F.lit(D.CLASSIFY_SAMPLE_CHARS)))
-    topic = F.coalesce(head_topic, detect_topic(text, topic_patterns, D.TOPIC_SAMPLE_CHARS, flags))
-    scores = let(sample, lambda s: F.struct(keyword_hits(s, law_words).alias("law"), keyword_hits(s, case_words).alias("case")))
+    opening = F.lower(text if sample is None else F.left(text, F.lit(sample)))
+    topic = F.coalesce(head_topic, detect_topic(text, topic_patterns, sample, flags))
+    scores = let(opening, lambda s: F.struct(keyword_hits(s, law_words).alias("law"), keyword_hits(s, case_words).alias("case")))
 
     def verdict(k):
         law, case = k["law"], k["case"]
@@ -129,6 +125,3 @@ def alert_type(url, title, content, url_rules=D.URL_ALERT_TYPES, text_rules=D.TE
     )
     return F.coalesce(by_url, by_text, F.lit(default))
 
-
-def matches_any(c, patterns, flags: str = D.I) -> Column:
-    return any_match(c, patterns, flags)

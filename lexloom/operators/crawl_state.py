@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
 from ..rules import domain as D
-from .skew import first_per_key, lookback_blocks, split_rank
+from .skew import arrival_bucket, first_per_key, lookback_blocks, split_rank
 
 RECORD_COLUMNS = [
     "url", "content_hash", "source_type", "doc_type", "title", "status", "error_message",
@@ -25,7 +25,7 @@ def detect_changes(pages: DataFrame, previous: DataFrame, order: str = "page_id"
     """
     hashed = pages.withColumn("new_hash", content_hash("content"))
     slim = hashed.select("url", order, "new_hash")
-    ranked = split_rank(slim, ["url"], [order], F.floor(F.col(order) / width), "_rank")
+    ranked = split_rank(slim, ["url"], [order], arrival_bucket(slim, order, width), "_rank")
     blocks = lookback_blocks(ranked, "_rank", 1, block)
     w = Window.partitionBy("url", "_block").orderBy("_rank")
     chained = blocks.withColumn("_before", F.lag("new_hash").over(w)).where(~F.col("_context"))
@@ -43,11 +43,6 @@ def detect_changes(pages: DataFrame, previous: DataFrame, order: str = "page_id"
     )
 
 
-def record_update(change_type: Column) -> Column:
-    """Record status for a processed page."""
-    return F.when(change_type == "unchanged", "unchanged").otherwise(change_type)
-
-
 def upsert_records(previous: DataFrame, results: DataFrame, at: Column, order: str = "page_id") -> DataFrame:
     """Record snapshot after a batch of results.
 
@@ -97,7 +92,7 @@ def assign_versions(arrivals: DataFrame, existing: DataFrame | None = None, orde
                     width: int = 100_000) -> DataFrame:
     """Next version per (filename, doc_type), in arrival order, on top of stored versions."""
     keys = ["filename", "doc_type"]
-    ranked = split_rank(arrivals, keys, [order], F.floor(F.col(order) / width), "_rank")
+    ranked = split_rank(arrivals, keys, [order], arrival_bucket(arrivals, order, width), "_rank")
     if existing is None:
         return ranked.withColumnRenamed("_rank", "version")
     base = existing.groupBy(*keys).agg(F.max("version").alias("_base"))
@@ -109,8 +104,9 @@ def assign_versions(arrivals: DataFrame, existing: DataFrame | None = None, orde
 def mark_latest(versioned: DataFrame, keys=("filename",)) -> DataFrame:
     """Adds ``is_latest``; the maximum is aggregated first, so a hot file name stays spread out."""
     keys = list(keys)
-    top = versioned.groupBy(*keys).agg(F.max("version").alias("_top"))
-    return versioned.join(top, keys).withColumn("is_latest", F.col("version") == F.col("_top")).drop("_top")
+    top = versioned.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("version").alias("_top"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return versioned.join(top, same).withColumn("is_latest", F.col("version") == F.col("_top")).drop("_top", *[f"_k_{k}" for k in keys])
 
 
 def dedupe_by_id(df: DataFrame, key: str, order: list) -> DataFrame:

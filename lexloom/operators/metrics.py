@@ -248,8 +248,8 @@ def document_rollup(chunks: DataFrame) -> DataFrame:
     )
 
 
-def eval_rollup(scores: DataFrame, first_n: int | None = 20) -> DataFrame:
-    """Mean of the first ``n`` per-question scores and its grade band."""
+def eval_rollup(scores: DataFrame, first_n: int | None = None) -> DataFrame:
+    """Mean of the per-question scores, or of the first ``first_n``, and its grade band."""
     rows = scores.orderBy("item_id").limit(first_n) if first_n else scores
     mean = rows.agg(
         F.count(F.lit(1)).alias("num_questions"), F.avg(F.col("score").cast("decimal(20,6)")).cast("double").alias("m")

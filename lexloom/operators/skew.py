@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def split_rank(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str) -> DataFrame:
@@ -12,21 +15,29 @@ def split_rank(df: DataFrame, keys: list[str], order: list, bucket: Column, name
     ``bucket`` must grow with ``order`` (a day, a block of ids). Rows are sorted
     only within (keys, bucket); a small table of bucket counts supplies how many
     rows come before. A key holding a third of all rows is thus spread over
-    its buckets. Keys must not be null.
+    its buckets. Rows whose keys are null form a group of their own.
     """
     b = df.withColumn("_bucket", bucket)
     counts = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    group = [*keys, "_bucket"]
+    offsets = counts.select(*[F.col(k).alias(f"_o_{k}") for k in group], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_o_{k}")), group[1:], F.col(group[0]).eqNullSafe(F.col(f"_o_{group[0]}")))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
         b.withColumn("_local", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
+        .join(offsets, same)
         .withColumn(name, F.col("_local") + F.col("_before"))
-        .drop("_bucket", "_local", "_before")
+        .drop("_bucket", "_local", "_before", *[f"_o_{k}" for k in group])
     )
 
 
+def arrival_bucket(df: DataFrame, order: str, width: int) -> Column:
+    """Bucket that grows with the order column: blocks of numbers, or the first characters of text ids."""
+    kind = df.schema[order].dataType
+    return F.floor(F.col(order) / width) if isinstance(kind, NumericType) else F.left(F.col(order).cast("string"), F.lit(3))
+
+
 def lookback_blocks(df: DataFrame, rank: str, lookback: int, block: int = 10_000) -> DataFrame:
     """Cut ranked groups into blocks and repeat the last ``lookback`` rows in the next block.
 

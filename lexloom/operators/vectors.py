@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ ALL = "*"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    sizes = np.unique(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of unequal length: {sizes[:5].tolist()}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(column), -1)
 
@@ -32,9 +36,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def keep_best(q: np.ndarray, items: np.ndarray, s: np.ndarray, k: int):
-    """Best k rows per question; equal scores fall to the smaller id."""
+    """Best k rows per question; equal scores fall to the smaller id. A row found in several cells counts once."""
     order = np.lexsort((items, -s, q))
     q, items, s = q[order], items[order], s[order]
+    if len(q):
+        new = np.r_[True, (q[1:] != q[:-1]) | (items[1:] != items[:-1])]
+        q, items, s = q[new], items[new], s[new]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], int)
     rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
     keep = rank < k

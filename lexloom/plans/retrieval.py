@@ -55,11 +55,8 @@ def matter_topic(c: Column) -> Column:
     return F.when(c == "h4_ead", F.lit("h4")).otherwise(F.nullif(c, F.lit("")))
 
 
-def scope_members(corpus: DataFrame, max_docs: int | None = D.MAX_SCOPED_DOCS) -> DataFrame:
-    """(doc_type, scope, document_id): the documents a scope searches, the first ``max_docs`` by id.
-
-    The bound is the search's own candidate limit; ``None`` searches all.
-    """
+def scope_members(corpus: DataFrame, max_docs: int | None = None) -> DataFrame:
+    """(doc_type, scope, document_id): the documents a scope searches: all, or the first ``max_docs`` by id."""
     by_topic = corpus.where(F.col("topic").isNotNull()).select("doc_type", F.col("topic").alias("scope"), "document_id")
     every = corpus.select("doc_type", F.lit(ALL).alias("scope"), "document_id")
     both = by_topic.unionByName(every)
@@ -91,7 +88,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int = D.TOP_K, q
 
 
 def retrieve(scoped: DataFrame, corpus: DataFrame, chunks: DataFrame, top_k: int = D.TOP_K,
-             max_docs: int | None = D.MAX_SCOPED_DOCS, query_text: str = "query_text") -> DataFrame:
+             max_docs: int | None = None, query_text: str = "query_text") -> DataFrame:
     """Laws and decisions per question, ``top_k`` each, as rows with ``source``.
 
     Each question asks once per source; both are answered in one pass over the chunks.
@@ -120,7 +117,7 @@ def filter_relevant(cands: DataFrame, min_score: str = D.MIN_RELEVANCE, prefix:
 
 
 def answer_contexts(scoped: DataFrame, corpus: DataFrame, chunks: DataFrame, mappings: DataFrame, courts: DataFrame | None = None,
-                    scorer: str | None = None, section_pattern: str = D.SECTION_REF, max_docs: int | None = D.MAX_SCOPED_DOCS,
+                    scorer: str | None = None, section_pattern: str = D.SECTION_REF, max_docs: int | None = None,
                     search_text: str = "search_text", user_text: str = "query_text", **rules) -> DataFrame:
     """Questions to contexts: search, rerank, one chunk per decision, relevance, section resolution, assembly.
 

@@ -43,7 +43,10 @@ def _shared(r: Column, base_url: str):
 
 def parse_search_results(df: DataFrame, json_col: str = "result", base_url: str = D.COURT_BASE_URL,
                          topic_words=D.COURT_TOPIC_WORDS, outcomes=D.COURT_OUTCOMES, summary_chars: int = 300) -> DataFrame:
-    """One flat row per search result; each value comes from the first key that has one."""
+    """One flat row per search result; each value comes from the first key that has one.
+
+    ``summary`` shows the opening of the snippet; topics and outcome come from all of it.
+    """
     def flat(c):
         name, case_id, url, snippet = _shared(c, base_url)
         summary = let(snippet, lambda s: F.nullif(
@@ -58,25 +61,26 @@ def parse_search_results(df: DataFrame, json_col: str = "result", base_url: str
                 F.nullif(F.try_element_at(c["citation"], F.lit(1)), F.lit("")),
                 _first(c, "neutralCite", "lexisCite", "docketNumber"),
             ).alias("citation"),
-            summary.alias("summary"), url.alias("url"), F.coalesce(c["meta"]["score"]["bm25"], F.lit(0.5)).alias("prior"),
+            summary.alias("summary"), F.coalesce(snippet, F.lit("")).alias("_whole"), url.alias("url"), F.coalesce(c["meta"]["score"]["bm25"], F.lit(0.5)).alias("prior"),
         )
 
     none = F.array().cast("array<string>")
-    text = F.lower(F.concat(F.col("_f.case_name"), F.lit(" "), F.coalesce("_f.summary", F.lit(""))))
+    text = F.lower(F.concat(F.col("_f.case_name"), F.lit(" "), F.col("_f._whole")))
     topics = let(text, lambda t: F.filter(
         F.array(*[F.when(any_contains(t, ws), F.lit(name)) for name, ws in topic_words.items()]) if topic_words else none,
         lambda x: x.isNotNull(),
     ))
     others = [x for x in df.columns if x != json_col]
     return df.withColumn("_f", let(F.from_json(json_col, RESULT_SCHEMA), flat)).select(
-        *others, "_f.*", topics.alias("case_topics"), outcome(F.coalesce("_f.summary", F.lit("")), outcomes).alias("outcome")
-    )
+        *others, "_f.*", topics.alias("case_topics"), outcome(F.col("_f._whole"), outcomes).alias("outcome")
+    ).drop("_whole")
 
 
-def opinion_text(plain, html, min_plain: int = 500, limit: int = 50_000) -> Column:
-    """Plain text above ``min_plain`` characters, else the page without tags; stored up to ``limit``."""
+def opinion_text(plain, html, min_plain: int = 500, limit: int | None = None) -> Column:
+    """Plain text above ``min_plain`` characters, else the page without tags; whole unless ``limit`` cuts it."""
     plain, html = F.coalesce(lit_or_col(plain), F.lit("")), F.coalesce(lit_or_col(html), F.lit(""))
-    return F.left(F.when(F.length(plain) > min_plain, plain).otherwise(drop_tags(html, " ")), F.lit(limit))
+    text = F.when(F.length(plain) > min_plain, plain).otherwise(drop_tags(html, " "))
+    return text if limit is None else F.left(text, F.lit(limit))
 
 
 def parse_decisions(df: DataFrame, source_type: str, json_col: str = "result", base_url: str = D.COURT_BASE_URL,
@@ -97,7 +101,7 @@ def parse_decisions(df: DataFrame, source_type: str, json_col: str = "result", b
         )
 
     def record(d):
-        evidence = F.concat_ws(" ", d["snippet"], d["syllabus"], F.left(d["full"], F.lit(2000)))
+        evidence = F.concat_ws(" ", d["snippet"], d["syllabus"], d["full"])
         return F.struct(
             d["url"].alias("url"), d["case_id"].alias("case_id"),
             F.concat(d["name"], F.lit(" ("), F.coalesce(F.nullif(d["citation"], F.lit("")), d["case_id"]), F.lit(")")).alias("title"),

@@ -111,5 +111,7 @@ def serialise(title, source, url, doc_type, content, metadata=None) -> Column:
     return F.concat(F.concat_ws("\n", *parts), F.lit("\n\n" + "=" * 60 + "\n\n"), lit_or_col(content))
 
 
-def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
-    df.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
+def write_texts(df: DataFrame, path: str, text: str = "text", filename: str = "filename") -> None:
+    """One folder and file per file name, the form ``read_text_files`` reads back document by document."""
+    named = df.select(F.col(text).alias("value"), F.col(filename).alias("filename"))
+    named.repartition("filename").write.mode("overwrite").partitionBy("filename").text(path)

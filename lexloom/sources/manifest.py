@@ -19,13 +19,6 @@ def expand(parts: DataFrame, prefix: str = D.CHAPTER_URL_PREFIX) -> DataFrame:
     )
 
 
-def default_manifest(spark: SparkSession) -> DataFrame:
-    """Direct and extended chapters, distinct."""
-    schema = "volume int, part string, n_chapters int"
-    direct, extra = (spark.createDataFrame(x, schema) for x in (D.DIRECT_MANIFEST, D.EXTENDED_MANIFEST))
-    return union(expand(direct), expand(extra))
-
-
 def union(*urls: DataFrame) -> DataFrame:
     out = urls[0]
     for u in urls[1:]:

@@ -10,13 +10,13 @@ from ..rules import domain as D
 from ..session import materialise
 
 
-def stored_chunks(chunks: DataFrame, widths: dict = D.STORED_WIDTHS) -> DataFrame:
-    """Chunk rows as the two collections hold them: widths bounded, no nulls in text columns."""
+def stored_chunks(chunks: DataFrame, columns=tuple(D.STORED_WIDTHS), widths: dict | None = None) -> DataFrame:
+    """Chunk rows as the two collections hold them: no nulls in text columns; ``widths`` bounds them for a store that needs it."""
     cols = [
-        F.left(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(widths[c])).alias(c) if c in widths else F.col(c)
-        for c in chunks.columns
+        F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in columns else F.col(c) for c in chunks.columns
     ]
-    return chunks.select(*cols)
+    out = chunks.select(*cols)
+    return out.withColumns({c: F.left(c, F.lit(n)) for c, n in (widths or {}).items() if c in out.columns})
 
 
 def write_corpus(chunks: DataFrame, path: str) -> None:

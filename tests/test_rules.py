@@ -185,3 +185,18 @@ def test_prompt_sections(one):
     assert "## FOLLOW-UP CONTEXT\nPrior question: before" in p.user_message and "COURT" not in p.user_message
     assert p.user_message.startswith("## QUERY CONTEXT\nVisa Category: H1B\n") and "Annual cap" in p.user_message
     assert p.total_chars == len(p.system_message) + len(p.user_message)
+
+
+def _page(one, html):
+    from lexloom.sources.pages import page_text
+
+    return one({"h": html}, page_text("h", min_chars=10))
+
+
+def test_page_text_follows_the_tree(one):
+    pad = "long enough to count as main text"
+    assert _page(one, f'<body><div class="main-content"><div>title</div><p>{pad}</p><div><div>deep</div>tail</div></div><p>out</p></body>') == f"title\n{pad}\ndeep\ntail"
+    assert _page(one, f'<body><nav><div>a</div><nav>b</nav>c</nav><main>{pad}<script>if (a < b) "</p>"</script></main></body>') == pad
+    assert _page(one, f'<div id="main-content"><p>one {pad}<p>two<br>three &amp; four</div><div>after</div>') == f"one {pad}\ntwo\nthree & four"
+    assert _page(one, f"<body><main>x</main><p>{pad}</p></body>") == f"x\n{pad}"  # too short: the body
+    assert _page(one, "") == "" and _page(one, None) == ""

@@ -173,3 +173,53 @@ def test_packing_model(one):
     for _ in range(20):
         t = "\n\n".join("x" * random.choice([0, 3, 20, 45, 90]) for _ in range(12))
         assert one({"t": t}, pack_paragraphs("t", 10)) == model(t, 40)
+
+
+def test_null_keys_and_text_ids_keep_their_rows(spark):
+    from lexloom.operators import crawl_state as CS
+
+    rows = [("a1", None, "law"), ("a2", None, "law"), ("b1", "x", None), ("c9", "x", None)]
+    df = spark.createDataFrame(rows, "document_id string, filename string, doc_type string")
+    got = CS.mark_latest(CS.assign_versions(df), ["filename", "doc_type"]).orderBy("document_id").collect()
+    assert [(r.document_id, r.version, r.is_latest) for r in got] == [("a1", 1, False), ("a2", 2, True), ("b1", 1, False), ("c9", 2, True)]
+    pages = spark.createDataFrame([("p1", None, "t"), ("p2", None, "t"), ("p3", "u", "t")], "page_id string, url string, content string")
+    none = spark.createDataFrame([], "url string, content_hash string, status string")
+    kinds = {r.page_id: r.change_type for r in CS.detect_changes(pages, none).collect()}
+    assert kinds == {"p1": "new", "p2": "unchanged", "p3": "new"}
+
+
+def test_item_in_two_cells_counts_once(spark):
+    from lexloom.operators.vectors import knn
+
+    q = spark.createDataFrame([(1, [1.0, 0.0], ["a", "b"])], "query_id long, embedding array<double>, cells array<string>")
+    x = spark.createDataFrame([(1, [1.0, 0.0], ["a", "b"]), (2, [1.0, 1.0], ["a", "b"]), (3, [0.0, 1.0], ["b"])], "chunk_id long, embedding array<double>, cells array<string>")
+    assert [r.chunk_id for r in knn(q, x, 3).orderBy("dense_pos").collect()] == [1, 2, 3]
+
+
+def test_every_document_of_a_scope_is_searched(spark):
+    from lexloom.plans.retrieval import scope_members
+
+    df = spark.range(200).selectExpr("'law' as doc_type", "'t' as topic", "id as document_id")
+    assert scope_members(df).where("scope = 't'").count() == 200 and scope_members(df, 50).where("scope = 't'").count() == 50
+
+
+def test_texts_are_read_back_one_per_document(spark, tmp_path):
+    from lexloom.sources.documents import read_text_files, write_texts
+
+    df = spark.createDataFrame([("a.txt", "one\ntwo"), ("b.txt", "three")], "filename string, text string")
+    write_texts(df, str(tmp_path / "texts"))
+    assert sorted(r.text.strip() for r in read_text_files(spark, str(tmp_path / "texts")).select("text").collect()) == ["one\ntwo", "three"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lexloom.session import scratch_base
+
+    conf = lambda **kv: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: kv.get(k.replace(".", "_"), d)))
+    assert scratch_base(conf(spark_checkpoint_dir="s3://x/y/")) == "s3://x/y"
+    assert scratch_base(conf(spark_master="local[4]", spark_sql_warehouse_dir="file:/w")) == "file:/w/_scratch"
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_base(conf(spark_master="spark://host:1"))
