@@ -21,16 +21,16 @@ def _events(spark, sf):
 
 
 @query("stream_volume", check("""
-    select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n_queries from {events}
-    where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from {events}) group by 1"""))
+    select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n_queries from {events} group by 1"""))
 def stream_volume(spark, sf):
-    out = J.run_to_table(J.volume(_events(spark, sf)), "volume")
+    out = J.latest(J.run_to_updates(J.volume(_events(spark, sf)), "volume"), ["start"])
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_queries")
 
 
 @query("stream_rate_limit", ORACLES["rate_limit_violations"])
 def stream_rate_limit(spark, sf):
-    return J.run_to_table(J.rate_limit(_events(spark, sf), ["event_type", "user_id"], "created_at", 1, 21_600), "limit")
+    out = J.run_to_table(J.rate_limit(_events(spark, sf), ["event_type", "user_id"], "created_at", 1, 21_600), "limit")
+    return out.groupBy("event_type", "user_id", "second").agg(F.max("n_seconds").alias("n_seconds"))
 
 
 @query("stream_cache_ttl", check("""

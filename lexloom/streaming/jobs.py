@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.crawl_state import RECORD_COLUMNS
 from ..plans.ingestion import process_crawl
@@ -36,24 +37,53 @@ def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpo
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_to_updates(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Process everything available in update mode; returns every batch's changed rows with ``_batch``.
+
+    A batch replaces its own folder, so one that is run again after a failure counts
+    once. With a ``path`` and ``checkpoint`` of its own the job goes on where it stopped.
+    """
+    spark = stream.sparkSession
+    path = path or scratch_dir(spark, label)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/_batch={batch}")
+
+    q = (
+        stream.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint or scratch_dir(spark, label + "-state"))
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/_batch=*")
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key: open windows are in it with what they hold so far."""
+    values = [c for c in updates.columns if c not in (*keys, "_batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*")
+
+
 def volume(events: DataFrame, at: str = "created_at", width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Questions per tumbling window, emitted once the watermark has passed the window."""
+    """Questions per tumbling window; windows behind the watermark leave the state."""
     return (
         events.withWatermark(at, delay).groupBy(F.window(at, width)).agg(F.count(F.lit(1)).alias("n_queries"))
         .select(F.col("window.start").alias("start"), "n_queries")
     )
 
 
-def rate_limit(events: DataFrame, keys: list[str], at: str, limit: int, window_seconds: int, delay: str = "10 minutes") -> DataFrame:
+def rate_limit(events: DataFrame, keys: list[str], at: str, limit: int, window_seconds: int, delay_seconds: int = 600) -> DataFrame:
     """Seconds in which a key exceeds ``limit`` active seconds of the trailing window.
 
     A second counts once per key: repeats are dropped before they reach the
-    state, which holds at most ``window_seconds`` numbers per key and expires with
-    the watermark.
+    state, which holds the seconds of the window and the permitted delay and expires
+    with the watermark. A late second raises the counts of those after it, which are
+    emitted again: the largest count of a second is its count.
     """
     seconds = (
         events.select(*keys, F.date_trunc("second", at).alias("_at"))
-        .withWatermark("_at", delay)
+        .withWatermark("_at", f"{delay_seconds} seconds")
         .dropDuplicatesWithinWatermark([*keys, "_at"])
         .withColumn("_sec", F.unix_seconds("_at"))
     )
@@ -68,13 +98,15 @@ def rate_limit(events: DataFrame, keys: list[str], at: str, limit: int, window_s
         fresh = sorted({int(s) for f in frames for s in f["_sec"]} - set(held))
         both = sorted({*held, *fresh})
         rows = []
-        for s in fresh:
+        hold = window_seconds + delay_seconds
+        touched = {s for s in both if any(f <= s < f + window_seconds for f in fresh)} if held and fresh and fresh[0] < held[-1] else fresh
+        for s in sorted(touched):
             n = bisect.bisect_right(both, s) - bisect.bisect_right(both, s - window_seconds)
             if n > limit:
                 rows.append((*key, s, n))
-        both = [s for s in both if s > both[-1] - window_seconds]
+        both = [s for s in both if s > both[-1] - hold]
         state.update((both,))
-        state.setTimeoutTimestamp(max((both[-1] + window_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((both[-1] + hold) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[*keys, "second", "n_seconds"])
 
     return seconds.groupBy(*keys).applyInPandasWithState(
