@@ -143,12 +143,15 @@ def token_estimate(spark, sf):
 
 
 @query("min_length_filters", check(r"""
-    select document_id, chunk_index, length(text) as n_chars from {lines} where length(text) >= 50"""))
+    select document_id, chunk_index, kind, length(text) as n_chars
+    from (select *, case document_id % 4 when 0 then 'chunk' when 1 then 'page' when 2 then 'article' else 'chapter' end as kind from {lines})
+    where length(text) >= case kind when 'chunk' then 50 when 'page' then 20 when 'article' then 100 else 200 end"""))
 def min_length_filters(spark, sf):
-    from ..operators.chunking import long_enough
+    from ..operators.chunking import long_enough_by_kind
 
-    return long_enough(view(spark, sf, "lines"), "text", D.MIN_CHUNK_CHARS).select(
-        "document_id", "chunk_index", F.length("text").alias("n_chars"))
+    kinds = F.array(*[F.lit(k) for k in ("chunk", "page", "article", "chapter")])
+    lines = view(spark, sf, "lines").withColumn("kind", F.get(kinds, (F.col("document_id") % 4).cast("int")))
+    return long_enough_by_kind(lines, "text", "kind").select("document_id", "chunk_index", "kind", F.length("text").alias("n_chars"))
 
 
 # --- personal data ------------------------------------------------------------

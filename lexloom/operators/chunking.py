@@ -134,3 +134,9 @@ def forward_fill(df: DataFrame, group: str, order: str, column: str) -> DataFram
 def long_enough(df: DataFrame, column: str, chars: int, strict: bool = False) -> DataFrame:
     n = F.length(column)
     return df.where(n > chars if strict else n >= chars)
+
+
+def long_enough_by_kind(df: DataFrame, column: str, kind: str, minima: dict = D.MIN_CHARS) -> DataFrame:
+    """Rows at least as long as the least length of their kind; kinds without one all stay."""
+    least = F.coalesce(*[F.when(F.col(kind) == k, F.lit(n)) for k, n in minima.items()], F.lit(0))
+    return df.where(F.length(column) >= least)

@@ -108,7 +108,7 @@ def merge_sources(primary: DataFrame, broader: DataFrame, group: str, key: str,
     """Primary results of a group, filled up with unseen broader ones where there are fewer than wanted."""
     both = primary.withColumn("_p", F.lit(0)).unionByName(broader.withColumn("_p", F.lit(1)))
     firsts = first_per_key(both, [group, key], ["_p", pos])
-    n = F.count_if(F.col("_p") == 0).over(Window.partitionBy(group))
-    merged = firsts.withColumn("_n", n).where((F.col("_p") == 0) | (F.col("_n") < wanted))
+    n = primary.select(group, key).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("_n"))  # counted before the rows meet
+    merged = firsts.join(n, group, "left").where((F.col("_p") == 0) | (F.coalesce("_n", F.lit(0)) < wanted))
     w = Window.partitionBy(group).orderBy("_p", pos)
     return merged.withColumn("_new", F.row_number().over(w)).drop(pos, "_p", "_n").withColumnRenamed("_new", pos)

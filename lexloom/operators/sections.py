@@ -34,6 +34,9 @@ def map_sections(refs: DataFrame, ref_vectors: DataFrame, law_chunks: DataFrame,
 def resolve_refs(cands: DataFrame, mappings: DataFrame, law_text: DataFrame, group: str = "query_id", pos: str = "pos",
                  pattern: str = D.SECTION_REF, max_refs: int = D.MAX_RESOLVED_REFS, chars: int = 500) -> DataFrame:
     """Append the current equivalent of each candidate's first reference, at most ``max_refs`` per question."""
+    first_ref = F.try_element_at(section_refs("text", pattern), F.lit(1))
+    asked = cands.select(first_ref.alias("old_section_ref")).where("old_section_ref is not null").distinct()
+    mappings = mappings.join(asked, "old_section_ref", "left_semi")  # text is joined for these only
     best = first_per_key(mappings, ["old_section_ref"], [F.desc("similarity_score"), "current_chunk_id"])
     current = best.join(
         law_text.select(F.col("chunk_id").alias("current_chunk_id"), F.left("text", F.lit(chars)).alias("_now")),
@@ -43,7 +46,6 @@ def resolve_refs(cands: DataFrame, mappings: DataFrame, law_text: DataFrame, gro
         F.coalesce("current_section", F.lit("None")).alias("_sec"),
         F.coalesce(F.col("current_doc_version").cast("string"), F.lit("None")).alias("_ver"), F.lit(True).alias("_found"),
     )
-    first_ref = F.try_element_at(section_refs("text", pattern), F.lit(1))
     joined = cands.withColumn("_ref", first_ref).join(current, "_ref", "left")
     w = Window.partitionBy(group).orderBy(pos)
     nth = F.sum(F.coalesce("_found", F.lit(False)).cast("int")).over(w)

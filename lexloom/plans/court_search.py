@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.relevance import court_overlap_score, court_query_tokens, score_text
-from ..functions.text import strip
+from ..functions.text import lit_or_col, strip
 from ..operators.blocks import bounded_grid
 from ..operators.ranking import merge_sources, words
 from ..operators.skew import first_per_key
@@ -115,6 +115,11 @@ def lexical_hits(queries: DataFrame, decisions: DataFrame, terms: str, courts, f
     return first_per_key(found, [group], [F.desc("hits"), "case_id"], fetch, "pos", keep=True).drop("hits")
 
 
+def court_topic(query, topic, pattern: str = D.EAD_QUESTION, base: str = "h4", own: str = "h4_ead", flags: str = D.I):
+    """Topic of a court search: questions on the base topic that ask about work permits are a topic of their own."""
+    return F.when((lit_or_col(topic) == base) & lit_or_col(query).rlike(flags + pattern), F.lit(own)).otherwise(lit_or_col(topic))
+
+
 def search_decisions(queries: DataFrame, decisions: DataFrame, known_topics, terms: str = "terms", wanted: int = 5,
                      fetch: int = 20, primary=D.PRIMARY_COURTS, broader=D.BROADER_COURTS, every=D.ALL_COURTS,
                      second=D.SECOND_PASS_COURTS, second_terms: str = D.SECOND_PASS_TERMS, pathway=D.REQUIRED_PATHWAY,
@@ -125,6 +130,7 @@ def search_decisions(queries: DataFrame, decisions: DataFrame, known_topics, ter
     came back; other questions search all courts. Pathway questions whose ranking
     is short get a second, fixed search whose results join the candidates.
     """
+    queries = queries.withColumn("topic", court_topic("query_text", "topic"))
     known = F.coalesce(F.col("topic").isin(*known_topics), F.lit(False))
     on_topic, open_ended = queries.where(known), queries.where(~known)
     near = lexical_hits(on_topic, decisions, terms, primary, fetch)

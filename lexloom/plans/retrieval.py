@@ -55,8 +55,13 @@ def matter_topic(c: Column) -> Column:
     return F.when(c == "h4_ead", F.lit("h4")).otherwise(F.nullif(c, F.lit("")))
 
 
-def scope_members(corpus: DataFrame, max_docs: int | None = None) -> DataFrame:
-    """(doc_type, scope, document_id): the documents a scope searches: all, or the first ``max_docs`` by id."""
+def scope_members(corpus: DataFrame, max_docs: int | None = None, latest_only: bool = False) -> DataFrame:
+    """(doc_type, scope, document_id): the documents a scope searches: all, or the first ``max_docs`` by id.
+
+    ``latest_only`` leaves out documents without ``is_latest``.
+    """
+    if latest_only:
+        corpus = corpus.where("is_latest")
     by_topic = corpus.where(F.col("topic").isNotNull()).select("doc_type", F.col("topic").alias("scope"), "document_id")
     every = corpus.select("doc_type", F.lit(ALL).alias("scope"), "document_id")
     both = by_topic.unionByName(every)
@@ -88,13 +93,13 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int = D.TOP_K, q
 
 
 def retrieve(scoped: DataFrame, corpus: DataFrame, chunks: DataFrame, top_k: int = D.TOP_K,
-             max_docs: int | None = None, query_text: str = "query_text") -> DataFrame:
+             max_docs: int | None = None, query_text: str = "query_text", latest_only: bool = False) -> DataFrame:
     """Laws and decisions per question, ``top_k`` each, as rows with ``source``.
 
     Each question asks once per source; both are answered in one pass over the chunks.
     """
     cell = lambda kind, scope: F.concat_ws("|", kind, scope)
-    members = scope_members(corpus, max_docs).select("document_id", cell("doc_type", "scope").alias("scope"))
+    members = scope_members(corpus, max_docs, latest_only).select("document_id", cell("doc_type", "scope").alias("scope"))
     asks = F.explode(F.filter(
         F.array(*[
             F.struct(F.lit(k).alias("source"), F.col(f"{k}_scope").alias("scope")) for k in ("law", "case")
@@ -117,7 +122,7 @@ def filter_relevant(cands: DataFrame, min_score: str = D.MIN_RELEVANCE, prefix:
 
 
 def answer_contexts(scoped: DataFrame, corpus: DataFrame, chunks: DataFrame, mappings: DataFrame, courts: DataFrame | None = None,
-                    scorer: str | None = None, section_pattern: str = D.SECTION_REF, max_docs: int | None = None,
+                    scorer: str | None = None, section_pattern: str = D.SECTION_REF, max_docs: int | None = None, latest_only: bool = False,
                     search_text: str = "search_text", user_text: str = "query_text", **rules) -> DataFrame:
     """Questions to contexts: search, rerank, one chunk per decision, relevance, section resolution, assembly.
 
@@ -125,7 +130,7 @@ def answer_contexts(scoped: DataFrame, corpus: DataFrame, chunks: DataFrame, map
     time with the file name in front.
     """
     scoped = materialise(scoped, "scoped")
-    found = retrieve(scoped, corpus, chunks, max_docs=max_docs, query_text=search_text)
+    found = retrieve(scoped, corpus, chunks, max_docs=max_docs, query_text=search_text, latest_only=latest_only)
     # a few rows per question, read once for laws and once for decisions
     ranked = rerank_top_n(found, ["query_id", "source"], scorer=scorer).join(
         scoped.select("query_id", user_text, "topic"), "query_id"

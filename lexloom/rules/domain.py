@@ -92,6 +92,7 @@ MIN_PARAGRAPH_CHARS = 100
 MIN_PAGE_CHARS = 20
 MIN_ARTICLE_CHARS = 100
 MIN_CHAPTER_CHARS = 200
+MIN_CHARS = {"chunk": MIN_CHUNK_CHARS, "page": MIN_PAGE_CHARS, "article": MIN_ARTICLE_CHARS, "chapter": MIN_CHAPTER_CHARS}
 HEADER_KEYS = [
     "title", "source", "url", "doc_type", "visa_type", "source_url",
     "policy_volume", "policy_part", "policy_chapter", "policy_title",

@@ -200,3 +200,10 @@ def test_page_text_follows_the_tree(one):
     assert _page(one, f'<div id="main-content"><p>one {pad}<p>two<br>three &amp; four</div><div>after</div>') == f"one {pad}\ntwo\nthree & four"
     assert _page(one, f"<body><main>x</main><p>{pad}</p></body>") == f"x\n{pad}"  # too short: the body
     assert _page(one, "") == "" and _page(one, None) == ""
+
+
+def test_court_topic(one):
+    from lexloom.plans.court_search import court_topic
+
+    run = lambda q, t: one({"q": q, "t": t}, court_topic("q", "t"))
+    assert run("Can an H-4 spouse file an I-765?", "h4") == "h4_ead" and run("H-4 extension", "h4") == "h4" and run("EAD", "f1") == "f1"
