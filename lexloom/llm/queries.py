@@ -130,7 +130,7 @@ def _pieces() -> sentencepiece_scan.Model:
 
 def encoded_digest(docs: DataFrame, model: sentencepiece_scan.Model) -> DataFrame:
     """Per document: n_ids, crc32 of its ids as little-endian int32, length and md5 of the decoded text."""
-    out = sentencepiece_scan.whole(sentencepiece_scan.with_text(sentencepiece_scan.encode(docs, model), model))
+    out = sentencepiece_scan.decode(sentencepiece_scan.whole(sentencepiece_scan.encode(docs, model)), model)
     return out.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
         F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"),

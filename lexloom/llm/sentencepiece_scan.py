@@ -58,6 +58,7 @@ class Model:
     def __post_init__(self):
         self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.longest = max(map(len, self.score), default=1)
+        self.by_words = not any(p[1] == SPACE != p[0] for p in self.pairs)  # no piece crosses into a space
         self.worst = min(self.score.values(), default=0.0) - 10
         self.links: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
@@ -141,7 +142,7 @@ class Model:
             if i == len(text) or text[i - 1 : i + 1] not in pairs:
                 part, start = text[start:i], i
                 if part not in known:
-                    if len(known) > 700_000:
+                    if len(known) > 300_000:
                         known.clear()
                     got = self.id_bytes(self.merged(part) if self.merges else self.best_path(part))
                     if len(part) > 256:
@@ -155,13 +156,25 @@ class Model:
         """Ids of a whole text, without chunks."""
         if not text:
             return b""
-        if " " in (text[0], text[-1]) or "  " in text or SPACE in text:
-            return b"".join(self.between(w) for w in _RUNS.findall(SPACE + text.replace(" ", SPACE)))
-        words, cuts = text.split(" "), self.cuts
+        return self.by_space(SPACE + text.replace(" ", SPACE))
+
+    def by_space(self, text: str) -> bytes:
+        """``between`` by words, each looked up as a whole."""
+        if not self.by_words:
+            return self.between(text)
+        if SPACE + SPACE in text or text[-1:] == SPACE:
+            return b"".join(self.between(w) for w in _RUNS.findall(text))
+        first, *words = text.split(SPACE)
+        if first:
+            return self.between(first) + self._words(words)
+        return self._words(words)
+
+    def _words(self, words: list[str]) -> bytes:
+        cuts = self.cuts
         try:
             return b"".join(map(cuts.__getitem__, words))
         except KeyError:
-            if len(cuts) > 700_000:
+            if len(cuts) > 300_000:
                 cuts.clear()
             for w in words:
                 if w not in cuts:
@@ -289,7 +302,7 @@ def trace(m: Model, text: str, p: int, q: int, i: int, j: int) -> bytes:
     a, b = cut
     head = _walk(m, text, p, a, left[i], None) if a > p else []
     tail = _walk(m, text, b, q, None, right[j]) if b < q else []
-    return m.id_bytes(head) + m.between(text[a:b]) + m.id_bytes(tail)
+    return m.id_bytes(head) + m.by_space(text[a:b]) + m.id_bytes(tail)
 
 
 def _walk(m: Model, text: str, p: int, q: int, entry: State, leave: State) -> list[str]:
@@ -394,7 +407,7 @@ def encode(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text
     most = long_.agg(F.max("chunks")).first()[0]
     if most is None:
         return done
-    spread = max(1, min(2048, long_.count() // 16))
+    spread = max(1, long_.count() // 256)
 
     def matrices(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -423,35 +436,28 @@ def encode(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text
     return done.unionByName(materialise(arrow_map(ready, back, kind), "traced"))
 
 
-def with_text(encoded: DataFrame, model: Model) -> DataFrame:
-    """Adds the decoded ``text`` of each chunk."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            for at in range(0, len(b["ids"]), 512):
-                part = {c: v[at : at + 512] for c, v in b.items()}
-                yield {**part, "text": [shared.value.decode(np.frombuffer(i, "<i4").tolist(), c == 0) for i, c in zip(part["ids"].to_pylist(), part["chunk"].to_pylist(), strict=True)]}
-
-    return arrow_map(encoded, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", text string")
-
-
 def whole(encoded: DataFrame) -> DataFrame:
-    """One row per document: ids (and text, if decoded) of its chunks in order; only documents of several chunks are grouped."""
-    rest = [c for c in encoded.columns if c not in ("row", "chunk", "chunks", "ids", "text")]
-    parts = [c for c in ("ids", "text") if c in encoded.columns]
-    one = encoded.where("chunks = 1").select(*rest, *parts)
-    grouped = encoded.where("chunks > 1").groupBy("row").agg(*[F.first(c).alias(c) for c in rest], F.array_sort(F.collect_list(F.struct("chunk", *parts))).alias("parts"))
+    """doc_id, ids (and kept columns), one row per document; only documents of several chunks are grouped."""
+    rest = [c for c in encoded.columns if c not in ("row", "chunk", "chunks", "ids")]
+    one = encoded.where("chunks = 1").select(*rest, "ids")
+    grouped = encoded.where("chunks > 1").groupBy("row").agg(*[F.first(c).alias(c) for c in rest], F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
 
     def join(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            got = b["parts"].to_pylist()
-            yield {**b, **{c: [(b"" if c == "ids" else "").join(x[c] for x in p) for p in got] for c in parts}}
+            yield {**b, "ids": [b"".join(x["ids"] for x in p) for p in b["parts"].to_pylist()]}
 
     kinds = {f.name: f.dataType.simpleString() for f in encoded.schema}
-    return one.unionByName(arrow_map(grouped, join, ", ".join(f"`{c}` {kinds[c]}" for c in [*rest, *parts])))
+    return one.unionByName(arrow_map(grouped, join, ", ".join(f"`{c}` {kinds[c]}" for c in [*rest, "ids"])))
+
 
+def decode(documents: DataFrame, model: Model) -> DataFrame:
+    """Adds ``text`` to the rows of ``whole``."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            for at in range(0, len(b["ids"]), 512):
+                part = {c: v[at : at + 512] for c, v in b.items()}
+                yield {**part, "text": [shared.value.decode(np.frombuffer(i.as_py(), "<i4").tolist()) for i in part["ids"]]}
 
-def decode(encoded: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text of every document of ``encode``."""
-    return whole(with_text(encoded, model)).drop("ids")
+    return arrow_map(documents, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", text string")

@@ -42,7 +42,7 @@ def test_chunks_and_fan(spark, model, monkeypatch, chunk):
     got = scan.whole(encoded).collect()
     key = lambda d, ids: (d is not None, d or 0, list(ids))
     assert sorted(key(r.doc_id, np.frombuffer(r.ids, "<i4").tolist()) for r in got) == sorted(key(d, PLAIN.encode(t or "")) for d, t in rows)
-    back = scan.decode(encoded, model).collect()
+    back = scan.decode(scan.whole(encoded), model).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in back) == sorted((d is not None, d or 0, t or "") for d, t in rows)
 
 
