@@ -85,7 +85,7 @@ def summed(df: DataFrame, per_task: Callable[[Iterator[dict]], np.ndarray], size
             yield {"slice": [k], "counts": [finish(v).astype(kind_of).tobytes()]}
 
     kind, out = "slice int, counts binary", np.zeros(size, kind_of)
-    parts = min(64, -(-size // slice_size))
+    parts = min(8, -(-size // slice_size))  # the driver takes one part at a time
     for r in arrow_map(arrow_map(df, count, kind).repartition(parts, "slice"), add, kind).toLocalIterator():
         part = np.frombuffer(r.counts, kind_of)
         out[r.slice * slice_size : r.slice * slice_size + len(part)] = part

@@ -302,7 +302,7 @@ def _mixer(words: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
         if m.total:
             yield {"total": [m.total], "weights": [m.weights.ravel()], "seen": [m.seen.ravel()]}
 
-    each = arrow_map(words.where("c > 0"), run, "total double, weights array<double>, seen array<double>")
+    each = materialise(arrow_map(words.where("c > 0"), run, "total double, weights array<double>, seen array<double>"), "mixers")
     flat = each.select("total", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("total")) / F.sum("total")).alias("w"))
     seen = each.select(F.posexplode("seen").alias("i", "w")).groupBy("i").agg(F.sum("w").alias("w"))
     for r in flat.collect():  # GATES * (K + 1) rows
