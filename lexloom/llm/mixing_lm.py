@@ -170,17 +170,17 @@ def contexts(words: list[bytes], cls: np.ndarray) -> tuple[np.ndarray, np.ndarra
         h = (h + b + np.uint64(1)) * _M1
         behind.append(h)
     style = (cls.astype(np.uint64) + np.uint64(1))[word] * _M3
-    partial = ((np.uint64(256) | raw)[:, None] >> np.arange(8, 0, -1, dtype=np.uint64)) * _M1
+    partial = ((np.uint64(256) | raw)[:, None] >> np.arange(8, 0, -1, dtype=np.uint64)).astype(np.int64)
     slots = np.empty((K, 8 * len(raw)), np.int64)
     for k, (order, classed, log2) in enumerate(CONTEXTS):
         h = (sofar if order < 0 else behind[order]) + np.uint64(k + 1)
-        h = xxmix(h ^ style if classed else h)[:, None] + partial
-        slots[k] = ((h ^ (h >> np.uint64(31))) * _M2 >> np.uint64(64 - log2)).ravel()
+        base = (xxmix(h ^ style if classed else h) >> np.uint64(64 - log2)).astype(np.int64)
+        slots[k] = ((base[:, None] + partial) & ((1 << log2) - 1)).ravel()  # the bits of a byte lie close together
     bits = ((raw[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
     return slots, bits.ravel(), np.repeat(word, 8)
 
 
-def _batches(b: dict, counts: str, size: int = 40_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+def _batches(b: dict, counts: str, size: int = 6_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
     """Words with their classes and counts (rows and classes where ``counts`` is not 0), about ``size`` bytes at a time."""
     words, table, at = b["word"].to_pylist(), np.array(b[counts].to_pylist(), np.int64).reshape(-1, CLASSES), 0
     ends = np.cumsum([(len(w) + 1) * max(1, k) for w, k in zip(words, (table > 0).sum(axis=1).tolist(), strict=True)])
@@ -253,8 +253,10 @@ class Mixer:
             depth += n0 + n1 > 0
         x[K] = 1
         gate = depth * 8 + np.tile(np.arange(8), len(bit) // 8)
-        w = self.weights[gate]
-        z = np.clip((x.T * w).sum(axis=1), -12, 12)
+        weights, z = self.weights.astype(np.float32), np.zeros(len(bit), np.float32)
+        for k in range(K + 1):
+            z += x[k] * weights[:, k].take(gate)
+        z = np.clip(z, -12, 12).astype(np.float64)
         return x, gate, z, bit, word
 
     def place(self, z: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -297,7 +299,7 @@ def _mixer(words: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
         m, step = Mixer(_unpacked(shared)), 0
         for b in batches:
             for ws, z, c, _ in _batches(b, "taught"):
-                m.learn(ws, z, c, max(0.02, 0.5 / (1 + step / 4)))
+                m.learn(ws, z, c, max(0.02, 0.5 / (1 + step / 25)))
                 step += 1
         if m.total:
             yield {"total": [m.total], "weights": [m.weights.ravel()], "seen": [m.seen.ravel()]}
