@@ -32,6 +32,17 @@ from .components import components
 PASSES, LEAST, BLOCK, BLOCKS = 14, 6, 1024, 2
 
 
+def threshold(dims: int, share: float) -> float:
+    """What the first coordinate of a random unit vector exceeds with probability ``share``."""
+    if share >= 1:
+        return -np.inf
+    if dims == 1:
+        return 0.5
+    angle = np.linspace(0, np.pi, 400_001)
+    below = np.cumsum(np.sin(angle) ** (dims - 2))
+    return float(np.cos(np.interp(share, below / below[-1], angle)))
+
+
 @dataclass
 class Caps:
     """Random product code over ``dims`` coordinates."""
@@ -49,10 +60,8 @@ class Caps:
         for b in self.blocks:
             c = rng.normal(size=(len(b), self.words))
             self.codes.append(c / np.linalg.norm(c, axis=0))
-        x = rng.normal(size=(4000, self.dims))
-        s = [(x / np.linalg.norm(x, axis=1, keepdims=True) @ self.turn)[:, b] @ c for b, c in zip(self.blocks, self.codes, strict=True)]
-        every = (s[0][:, :, None] + s[1][:, None, :]).reshape(len(x), -1) if len(s) == 2 else s[0]
-        self.threshold = float(np.quantile(every.ravel()[:: max(1, every.size // 2_000_000)], 1 - self.share))
+        # the blocks' codewords together are a direction of this length
+        self.threshold = np.sqrt(len(self.blocks)) * threshold(self.dims, self.share)
 
     def passed(self, x: np.ndarray) -> list[list[int]]:
         """Sorted numbers of the filters that each unit vector exceeds; the best ``LEAST`` if fewer."""

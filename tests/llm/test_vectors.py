@@ -1,5 +1,7 @@
 """Near-duplicate vectors and nearest vectors against brute force."""
 
+import tracemalloc
+
 import numpy as np
 from helpers import groups
 
@@ -52,6 +54,20 @@ def test_filters_find_close_pairs():
         assert np.mean([len(p) for p in caps.passed(x)]) < 3 * cap_filters.PASSES
 
 
+def test_threshold_is_exact_and_needs_no_memory():
+    tracemalloc.start()
+    caps = cap_filters.plan(640_000, 64)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1_000, 64))
+    n = [len(p) for p in caps.passed(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    assert 0.8 < np.mean(n) / cap_filters.PASSES < 1.3
+    u = rng.normal(size=(400_000, 8))
+    assert abs(np.mean(u[:, 0] > cap_filters.threshold(8, 0.01) * np.linalg.norm(u, axis=1)) - 0.01) < 0.001
+    assert cap_filters.threshold(1, 0.01) < 1
+
+
 def test_no_vectors(spark):
     assert cap_filters.near_duplicates(table(spark, [])).count() == 0
     assert {r.component_id for r in cap_filters.near_duplicates(table(spark, ODD)).collect()} == {i for i, _, _ in ODD}
