@@ -7,8 +7,11 @@ of one label that pass a common filter meet and are compared in double precision
 with several common filters counts in the smallest only.
 
 The number of filters follows the rows (``plan``): buckets keep about the same size, and
-each vector passes about ``PASSES`` filters. Buckets longer than ``BLOCK`` are dealt in
-blocks, each two of which meet in one group. Equal vectors are one from the start.
+each vector passes about ``PASSES`` filters of each round. Rounds have codes and rotations
+of their own, so a pair that one round misses with probability m is missed by r of them
+with m^r; there are as many as bring that under ``MISS`` at the least cosine linked.
+Buckets longer than ``BLOCK`` are dealt in blocks, each two of which meet in one group.
+Equal vectors are one from the start.
 
 Defined cases: a null label, and vectors that are null, zero, of another length than most
 or with null or non-finite components, link with nothing but keep their row; a null
@@ -30,6 +33,7 @@ from .common import arrow_map, materialise
 from .components import components
 
 PASSES, LEAST, BLOCK, BLOCKS = 14, 6, 1024, 2
+MISS, PAIRS, SLOW = 0.01, 2_000, 0.9  # allowed miss rate, pairs that measure it, miss of a round from which all pairs are compared
 
 
 def threshold(dims: int, share: float) -> float:
@@ -45,30 +49,37 @@ def threshold(dims: int, share: float) -> float:
 
 @dataclass
 class Caps:
-    """Random product code over ``dims`` coordinates."""
+    """Random product codes over ``dims`` coordinates, one a round."""
 
     dims: int
     words: int  # codewords of each block
-    share: float  # part of all filters that a vector passes
+    share: float  # part of a round's filters that a vector passes
+    rounds: int = 1
     seed: int = 11
 
     def __post_init__(self):
-        rng = np.random.default_rng(self.seed)
-        self.turn = np.linalg.qr(rng.normal(size=(self.dims, self.dims)))[0]
         self.blocks = np.array_split(np.arange(self.dims), min(BLOCKS, self.dims))
         self.codes = []
-        for b in self.blocks:
-            c = rng.normal(size=(len(b), self.words))
-            self.codes.append(c / np.linalg.norm(c, axis=0))
+        for r in range(self.rounds):
+            rng = np.random.default_rng(self.seed + r)
+            turn = np.linalg.qr(rng.normal(size=(self.dims, self.dims)))[0]
+            codes = [rng.normal(size=(len(b), self.words)) for b in self.blocks]
+            self.codes.append((turn, [c / np.linalg.norm(c, axis=0) for c in codes]))
         # the blocks' codewords together are a direction of this length
         self.threshold = np.sqrt(len(self.blocks)) * threshold(self.dims, self.share)
 
     def passed(self, x: np.ndarray) -> list[list[int]]:
-        """Sorted numbers of the filters that each unit vector exceeds; the best ``LEAST`` if fewer."""
-        scores = [(x @ self.turn)[:, b] @ c for b, c in zip(self.blocks, self.codes, strict=True)]
+        """Sorted numbers of the filters that each unit vector exceeds; the best ``LEAST`` of a round if fewer."""
+        out = [[] for _ in x]
+        for r in range(self.rounds):
+            for all_rounds, own in zip(out, self._round(x, *self.codes[r]), strict=True):
+                all_rounds += [r * self.words ** len(self.blocks) + f for f in own]
+        return out
+
+    def _round(self, x: np.ndarray, turn: np.ndarray, codes: list[np.ndarray]) -> Iterator[list[int]]:
+        scores = [(x @ turn)[:, b] @ c for b, c in zip(self.blocks, codes, strict=True)]
         if len(scores) == 1:
             scores.append(np.zeros((len(x), 1)))
-        out = []
         for first, second in zip(*scores, strict=True):
             best, order = float(second.max()), np.argsort(-second)
             ranked = second[order]
@@ -79,14 +90,31 @@ class Caps:
                 top = itertools.product(np.argsort(-first)[:LEAST].tolist(), order[:LEAST].tolist())
                 found = sorted(top, key=lambda p: -(first[p[0]] + second[p[1]]))[:LEAST]
                 found = [i * len(second) + j for i, j in found]
-            out.append(sorted(found))
-        return out
+            yield sorted(found)
+
 
+def missed(caps: Caps, cosine: float, pairs: int = PAIRS, seed: int = 0) -> float:
+    """Share of random pairs at ``cosine`` without a common filter."""
+    rng = np.random.default_rng(seed)
+    x, side = rng.normal(size=(2, pairs, caps.dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * side
+    return float(np.mean([set(a).isdisjoint(b) for a, b in zip(caps.passed(x), caps.passed(y), strict=True)]))
 
-def plan(rows: int, dims: int) -> Caps:
-    """Filters for the rows of the largest label: a filter is passed by about 64 of them, but by no more than a hundredth."""
+
+def plan(rows: int, dims: int, least: float = 0.93) -> Caps:
+    """Filters for the rows of the largest label: one is passed by about 64 of them, but by no more than a hundredth.
+
+    The miss rate of one round is measured at cosine ``least`` and taken three standard
+    errors higher; if rounds are too many, every vector passes the one filter there is.
+    """
     share = float(np.clip(64 / max(rows, 1), 1e-5, 0.01))
-    return Caps(dims, max(2, int(np.ceil(np.sqrt(PASSES / share)))), share)
+    words = max(2, int(np.ceil(np.sqrt(PASSES / share))))
+    m = missed(Caps(dims, words, share), min(least, 1.0))
+    m += 3 * np.sqrt(m * (1 - m) / PAIRS) + 3 / PAIRS
+    return Caps(dims, 1, 1.0) if m > SLOW else Caps(dims, words, share, max(1, int(np.ceil(np.log(MISS) / np.log(m)))))
 
 
 def clean(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str | None = "label") -> DataFrame:
@@ -159,7 +187,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
     """vec_id, n_links, component_id, kept for every row with a vec_id.
 
     Vectors of equal label link when their cosine is at least ``least``; pairs are found
-    with the probability of a common filter, and none below is linked.
+    with the probability of a common filter, 1 - ``MISS`` or more, and none below is linked.
     """
     every = materialise(clean(vectors, key, vector, label).withColumn("size", F.length("x")), "vectors")
     shape = every.where("x is not null and label is not null").groupBy("size").count().orderBy(F.desc("count"), "size").first()
@@ -168,7 +196,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
     good = (F.col("size") == shape.size) & F.col("label").isNotNull()
     reps = materialise(every.where(good).groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")), "distinct-vectors")
     rows = reps.groupBy("label").count().agg(F.max("count")).first()[0]
-    caps = plan(rows, shape.size // 8)
+    caps = plan(rows, shape.size // 8, least)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
