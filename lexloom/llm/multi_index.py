@@ -7,7 +7,8 @@ substring within r // substrings of the query's, so probing every bucket that ne
 each substring index retrieves all of them; these are reranked by the inner product in
 double precision. Every row is indexed, none is dropped by a bucket.
 
-The radius is read off the sample: it holds ``COVER`` of its rows' nearest neighbours.
+The radius is read off the sample: it holds ``COVER`` of its rows' nearest neighbours by
+inner product, counted from the code that the row has as a query.
 Queries go out in blocks of bounded size, each answered by one pass over the rows; a
 query that finds fewer than k rows is answered again with the full radius.
 
@@ -61,6 +62,10 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(top * top - (x * x).sum(axis=1, keepdims=True), 0))]) / top
 
 
+def as_query(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.zeros((len(x), 1))])
+
+
 class Index:
     """Buckets of each substring over some rows."""
 
@@ -84,15 +89,16 @@ class Index:
 
 
 def learn(sample: np.ndarray, top: float, k: int) -> tuple[np.ndarray, int]:
-    """Rotation, and the radius that holds COVER of the sample's own nearest neighbours."""
+    """Rotation, and the radius that holds COVER of the sample's own nearest neighbours, asked and answered as in the search."""
     x = lifted(sample, top)
     turn = rotation(x, 16 * SUBSTRINGS)
     code = codes(x, turn)
     q = np.arange(min(len(x), 500))
-    score = x[q] @ x[:, : x.shape[1]].T
+    asked = codes(as_query(sample[q]), turn)
+    score = sample[q] @ sample.T
     score[q, q] = -np.inf
     near = np.argsort(-score, axis=1)[:, : min(k, max(1, len(x) - 1))]
-    far = _ONES[code[q][:, None, :] ^ code[near]].sum(axis=2)
+    far = _ONES[asked[:, None, :] ^ code[near]].sum(axis=2)
     return turn, int(np.quantile(far, COVER, method="higher")) if len(x) > 1 else 16 * SUBSTRINGS
 
 
@@ -101,7 +107,7 @@ def _search(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], turn: np.nd
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         ids, vectors, turn = shared.value
-        asked = codes(np.hstack([vectors, np.zeros((len(vectors), 1))]), turn) if len(vectors) else []
+        asked = codes(as_query(vectors), turn) if len(vectors) else []
         best_id = [np.zeros(0, np.int64)] * len(ids)
         best = [np.zeros(0)] * len(ids)
         for b in batches:

@@ -111,3 +111,20 @@ def test_few_candidates_and_ties(spark):
     rows = [(0, [1.0, 0.0], 1), (3, [0.5, 0.0], 1), (2, [0.5, 0.0], 1), (0, [1.0, 0.0], 1)]
     got = multi_index.nearest(table(spark, rows), multi_index.F.col("vec_id") % 20 == 0, 20).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 2, 0.5), (0, 2, 3, 0.5)]
+
+
+@pytest.mark.parametrize("norms", ["uniform", "lognormal"])
+def test_radius_holds_neighbours_of_unequal_norms(norms):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= (rng.uniform(0.5, 1.5, len(x)) if norms == "uniform" else rng.lognormal(0, 0.5, len(x)))[:, None]
+    top = float(np.linalg.norm(x, axis=1).max())
+    turn, radius = multi_index.learn(x[: multi_index.SAMPLE], top, 20)
+    index = multi_index.Index(multi_index.codes(multi_index.lifted(x, top), turn))
+    asked, hits = multi_index.codes(multi_index.as_query(x[-100:]), turn), 0
+    for q in range(100):
+        s = x @ x[len(x) - 100 + q]
+        s[len(x) - 100 + q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & set(index.within(asked[q], radius).tolist()))
+    assert hits / 2_000 >= 0.95
