@@ -18,6 +18,7 @@ that nobody reads.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -50,7 +51,8 @@ class Encoder:
 
     A single space between two non-space characters always starts a new piece of the
     pre-tokenizer, so the pieces between such spaces encode independently and can be
-    remembered. The table is bounded by ``limit`` pieces.
+    remembered. The table is bounded by ``limit`` pieces. Texts that contain an added token
+    of the vocabulary go through the tokenizer whole, as it cuts these out first.
     """
 
     def __init__(self, tokenizer_json: bytes, end_id: int | None, limit: int = 1_000_000):
@@ -58,12 +60,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
+        self.added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or () if t["content"]]
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.limit, self.first, self.rest, self.subs = limit, {}, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes, with the end id appended."""
-        cut = [t.split(" ") if t else [] for t in texts]
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        cut = [t.split(" ") if t and i not in whole else [] for i, t in enumerate(texts)]
         if len(self.rest) + len(self.first) > self.limit:
             self.first.clear()
             self.rest.clear()
@@ -71,7 +75,10 @@ class Encoder:
             self.subs.clear()
         self._learn(self.first, {c[0] for c in cut if c}, "")
         self._learn(self.rest, set().union(*(c[1:] for c in cut)).difference(self.rest), " ")
-        return [self._join(c) if c else self.end for c in cut]
+        return [whole[i] if i in whole else self._join(c) if c else self.end for i, c in enumerate(cut)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
 
     def _join(self, cut: list[str]) -> bytes:
         try:

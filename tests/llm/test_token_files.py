@@ -27,6 +27,12 @@ def test_pieces_equal_whole_text(text):
     assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == direct(text)
 
 
+@pytest.mark.parametrize("text", ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|>\n c", "no <|endoftext |> token"])
+def test_added_tokens_equal_whole_text(text):
+    got = ENCODER.encode(["plain words", text, "", "plain again"])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [direct(t) for t in ("plain words", text, "", "plain again")]
+
+
 def test_write_and_read(spark, tmp_path):
     rows = [(5, "Some text here", "x"), (1, None, "x"), (3, "", "y"), (None, "no id", "z"), (9, "word " * 300_000, "x"), (5, "Some text here", "x"), (-2, "don't  stop \n", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
