@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages over ``documents``, each written and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but
-the last return the columns of documents; the last returns each document's piece ids.
+the last return the columns of documents; the last returns each document's piece ids and their text.
 Defined cases are those of the operators; an empty table passes through every stage.
 """
 
@@ -48,9 +48,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the piece ids (little-endian int32) of every document's text."""
-    ids = sentencepiece_scan.whole(sentencepiece_scan.encode(docs, queries._pieces(), keep=("source", "lang")))
-    return ids.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), (F.length("ids") / 4).cast("long").alias("n_ids"), "ids")
+    """doc_id, source, lang, the piece ids (little-endian int32) of every document's text and the text decoded from them."""
+    model = queries._pieces()
+    ids = sentencepiece_scan.decode(sentencepiece_scan.whole(sentencepiece_scan.encode(docs, model, keep=("source", "lang"))), model)
+    return ids.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), (F.length("ids") / 4).cast("long").alias("n_ids"), "ids", "text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -58,7 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("line dedup", drop_lines),
     ("n-gram Jaccard join", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
-    ("SentencePiece encoding", encode_pieces),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
 #: Stages with trained models and byte pieces are beyond SQL; tests hold the rows against brute force.

@@ -61,6 +61,14 @@ def test_stages(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_last_stage_decodes(spark, tmp_path):
+    texts = ["Some text  here", "", None, "caf\u00e9 \u6f22 \U0001f642", "word " * 9_000]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in enumerate(texts)], KIND)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == {d: sp.decode(sp.encode(t or "")) for d, t in enumerate(texts)}
+
+
 def test_empty_corpus_and_contract(spark, tmp_path):
     import __spark_entry__ as entry
 
