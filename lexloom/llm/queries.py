@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import scratch_dir
 
-from . import cap_filters, jaccard, line_dedup, mixing_lm, mixture, multi_index, quality, sentencepiece_scan, token_files, toxicity
+from . import alignment, cap_filters, jaccard, language, line_dedup, mixing_lm, mixture, multi_index, quality, sentencepiece_scan, token_files, toxicity, whitening
 from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,21 @@ def encoded_digest(docs: DataFrame, model: sentencepiece_scan.Model) -> DataFram
 @query
 def op9_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digest(documents(spark, sf_dir), _pieces())
+
+
+@query
+def op11_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.agreement(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op12_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, remainder(F.col("doc_id"), 3) != 1)
+    found = language.predict(docs, model)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_embeddings(spark, sf_dir))
