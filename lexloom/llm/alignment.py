@@ -25,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -37,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialise
-from .token_files import Encoder
 
 SPACE = "▁"
-BATCH = 1 << 21  # characters tokenized and aligned together
+BATCH = 1 << 18  # characters tokenized and aligned together
 FLUSH = 2_000_000  # distinct pairs a task holds before it hands them on
+WORDS = 400_000  # texts between spaces whose ids of side B a worker remembers
 LIMIT = 2_000_000  # pairs whose counts every task may hold
 
 
@@ -67,25 +68,59 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _PlainEncoder(Encoder):
-    """Special tokens' strings are ordinary text."""
+#: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary's format).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, tokenizer_json: bytes):
-        super().__init__(tokenizer_json, None)
-        self.tokenizer.encode_special_tokens = True
-        self.added = []
+
+_RUN = 10_000
+_BLANK = re.compile(rf"\s{{{_RUN}}}")
 
 
 @lru_cache(maxsize=2)
 def byte_level(tokenizer_json: bytes) -> Side:
-    """Side A: a byte-level vocabulary of the tokenizers library, over space + text."""
+    """Side A: a byte-level vocabulary file of the tokenizers library, over space + text.
+
+    Where merges are numbered in their order, as usual, ids also follow from ranks, which the faster
+    of the two installed libraries takes; texts with very long blank runs, on which its pattern gives
+    up, and other vocabularies go through the tokenizers library. Special tokens' strings are plain text in both.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder, alphabet = _PlainEncoder(tokenizer_json), _alphabet()
-    names = encoder.tokenizer.get_vocab()
+    from tokenizers import Tokenizer
+
+    whole, alphabet, plan = Tokenizer.from_buffer(tokenizer_json), _alphabet(), json.loads(tokenizer_json)
+    whole.encode_special_tokens = True
+    names = whole.get_vocab()
     pieces = [b""] * (max(names.values(), default=-1) + 1)
     for name, i in names.items():
         pieces[i] = bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode()
-    return Side(pieces, lambda texts: [np.frombuffer(e, "<u4") for e in encoder.encode([" " + t for t in texts])])
+
+    def slow(text: str) -> np.ndarray:
+        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    ranks = _ranks(plan, pieces)
+    if ranks is None:
+        return Side(pieces, lambda texts: [slow(" " + t) for t in texts])
+    import tiktoken
+
+    fast = tiktoken.Encoding("pairs", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) > _RUN and _BLANK.search(text):
+            return slow(text)
+        return np.array(fast.encode_ordinary(text), np.uint32)
+
+    return Side(pieces, lambda texts: [encode(" " + t) for t in texts])
+
+
+def _ranks(plan: dict, pieces: list[bytes]) -> dict[bytes, int] | None:
+    """Ranks of a vocabulary file whose only rules are byte-level merges numbered in their order; None for others."""
+    model, before = plan["model"], plan.get("pre_tokenizer") or {}
+    odd = plan.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model.get("ignore_merges")
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    vocab = model["vocab"]
+    if odd or model.get("type") != "BPE" or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    return {pieces[i]: i for i in range(256 + len(merges))}
 
 
 @lru_cache(maxsize=2)
@@ -99,7 +134,32 @@ def word_pieces(model: bytes) -> Side:
     for i, name in enumerate(names):
         byte = re.fullmatch(r"<0x([0-9A-F]{2})>", name) if sp.is_byte(i) else None
         pieces.append(bytes([int(byte[1], 16)]) if byte else name.replace(SPACE, " ").encode())
-    return Side(pieces, lambda texts: [np.array(ids, np.uint32) for ids in sp.encode(texts, num_threads=1)])
+    return Side(pieces, _Words(sp, names).encode)
+
+
+class _Words:
+    """SentencePiece ids of texts, with every distinct stretch between spaces encoded once.
+
+    This holds for models without a piece that crosses into a space, and texts in which each space
+    has other characters on both sides; other texts go through the library whole.
+    """
+
+    def __init__(self, sp, names: list[str]):
+        self.sp, self.known = sp, {}
+        self.apart = not any(SPACE in name.lstrip(SPACE) for name in names)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [self.apart and not (t[0] == " " or t[-1] == " " or "  " in t or SPACE in t) for t in texts]
+        cut = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
+        if len(self.known) > WORDS:
+            self.known.clear()
+        new = list(set().union(*cut).difference(self.known))
+        self.known.update(zip(new, map(self._packed, self.sp.encode(new, num_threads=1)), strict=True))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, c)) if p else self._packed(self.sp.encode(t)), "<u4") for t, c, p in zip(texts, cut, plain, strict=True)]
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
 
 
 def shared_cuts(a: np.ndarray, b: np.ndarray, a_from: np.ndarray, b_from: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,33 +169,27 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, a_from: np.ndarray, b_from: np.nda
     positions ``a_from`` and ``b_from`` (both have the total number of tokens as last entry) and
     end at shared ends.
     """
-    lo, hi, blo, bhi = a_from[:-1], a_from[1:] - 1, b_from[:-1], b_from[1:] - 1  # the last token of each ends at a shared cut
+    lo, hi = a_from[:-1], a_from[1:] - 1  # the last token of each ends at a shared cut
     some = hi >= lo
-    lo, hi, blo, bhi = lo[some], hi[some], blo[some], bhi[some]
-    found_a, found_b = [hi], [bhi]
-    step = np.zeros(len(lo), np.int64)
+    lo, hi = lo[some], hi[some]
+    found_a, found_b = [hi], [b_from[1:][some] - 1]
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    step = np.zeros_like(lo)
     while len(lo):
-        inside = (hi > lo) & (bhi > blo)  # an end lies inside both sides
-        lo, hi, blo, bhi, step = lo[inside], hi[inside], blo[inside], bhi[inside], step[inside]
-        if not len(lo):
-            break
         # steps 0, 1, 2, 3, 4 ... look at the middle, one left, one right, two left ...
-        out = np.where(step % 2 == 1, -((step + 1) // 2), step // 2)
-        at = (lo + hi - 1) // 2 + out
-        fits = (at >= lo) & (at < hi)
-        mark = a[np.where(fits, at, lo)]
+        at = (lo + hi - 1) // 2 + np.where(step % 2 == 1, -((step + 1) // 2), step // 2)
+        at = np.minimum(np.maximum(at, lo), hi - 1)
+        mark = a[at]
         there = np.searchsorted(b, mark)  # b's last end is a's last, so this is a position
-        hit = fits & (b[there] == mark)
-        found_a.append(at[hit])
+        hit = b[there] == mark
+        cut = at[hit]
+        found_a.append(cut)
         found_b.append(there[hit])
         more = ~hit & (step < hi - lo)  # else all ends were tried: a leaf
-        lo, hi, blo, bhi, step = (
-            np.concatenate([lo[more], lo[hit], at[hit] + 1]),
-            np.concatenate([hi[more], at[hit], hi[hit]]),
-            np.concatenate([blo[more], blo[hit], there[hit] + 1]),
-            np.concatenate([bhi[more], there[hit], bhi[hit]]),
-            np.concatenate([step[more] + 1, np.zeros(2 * int(hit.sum()), np.int64)]),
-        )
+        begin, end = lo[hit], hi[hit]
+        left, right = begin < cut, cut + 1 < end  # one token cannot be divided
+        step = np.concatenate([step[more] + 1, np.zeros(int(left.sum() + right.sum()), step.dtype)])
+        lo, hi = np.concatenate([lo[more], begin[left], cut[right] + 1]), np.concatenate([hi[more], cut[left], end[right]])
     found_a, found_b = np.concatenate(found_a), np.concatenate(found_b)
     order = np.argsort(found_a)
     return found_a[order], found_b[order]
@@ -155,14 +209,21 @@ class Aligned:
     cuts_b: np.ndarray
     groups_from: np.ndarray
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Token positions in ``a`` and ``b`` of every pair of tokens whose bytes overlap, along the text.
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token positions in ``a`` and ``b`` of every pair of tokens whose bytes overlap, along the text, and the links before each document.
 
-        Each distinct end starts one new pair: the walk over all ends moves to the next token on the side (or sides) that ended.
+        A token of ``a`` meets the tokens of ``b`` from the first that ends behind its start to the first that ends at or behind its end.
         """
-        marks = np.union1d(self.a_end, self.b_end)
-        starts = np.concatenate([[0], marks[:-1]]) if len(marks) else marks
-        return np.searchsorted(self.a_end, starts, side="right"), np.searchsorted(self.b_end, starts, side="right")
+        ends_b = np.zeros(int(self.b_end[-1]) + 1 if len(self.b) else 1, bool)
+        ends_b[self.b_end] = True
+        before = np.cumsum(ends_b, dtype=np.int64)  # tokens of b that end at or before a byte
+        upto = before[self.a_end]
+        last = upto - ends_b[self.a_end]
+        first = np.concatenate([upto[:0], [0], upto[:-1]])[: len(self.a)]
+        many = last - first + 1
+        start = np.cumsum(many) - many
+        at_b = np.arange(int(many.sum())) + np.repeat(first - start, many)
+        return np.repeat(np.arange(len(self.a)), many), at_b, np.concatenate([start, [len(at_b)]])[self.a_from]
 
 
 def align(texts: list[str | None], one: Side, two: Side) -> Aligned:
@@ -172,7 +233,7 @@ def align(texts: list[str | None], one: Side, two: Side) -> Aligned:
     a, b = [none] * len(texts), [none] * len(texts)
     for i, x, y in zip(good, ids_a, ids_b, strict=True):
         raw = b" " + texts[i].encode()
-        if one.faithful(x, raw) and two.faithful(y, raw):
+        if one.faithful(x, raw) and two.faithful(y, raw):  # exactly the bytes of the text on both sides
             a[i], b[i] = x, y
     a_from = np.concatenate([[0], np.cumsum([len(x) for x in a])]).astype(np.int64)
     b_from = np.concatenate([[0], np.cumsum([len(x) for x in b])]).astype(np.int64)
@@ -232,10 +293,10 @@ def _written(w: Aligned, sep_a: list[bytes], sep_b: list[bytes]) -> list[str]:
     n, m = len(w.a), len(w.b)
     last_a, last_b = np.zeros(n, np.int64), np.zeros(m, np.int64)
     last_a[w.cuts_a], last_b[w.cuts_b] = 1, 2
-    group_a, group_b = np.searchsorted(w.cuts_a, np.arange(n)), np.searchsorted(w.cuts_b, np.arange(m))
-    before_b = np.concatenate([[0], w.cuts_b + 1])
+    # a group's tokens of a, then its tokens of b: each stands behind the other side's tokens of the groups before (a) or up to it (b)
+    group_a, group_b = np.cumsum(last_a) - last_a, (np.cumsum(last_b) - last_b) // 2
     words = np.empty(n + m, np.int64)
-    words[np.arange(n) + before_b[group_a]] = 3 * w.a.astype(np.int64) + last_a
+    words[np.arange(n) + np.concatenate([[0], w.cuts_b + 1])[group_a]] = 3 * w.a.astype(np.int64) + last_a
     words[np.arange(m) + (w.cuts_a + 1)[group_b]] = 3 * w.b.astype(np.int64) + last_b + len(sep_a)
     table = sep_a + sep_b
     out, bounds, words = [], (w.a_from + w.b_from).tolist(), words.tolist()
@@ -255,11 +316,9 @@ def _counted(docs: DataFrame, one: bytes, two: bytes, key: str, text: str) -> Da
         for batch in batches:
             for lo, hi, texts in _texts(batch["_text"]):
                 w = align(texts, *sides)
-                at_a, at_b = w.links()
-                doc = np.searchsorted(w.a_from, at_a, side="right") - 1
+                at_a, at_b, bounds = w.links()
                 code = w.a[at_a].astype(np.int64) * width + w.b[at_b]
                 pairs, times = [], []
-                bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
                 for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                     p, t = np.unique(code[s:e], return_counts=True)
                     pairs.append(p.astype("<u4" if width * len(sides[0].pieces) <= 1 << 32 else "<u8").tobytes())

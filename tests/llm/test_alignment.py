@@ -121,6 +121,18 @@ def test_very_long_text(spark, libraries):
     assert got.n_links == got.n_a + got.n_b - got.n_groups
 
 
+def test_sides_give_the_libraries_ids(libraries):
+    a, sp = libraries
+    one, two = alignment.byte_level(ONE), alignment.word_pieces(TWO)
+    rng = random.Random(11)
+    marks = ["a", "B", "é", "7", "½", " ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", "\u2003", "\u3000", "'s", "'", "!", "\u0301", "漢", "😀", "\u200d", "İ", "<s>"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 25))) for _ in range(4_000)] + odd_texts()[40:]
+    texts += ["x" * 200_000, " " * 200_000 + "y", "a" + "\n" * 2_000_000 + "b", " " * 9_990 + "\n\t a", "!?" * 100_000, "ab " * 100_000, "é" * 50_000]
+    texts = [t for t in texts if t]
+    assert [x.tolist() for x in one.encode(texts)] == [a.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in two.encode(texts)] == sp.encode(texts)
+
+
 def test_shared_cuts_random():
     rng = np.random.default_rng(9)
     for _ in range(300):
