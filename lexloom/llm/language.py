@@ -10,8 +10,8 @@ penalty with any other language, as then no path with changes can be better (eac
 visited gains at most one penalty, and costs at least one). The prediction is the language of
 most letters, its score these letters' share, each weighted with its word's probability.
 
-Counts come from a bounded sample: at most ``sample`` texts a language, by a hash of the id,
-whole texts. Tasks count, counts are added up by slices; words are scored once per distinct
+Counts come from a bounded sample: at most ``sample`` texts a language (up to 1,000 each task cuts
+its own rows to that number before the exchange), by a hash of the id, whole texts. Tasks count, counts are added up by slices; words are scored once per distinct
 word and task.
 
 Defined cases: null and empty texts and texts without letters are ``und`` with score 0 and have no
@@ -105,11 +105,14 @@ def features(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams([w.encode("utf-8", "surrogatepass") for w in new], SIZES)
 
 
-def fit(docs: DataFrame, learn: Column, sample: int = 1_500, key: str = "doc_id", text: str = "text", lang: str = "lang", penalty: float = PENALTY) -> Model:
+def fit(docs: DataFrame, learn: Column, sample: int = 1_000, key: str = "doc_id", text: str = "text", lang: str = "lang", penalty: float = PENALTY) -> Model:
     """Model of the languages of the rows for which ``learn`` holds; at most ``sample`` texts of each."""
     rows = docs.where(learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("_lang"), F.xxhash64(key, F.lit(12)).alias("_h"), F.col(text).cast("string").alias("_text"))
+    # one row a language, of which the model has a column each; a language's rows are thinned by their hash to about twice the sample before any text moves, then ranked
+    share = rows.groupBy("_lang").agg(((2.0 * sample + 200) / F.count("*")).alias("_share"))
+    likely = rows.join(F.broadcast(share), "_lang").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     first = Window.partitionBy("_lang").orderBy("_h", F.md5("_text"))
-    chosen = materialise(rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).select("_lang", "_text"), "language-sample")
+    chosen = materialise(likely.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).select("_lang", "_text"), "language-sample")
     languages = sorted(r._lang for r in chosen.select("_lang").distinct().toLocalIterator())
     if not languages:
         return Model([], np.ones((len(SCRIPTS), 0), bool), np.zeros((1, 0)), penalty)
