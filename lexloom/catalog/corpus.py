@@ -179,7 +179,7 @@ DECISION_CTE = rf"""
 def parse_search_results(spark, sf):
     d = view(spark, sf, "documents").select("doc_id", F.expr(RESULT).alias("result"))
     out = DE.parse_search_results(d, topic_words=X.COURT_TOPIC_WORDS, outcomes=X.OUTCOMES)
-    return out.withColumn("case_topics", F.array_join("case_topics", "|")).withColumn("prior", F.round("prior", 6))
+    return out.drop("search_text").withColumn("case_topics", F.array_join("case_topics", "|")).withColumn("prior", F.round("prior", 6))
 
 
 @query("parse_decisions", DECISION_CTE + rf""",

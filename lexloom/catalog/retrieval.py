@@ -19,9 +19,9 @@ from ..rules import domain as D
 from ..rules import sample as X
 from ..session import materialise
 from ..sources.decisions import parse_search_results
-from .corpus import RESULT, plain
+from .corpus import DECISION_CTE, RESULT, plain
 from .registry import query
-from .text import RELEVANCE_RULES, quoted, relevance_sql, rule_sql, strip_sql, tokens_sql
+from .text import RELEVANCE_RULES, _terms_sql, quoted, relevance_sql, rule_sql, strip_sql, tokens_sql
 from .views import check, view, views
 
 
@@ -427,14 +427,62 @@ def score_court_cases(spark, sf):
     return CS.rank_decisions(cands, 2, "session_id", **COURT_RULES).select("session_id", "turn", "rank", "relevance_score")
 
 
-@query("search_cases")
+# the words a search compares, and the same pieces of ranking as above over questions and decisions
+SEARCH_WORDS = """list_distinct([w for w in [regexp_replace(x, '["(),.]', '', 'g') for x in string_split_regex(lower(TEXT), '\\s+')] if w <> ''])"""
+COURT_LISTS = {"near": ["bia"], "far": ["ca9", "bia", "zz"], "open": ["ca9", "bia", "zz", "scotus"], "second": ["bia", "ca9"]}
+SECOND_TERMS = "keit ung die"
+
+
+def _search_sql():
+    cites = _CITES.replace("lower(answer)", "lower(name || ' ' || snip)")
+    courts = " union all ".join(f"select '{side}' as side, '{c}' as court" for side, ids in COURT_LISTS.items() for c in ids)
+    ranked = lambda raw: f"""(
+        select query_id, case_id, name, court, row_number() over (partition by query_id order by score desc, pos) as rank, round(score, 3) as relevance_score from (
+          select *, round(greatest(ts, cs * 0.85::double), 9) as score from (
+            select *, {relevance_sql('a', 'q', 'topic', 'null')} / 100.0::double as ts,
+              case when len(asked) = 0 then 0 else greatest(0, least(len(list_intersect(asked, {tokens_sql('low', X.STOP_WORDS)})) * 0.12::double, 0.48::double) + ({_PHRASE}) - 0.45::double * ({_WRONG})
+                + case when topic is null then 0 when list_contains(cites, topic) then 0.28::double when len(cites) > 0 then -0.15::double else 0 end
+                + case when court = 'bia' then 0.08::double else 0 end
+                + case when len([x for x in asked if contains(lower(snip), x)]) > 0 then 0.1::double else 0 end + least(prior * 0.05::double, 0.1::double)) end as cs
+            from (select w.query_id, w.pos, asked.*, d.* from {raw} w join asked on asked.item_id = w.query_id join d using (case_id))))
+        where score >= case when coalesce(strict, false) then 0.30 else 0.22 end qualify rank <= 5)"""
+    return DECISION_CTE + f""",
+    d as (select case_id, name, snip, name || ' ' || snip as a, lower(name || ' ' || snip) as low, {cites} as cites,
+                 case lang when 'en' then 'bia' when 'de' then 'ca9' when 'fr' then 'zz' else 'scotus' end as court,
+                 case when lang = 'en' then n_chars / 1000.0::double else 0.5::double end as prior from r),
+    terms as ({_terms_sql('')}),
+    asked as (select item_id, text as q, terms, topic, coalesce(topic = 'de' and regexp_matches(text, 'pf'), false) as strict,
+                     list_distinct({tokens_sql('text', X.STOP_WORDS)} || {_EXTRA}) as asked from terms join benchmark using (item_id)),
+    searches as (select item_id as query_id, side, words from (select item_id, unnest(case when topic in ('en', 'fr', 'de') then ['near', 'far'] else ['open'] end) as side, {SEARCH_WORDS.replace('TEXT', 'terms')} as words from asked)
+                 union all select item_id, 'second', {SEARCH_WORDS.replace('TEXT', quoted(SECOND_TERMS))} from asked where strict),
+    lists as ({courts}),
+    dw as (select case_id, court, unnest({SEARCH_WORDS.replace('TEXT', 'a')}) as word from d),
+    hits as (select query_id, side, case_id, row_number() over (partition by query_id, side order by count(*) desc, case_id) as pos
+             from (select query_id, side, unnest(words) as word from searches) s join lists using (side) join dw using (court, word)
+             group by query_id, side, case_id qualify pos <= 20),
+    near as (select query_id, count(*) as n from hits where side = 'near' group by 1),
+    raw as (select query_id, case_id, row_number() over (partition by query_id order by p, pos) as pos from (
+              select *, row_number() over (partition by query_id, case_id order by p, pos) as rn from (
+                select query_id, case_id, pos, 0 as p from hits where side = 'near' union all
+                select query_id, case_id, pos, 1 from hits left join near using (query_id) where side = 'far' and coalesce(n, 0) < 5)) where rn = 1
+            union all select query_id, case_id, pos from hits where side = 'open'),
+    first_pass as materialized {ranked('raw')},
+    short as (select item_id as query_id from asked left join (select query_id, count(*) as n from first_pass group by 1) on query_id = item_id where strict and coalesce(n, 0) < 5),
+    more as (select query_id, case_id, row_number() over (partition by query_id order by p, pos) as pos from (
+               select *, row_number() over (partition by query_id, case_id order by p, pos) as rn from (
+                 select *, 0 as p from raw semi join short using (query_id) union all
+                 select query_id, case_id, pos, 1 from hits semi join short using (query_id) where side = 'second')) where rn = 1)
+    select query_id, case_id, name as case_name, court, rank, relevance_score from first_pass anti join short using (query_id)
+    union all select query_id, case_id, name, court, rank, relevance_score from {ranked('more')}"""
+
+
+@query("search_cases", _search_sql())
 def search_cases(spark, sf):
     questions = view(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     questions = questions.withColumn("topic", TO.detect_topic("query_text", X.TOPICS, flags="")).withColumn(
         "terms", R.search_terms("query_text", "topic", anchors=X.ANCHORS, phrases=X.PHRASES, stop_words=X.STOP_WORDS, pathway={}, flags=""))
     decisions = materialise(parse_search_results(
         view(spark, sf, "documents").select(F.expr(RESULT).alias("result")), topic_words=X.COURT_TOPIC_WORDS, outcomes=X.OUTCOMES), "decisions")
-    out = CS.search_decisions(questions, decisions, ["en", "fr", "de"], broader=["ca9", "bia", "zz"], every=["ca9", "bia", "zz", "scotus"],
-                              second=["bia", "ca9"], second_terms="keit ung die", **COURT_RULES)
+    out = CS.search_decisions(questions, decisions, ["en", "fr", "de"], primary=COURT_LISTS["near"], broader=COURT_LISTS["far"], every=COURT_LISTS["open"],
+                              second=COURT_LISTS["second"], second_terms=SECOND_TERMS, **COURT_RULES)
     return out.select("query_id", "case_id", "case_name", "court", "rank", "relevance_score")
-

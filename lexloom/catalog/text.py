@@ -428,7 +428,7 @@ def filter_relevant(spark, sf):
         "session_id", "turn", F.col("relevance").cast("double").alias("relevance"))
 
 
-def _terms_sql():
+def _terms_sql(part="[1:10]"):
     strings = lambda ws: "[" + ", ".join(quoted(w) for w in ws) + "]::varchar[]"
     anchors = "case topic " + " ".join(f"when {quoted(t)} then {strings(ws)}" for t, ws in X.ANCHORS.items()) + " else []::varchar[] end"
     phrases = "".join(f" || case when regexp_matches(text, {quoted(p)}) then {strings(ws)} else []::varchar[] end" for p, ws in X.PHRASES)
@@ -438,7 +438,7 @@ def _terms_sql():
     with q as (select item_id, text, {rule_sql('text', X.TOPICS)} as topic from benchmark),
     s as (select item_id, topic, {anchors}{phrases} as seed, {in_order} as words from q),
     t as (select item_id, topic, list_reduce(list_prepend(seed, [[w] for w in words]), lambda acc, x: {step}) as terms from s)
-    select item_id, topic, case when len(terms) = 0 then 'immigration visa' else array_to_string(terms[1:10], ' ') end as terms from t"""
+    select item_id, topic, case when len(terms) = 0 then 'immigration visa' else array_to_string(terms{part}, ' ') end as terms from t"""
 
 
 @query("build_search_terms", _terms_sql())

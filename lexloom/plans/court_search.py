@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.relevance import court_overlap_score, court_query_tokens, score_text
 from ..functions.text import lit_or_col, strip
-from ..operators.blocks import bounded_grid
+from ..operators.postings import WordIndex
 from ..operators.ranking import merge_sources, words
 from ..operators.skew import first_per_key
-from ..operators.vectors import keep_best
 from ..rules import domain as D
-from ..session import materialise
+from ..session import materialise, scratch_dir
 
 
 def rank_decisions(cands: DataFrame, wanted: int = 5, group: str = "query_id", pathway=D.REQUIRED_PATHWAY,
@@ -44,75 +41,29 @@ def rank_decisions(cands: DataFrame, wanted: int = 5, group: str = "query_id", p
     return kept.withColumn("relevance_score", F.round("relevance_score", 3)).drop("_asked", "_text_score", "_court_score")
 
 
-def lexical_hits(queries: DataFrame, decisions: DataFrame, terms: str, courts, fetch: int, group: str = "query_id",
-                 max_terms: int = 1_000_000) -> DataFrame:
-    """Decisions of the given courts by number of shared search words, best ``fetch`` per question.
+def search_words(c):
+    """Distinct words of a text as the search sees them: lower case, without quotes, brackets, commas and full stops."""
+    return F.array_distinct(F.filter(F.transform(words(c), lambda w: F.regexp_replace(w, '["(),.]', "")), lambda w: w != ""))
 
-    Stands in for the outside search service. Decisions are counted against the
-    questions' word lists inside the scan, and only the best of each question
-    leave a task; a word that half of all decisions contain produces no rows.
+
+def decision_index(decisions: DataFrame, path: str | None = None, text: str = "search_text") -> WordIndex:
+    """Index of decisions by court over name and whole text; a ``path`` that holds an index already gets the decisions it lacks."""
+    spark = decisions.sparkSession
+    index = WordIndex(spark, path or scratch_dir(spark, "decision-index"), "case_id", "court", "_words")
+    whole = F.concat_ws(" ", "case_name", text if text in decisions.columns else "summary")
+    index.append(decisions.select("case_id", "court", search_words(whole).alias("_words")))
+    return index
+
+
+def lexical_hits(queries: DataFrame, index: WordIndex, terms: str, courts: dict, fetch: int, group: str = "query_id") -> DataFrame:
+    """Decisions by number of shared search words, best ``fetch`` per question and list of courts.
+
+    Stands in for the outside search service. ``courts`` maps a ``side`` to its court ids; all sides
+    are searched in one pass. A question has the sides in its column ``sides``.
     """
-    norm = lambda c: F.array_distinct(F.filter(
-        F.transform(words(c), lambda w: F.regexp_replace(w, '["(),.]', "")), lambda w: w != ""))
-    side = decisions.where(F.col("court").isin(*courts)).select(
-        "case_id", norm(F.concat_ws(" ", "case_name", "summary")).alias("_w")
-    )
-    asked = queries.select(group, norm(F.col(terms)).alias("_w"))
-    schema = f"{group} {asked.schema[group].dataType.simpleString()}, case_id string, hits long"
-
-    def postings(word_lists):
-        table: dict = {}
-        for i, ws in enumerate(word_lists):
-            for w in ws:
-                table.setdefault(w, []).append(i)
-        return {w: np.asarray(ix) for w, ix in table.items()}
-
-    def count(table, cases, word_lists):
-        q, x, h = [], [], []
-        for row, ws in enumerate(word_lists):
-            hit = [table[w] for w in ws if w in table]
-            if hit:
-                who, n = np.unique(np.concatenate(hit), return_counts=True)
-                q.append(who), x.append(np.full(len(who), cases[row])), h.append(n)
-        if not q:
-            return None
-        return keep_best(np.concatenate(q), np.concatenate(x), np.concatenate(h), fetch)
-
-    size = asked.agg(F.sum(F.size("_w"))).first()[0] or 0
-    if size <= max_terms:
-        rows = asked.toArrow()  # size was just checked
-        shared = queries.sparkSession.sparkContext.broadcast((rows[group].combine_chunks(), postings(rows["_w"].to_pylist())))
-
-        def scan(batches):
-            q_ids, table = shared.value
-            best = None
-            for b in batches:
-                new = count(table, np.asarray(b["case_id"].to_pylist(), dtype=str), b["_w"].to_pylist())
-                if new is not None:
-                    best = new if best is None else keep_best(*(np.concatenate(p) for p in zip(best, new)), fetch)
-            if best is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [q_ids.take(pa.array(best[0])), pa.array(best[1].tolist(), pa.string()), pa.array(best[2])],
-                    names=[group, "case_id", "hits"],
-                )
-
-        found = side.mapInArrow(scan, schema)
-    else:
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            best = None
-            if left.num_rows and right.num_rows:
-                best = count(
-                    postings(left["_w"].to_pylist()), np.asarray(right["case_id"].to_pylist(), dtype=str), right["_w"].to_pylist()
-                )
-            if best is None:
-                best = (np.array([], int), np.array([], str), np.array([], int))
-            return pa.table(
-                [left[group].take(pa.array(best[0])), pa.array(best[1].tolist(), pa.string()), pa.array(best[2])],
-                names=[group, "case_id", "hits"],
-            )
-
-        found = bounded_grid(asked, side, group, "case_id", max(1, max_terms // 10), meet, schema)
-    return first_per_key(found, [group], [F.desc("hits"), "case_id"], fetch, "pos", keep=True).drop("hits")
+    lists = F.create_map(*[x for side, ids in courts.items() for x in (F.lit(side), F.array(*[F.lit(c) for c in ids]))])
+    asked = queries.select(group, search_words(F.col(terms)).alias("words"), F.explode("sides").alias("side")).withColumn("scopes", F.try_element_at(lists, F.col("side")))
+    return index.search(asked, [group, "side"], fetch)
 
 
 def court_topic(query, topic, pattern: str = D.EAD_QUESTION, base: str = "h4", own: str = "h4_ead", flags: str = D.I):
@@ -123,36 +74,37 @@ def court_topic(query, topic, pattern: str = D.EAD_QUESTION, base: str = "h4", o
 def search_decisions(queries: DataFrame, decisions: DataFrame, known_topics, terms: str = "terms", wanted: int = 5,
                      fetch: int = 20, primary=D.PRIMARY_COURTS, broader=D.BROADER_COURTS, every=D.ALL_COURTS,
                      second=D.SECOND_PASS_COURTS, second_terms: str = D.SECOND_PASS_TERMS, pathway=D.REQUIRED_PATHWAY,
-                     flags: str = D.I, **rank_rules) -> DataFrame:
+                     flags: str = D.I, index: WordIndex | None = None, **rank_rules) -> DataFrame:
     """Best decisions per question.
 
     Questions on a known topic search the home court, then other courts if too few
     came back; other questions search all courts. Pathway questions whose ranking
-    is short get a second, fixed search whose results join the candidates.
+    is short get a second, fixed search whose results join the candidates. All searches run
+    together over ``index``, built here if none is given. Decisions are searched and
+    ranked on their whole text (``search_text``, where there is that column). Of decisions with one
+    case_id the first by court and name counts.
     """
     queries = queries.withColumn("topic", court_topic("query_text", "topic"))
+    decisions = first_per_key(decisions, ["case_id"], ["court", "case_name", "url"] if "url" in decisions.columns else ["court", "case_name"])
     known = F.coalesce(F.col("topic").isin(*known_topics), F.lit(False))
-    on_topic, open_ended = queries.where(known), queries.where(~known)
-    near = lexical_hits(on_topic, decisions, terms, primary, fetch)
-    far = lexical_hits(on_topic, decisions, terms, broader, fetch)
-    # the searches read every decision; what they found is stored before it is ranked and re-ranked
-    raw = materialise(
-        merge_sources(near, far, "query_id", "case_id", "pos", wanted).unionByName(
-            lexical_hits(open_ended, decisions, terms, every, fetch)
-        ), "hits",
-    )
-    attach = lambda c: c.join(decisions, "case_id").join(queries, "query_id")
+    strict = F.lit(False)
+    for t, p in (pathway or {}).items():
+        strict = strict | F.coalesce((F.col("topic") == t) & strip("query_text").rlike(flags + p), F.lit(False))
+    index = index or decision_index(decisions)
+    asked = queries.withColumn("sides", F.when(known, F.array(F.lit("near"), F.lit("far"))).otherwise(F.array(F.lit("open")))).select("query_id", F.col(terms).alias("_terms"), "sides")
+    again = queries.where(strict).select("query_id", F.lit(second_terms).alias("_terms"), F.array(F.lit("second")).alias("sides"))
+    # the searches are stored before their results are ranked and re-ranked
+    found = materialise(lexical_hits(asked.unionByName(again), index, "_terms", {"near": primary, "far": broader, "open": every, "second": second}, fetch), "hits")
+    side = lambda name: found.where(F.col("side") == name).select("query_id", "case_id", "pos")
+    raw = merge_sources(side("near"), side("far"), "query_id", "case_id", "pos", wanted).unionByName(side("open"))
+    texts = decisions.withColumn("summary", F.col("search_text")) if "search_text" in decisions.columns else decisions
+    attach = lambda c: c.join(texts, "case_id").join(queries, "query_id")
     ranked = materialise(rank_decisions(attach(raw), wanted, pathway=pathway, flags=flags, **rank_rules), "ranked")
     if not pathway:
         return ranked
-    strict = F.lit(False)
-    for t, p in pathway.items():
-        strict = strict | F.coalesce((F.col("topic") == t) & strip("query_text").rlike(flags + p), F.lit(False))
     n = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    short = queries.where(strict).join(n, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < wanted).drop("_n")
-    extra = lexical_hits(short.withColumn("_terms", F.lit(second_terms)), decisions, "_terms", second, fetch)
-    again = merge_sources(
-        raw.join(short.select("query_id"), "query_id", "left_semi"), extra, "query_id", "case_id", "pos", 1 << 30
-    )
-    reranked = rank_decisions(attach(again), wanted, pathway=pathway, flags=flags, **rank_rules)
-    return ranked.join(short.select("query_id"), "query_id", "left_anti").unionByName(reranked)
+    short = queries.where(strict).join(n, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < wanted).select("query_id")
+    more = merge_sources(
+        raw.join(short, "query_id", "left_semi"), side("second").join(short, "query_id", "left_semi"), "query_id", "case_id", "pos", 1 << 30)
+    reranked = rank_decisions(attach(more), wanted, pathway=pathway, flags=flags, **rank_rules)
+    return ranked.join(short, "query_id", "left_anti").unionByName(reranked)

@@ -45,7 +45,7 @@ def parse_search_results(df: DataFrame, json_col: str = "result", base_url: str
                          topic_words=D.COURT_TOPIC_WORDS, outcomes=D.COURT_OUTCOMES, summary_chars: int = 300) -> DataFrame:
     """One flat row per search result; each value comes from the first key that has one.
 
-    ``summary`` shows the opening of the snippet; topics and outcome come from all of it.
+    ``summary`` shows the opening of the snippet; ``search_text`` is all of it, and topics and outcome come from it.
     """
     def flat(c):
         name, case_id, url, snippet = _shared(c, base_url)
@@ -61,19 +61,19 @@ def parse_search_results(df: DataFrame, json_col: str = "result", base_url: str
                 F.nullif(F.try_element_at(c["citation"], F.lit(1)), F.lit("")),
                 _first(c, "neutralCite", "lexisCite", "docketNumber"),
             ).alias("citation"),
-            summary.alias("summary"), F.coalesce(snippet, F.lit("")).alias("_whole"), url.alias("url"), F.coalesce(c["meta"]["score"]["bm25"], F.lit(0.5)).alias("prior"),
+            summary.alias("summary"), F.coalesce(snippet, F.lit("")).alias("search_text"), url.alias("url"), F.coalesce(c["meta"]["score"]["bm25"], F.lit(0.5)).alias("prior"),
         )
 
     none = F.array().cast("array<string>")
-    text = F.lower(F.concat(F.col("_f.case_name"), F.lit(" "), F.col("_f._whole")))
+    text = F.lower(F.concat(F.col("_f.case_name"), F.lit(" "), F.col("_f.search_text")))
     topics = let(text, lambda t: F.filter(
         F.array(*[F.when(any_contains(t, ws), F.lit(name)) for name, ws in topic_words.items()]) if topic_words else none,
         lambda x: x.isNotNull(),
     ))
     others = [x for x in df.columns if x != json_col]
     return df.withColumn("_f", let(F.from_json(json_col, RESULT_SCHEMA), flat)).select(
-        *others, "_f.*", topics.alias("case_topics"), outcome(F.col("_f._whole"), outcomes).alias("outcome")
-    ).drop("_whole")
+        *others, "_f.*", topics.alias("case_topics"), outcome(F.col("_f.search_text"), outcomes).alias("outcome")
+    )
 
 
 def opinion_text(plain, html, min_plain: int = 500, limit: int | None = None) -> Column:

@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.operators import crawl_state, ranking, sessions, skew, vectors
 from lexloom.operators.chunking import case_pieces, law_pieces, pack_paragraphs
+from lexloom.operators.postings import WordIndex
 from lexloom.plans import court_search
 
 
@@ -126,22 +128,59 @@ def test_bm25_matches_definition(spark):
         assert abs(got[i] - want) < 1e-8
 
 
-def test_lexical_search_in_both_forms(spark):
+def _brute_search(rows, docs, fetch):
+    """(question, key, place) by shared words over all pairs; ``rows``: (question, words, scopes), ``docs``: (key, scope, words)."""
+    want = set()
+    for q, ws, scopes in rows:
+        hits = [(-len(set(ws) & set(d)), k) for k, scope, d in docs if scope in scopes and set(ws) & set(d)]
+        want |= {(q, k, n + 1) for n, (_, k) in enumerate(sorted(hits)[:fetch])}
+    return want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_word_index_against_all_pairs(spark, tmp_path, seed):
+    """Words from very frequent to unique, questions of one to nine words, blocks of a few keys, two appends."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    pick = lambda n: list({words[min(59, int(rng.expovariate(0.12)))] for _ in range(n)})
+    docs = [(f"k{rng.randint(0, 10**6)}-{i}", rng.choice("abc"), [*pick(rng.randint(0, 12)), *(["all"] if rng.random() < 0.9 else [])]) for i in range(600)]
+    index = WordIndex(spark, str(tmp_path / "index"), "key", "scope")
+    kind = "key string, scope string, words array<string>"
+    assert index.search(spark.createDataFrame([(1, ["all"], ["a"])], "q long, words array<string>, scopes array<string>"), ["q"], 3).count() == 0
+    assert index.append(spark.createDataFrame(docs[:400], kind), block=50) == 400
+    assert index.append(spark.createDataFrame([*docs[200:], (None, "a", ["w1"]), docs[500]], kind), block=50) == 200  # known keys are left out
+    assert index.append(spark.createDataFrame(docs[:10], kind)) == 0 and len(index.segments()) == 2
+    rows = [(i, pick(rng.randint(1, 9)) + (["all"] if i % 2 else []) + (["none"] if i % 5 == 0 else []), rng.sample("abcd", rng.randint(1, 3))) for i in range(40)]
+    rows += [(100, ["all"], ["a", "b", "c"]), (101, ["w1", "all"], ["b"]), (102, ["none"], ["a"]), (103, [], ["a"]), (104, words, ["a", "c"])]
+    asked = spark.createDataFrame(rows, "q long, words array<string>, scopes array<string>")
+    for fetch in (1, 6, 25):
+        got = {(r.q, r.key, r.pos) for r in index.search(asked, ["q"], fetch).collect()}
+        assert got == _brute_search(rows, docs, fetch)
+
+
+def test_an_append_that_dies_is_not_read(spark, tmp_path):
+    index = WordIndex(spark, str(tmp_path / "index"), "key", "scope")
+    rows = spark.createDataFrame([("k1", "a", ["x"])], "key string, scope string, words array<string>")
+    index.append(rows)
+    rows.select(F.lit("k2").alias("key"), "scope", "words").write.parquet(f"{index.path}/segment-dead/docs")
+    asked = spark.createDataFrame([(1, ["x"], ["a"])], "q long, words array<string>, scopes array<string>")
+    assert [r.key for r in index.search(asked, ["q"], 5).collect()] == ["k1"]
+    lists = index.search(asked, ["q"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in lists and "PartitionFilters: [isnotnull(bucket" in lists
+
+
+def test_lexical_hits(spark):
     random.seed(2)
     words = [f"w{i}" for i in range(30)]
     dec = spark.createDataFrame(
-        [(str(i), " ".join(random.sample(words, 8)) + " the", "", "bia" if i % 2 else "ca9") for i in range(200)],
-        "case_id string, case_name string, summary string, court string")
-    q = spark.createDataFrame([(i, " ".join(random.sample(words, 4)) + " the") for i in range(9)], "query_id long, terms string")
-    rows, cases = q.collect(), [d for d in dec.collect() if d.court == "bia"]
-    want = set()
-    for r in rows:
-        hits = [(len(set(r.terms.split()) & set(d.case_name.split())), d.case_id) for d in cases]
-        best = sorted(hits, key=lambda h: (-h[0], h[1]))[:6]
-        want |= {(r.query_id, c, n + 1) for n, (_, c) in enumerate(best)}
-    for limit in (10**6, 1):
-        got = {(r.query_id, r.case_id, r.pos) for r in court_search.lexical_hits(q, dec, "terms", ["bia"], 6, max_terms=limit).collect()}
-        assert got == want
+        [(str(i), " ".join(random.sample(words, 8)) + " the", "cut", "x" * 400 + f" far{i % 3}", "bia" if i % 2 else "ca9") for i in range(200)],
+        "case_id string, case_name string, summary string, search_text string, court string")
+    q = spark.createDataFrame([(i, " ".join(random.sample(words, 4)) + f" the far{i % 4}", ["one", "two"]) for i in range(9)], "query_id long, terms string, sides array<string>")
+    docs = [(d.case_id, d.court, f"{d.case_name} {d.search_text}".split()) for d in dec.collect()]
+    got = court_search.lexical_hits(q, court_search.decision_index(dec), "terms", {"one": ["bia"], "two": ["bia", "ca9"]}, 6).collect()
+    for side, courts in (("one", ["bia"]), ("two", ["bia", "ca9"])):
+        want = _brute_search([(r.query_id, r.terms.split(), courts) for r in q.collect()], docs, 6)
+        assert {(r.query_id, r.case_id, r.pos) for r in got if r.side == side} == want
 
 
 def test_chunk_rules(one):
