@@ -12,12 +12,13 @@ from ..operators import ranking as RA
 from ..operators import sections as SE
 from ..operators import vectors as V
 from ..operators.activity import attach_filenames as attach
+from ..operators.cells import CellIndex
 from ..plans import context as CO
 from ..plans import court_search as CS
 from ..plans import retrieval as RE
 from ..rules import domain as D
 from ..rules import sample as X
-from ..session import materialise
+from ..session import materialise, scratch_dir
 from ..sources.decisions import parse_search_results
 from .corpus import DECISION_CTE, RESULT, plain
 from .registry import query
@@ -110,7 +111,10 @@ def knn_cosine(spark, sf):
 
 @query("knn_approx")
 def knn_approx(spark, sf):
-    return V.knn_approx(*views(spark, sf, "questions", "passages"), 16, n_cells=16, n_probe=6)
+    questions, passages = views(spark, sf, "questions", "passages")
+    index = CellIndex(spark, scratch_dir(spark, "cell-index"))
+    index.build(passages.select("chunk_id", "embedding"))
+    return index.search(questions, 16)
 
 
 def bm25_ctes(cands: str = "cands") -> str:

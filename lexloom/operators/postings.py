@@ -4,45 +4,27 @@ A segment holds the rows of one ``append``: ``docs`` (key, scope, distinct words
 ``postings`` (word, scope, block: keys and the largest number of words among them), the
 latter in folders by a hash of the word, so that a search opens the folders of its words
 only. Blocks are slices of the rows by length and hash and hold a few thousand keys at most,
-however frequent the word. A segment counts once its name is in the list of segments, which
-is written last; an append that dies leaves nothing behind that is read.
+however frequent the word.
 """
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..session import materialise
+from .kept import KeptFolder
 from .skew import first_per_key
 
 BUCKETS, BLOCK = 64, 4_096
 
 
-class WordIndex:
+class WordIndex(KeptFolder):
     """Index folder at ``path``; ``key``, ``scope`` (string) and ``words`` (array of strings) name the columns of the rows indexed."""
 
     def __init__(self, spark: SparkSession, path: str, key: str, scope: str, words: str = "words"):
-        self.spark, self.path, self.key, self.scope, self.words = spark, path.rstrip("/"), key, scope, words
-
-    def segments(self) -> list[str]:
-        """Names of the committed segments: one for each append."""
-        listed = self.spark.read.schema("segment string, rows long")
-        try:
-            return sorted(r.segment for r in listed.parquet(f"{self.path}/segments").select("segment").collect())
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
-
-    def _read(self, part: str, schema: StructType | None = None) -> DataFrame | None:
-        names = self.segments()
-        tables = [self.spark.read.parquet(f"{self.path}/{s}/{part}") for s in names]
-        return reduce(DataFrame.unionByName, tables) if tables else None
+        super().__init__(spark, path)
+        self.key, self.scope, self.words = key, scope, words
 
     def append(self, rows: DataFrame, block: int = BLOCK) -> int:
         """Index rows whose key is not in the index yet (the first of equal keys); returns their number."""
@@ -50,10 +32,10 @@ class WordIndex:
         new = rows.where(F.col(self.key).isNotNull()).select(
             F.col(self.key).alias("key"), F.coalesce(F.col(self.scope), F.lit("")).alias("scope"), F.array_sort(words).alias("words"))
         new = first_per_key(new, ["key"], ["scope", F.xxhash64("words")])
-        old = self._read("docs")
+        old = self.part("docs")
         if old is not None:
             new = new.join(old.select("key"), "key", "left_anti")
-        name = f"segment-{uuid.uuid4().hex}"
+        name = self.new_segment()
         folder = f"{self.path}/{name}"
         new.write.parquet(f"{folder}/docs")
         docs = self.spark.read.parquet(f"{folder}/docs")
@@ -69,7 +51,7 @@ class WordIndex:
             F.array_sort(F.collect_list("key")).alias("keys"), F.count(F.lit(1)).alias("n"), F.max("_n").alias("top"))
         blocks = blocks.withColumn("bucket", _bucket("word")).repartitionByRange("bucket", "word").sortWithinPartitions("bucket", "word")
         blocks.write.partitionBy("bucket").parquet(f"{folder}/postings")
-        self.spark.createDataFrame([(name, n)], "segment string, rows long").coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
+        self.commit(name)
         return n
 
     def search(self, asked: DataFrame, by: list[str], fetch: int, words: str = "words", scopes: str = "scopes") -> DataFrame:
@@ -82,7 +64,7 @@ class WordIndex:
         the mark is 1 or less, more than the first ``fetch`` keys of the most frequent word (a key with
         that word alone comes behind them). Keys that may reach the mark are then counted on their own words.
         """
-        postings, docs = self._read("postings"), self._read("docs")
+        postings, docs = self.part("postings"), self.part("docs")
         kinds = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in by)
         if postings is None:
             return self.spark.createDataFrame([], f"{kinds}, `{self.key}` string, hits int, pos int")

@@ -167,26 +167,20 @@ def train_cells(corpus: DataFrame, n_cells: int, vec: str = "embedding", seed: i
     return np.vstack(model.clusterCenters())
 
 
-def assign_cells(df: DataFrame, centres: np.ndarray, n: int = 1, vec: str = "embedding") -> DataFrame:
+def assign_cells(df: DataFrame, centres: np.ndarray, n: int = 1, vec: str = "embedding", numbers: np.ndarray | None = None) -> DataFrame:
     """Adds ``cells``: the ``n`` nearest cells of each vector, one pass without shuffle.
 
-    A corpus indexed once with n = 1 can be stored partitioned by its cell.
+    Cells are named by their ``numbers`` (0, 1, ... by default).
     """
     unit = _unit(centres)
+    names = [f"c{j}" for j in (range(len(unit)) if numbers is None else numbers.tolist())]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", cells array<string>"
 
     def nearest(batches):
         for b in batches:
             s = _unit(_matrix(b[vec])) @ unit.T if b.num_rows else np.zeros((0, len(unit)))
             top = np.argsort(-s, axis=1, kind="stable")[:, :n]
-            cells = pa.array([[f"c{j}" for j in row] for row in top], pa.list_(pa.string()))
+            cells = pa.array([[names[j] for j in row] for row in top], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, cells], names=[*b.schema.names, "cells"])
 
     return df.mapInArrow(nearest, schema)
-
-
-def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, n_cells: int = 16, n_probe: int = 6, **kw) -> DataFrame:
-    """Approximate top ``k``: only items in the cells nearest to a question are scored."""
-    vec = kw.get("vec", "embedding")
-    centres = train_cells(corpus, n_cells, vec)
-    return knn(assign_cells(queries, centres, n_probe, vec), assign_cells(corpus, centres, 1, vec), k, **kw)

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.operators import crawl_state, ranking, sessions, skew, vectors
+from lexloom.operators.cells import CellIndex
 from lexloom.operators.chunking import case_pieces, law_pieces, pack_paragraphs
 from lexloom.operators.postings import WordIndex
 from lexloom.plans import court_search
@@ -101,13 +102,42 @@ def test_knn_cells_restrict_the_search(spark):
     assert len(got) == 80 and all(r.chunk_id < 20 for r in got)
 
 
-def test_approximate_recall(spark):
-    q, x = _vectors(spark, 30, 3, "query_id"), _vectors(spark, 600, 4, "chunk_id")
-    exact = {(r.query_id, r.chunk_id) for r in vectors.knn(q, x, 10).collect()}
-    near = {(r.query_id, r.chunk_id) for r in vectors.knn_approx(q, x, 10, n_cells=12, n_probe=6).collect()}
-    assert len(exact & near) / len(exact) > 0.8
-    every = {(r.query_id, r.chunk_id) for r in vectors.knn_approx(q, x, 10, n_cells=12, n_probe=12).collect()}
-    assert every == exact
+def test_cell_index_recall_reuse_and_pruning(spark, tmp_path):
+    """Built once and reused; questions are not in the table; only folders of probed cells are read."""
+    q, x = _vectors(spark, 40, 3, "query_id"), _vectors(spark, 3_000, 4, "chunk_id")
+    exact = {(r.query_id, r.chunk_id) for r in vectors.knn(q, x, 16).collect()}
+    index = CellIndex(spark, str(tmp_path / "cells"))
+    with pytest.raises(ValueError):
+        index.search(q, 16)
+    assert index.build(x.where("chunk_id < 2000")) == 2_000 and len(index.sizes()) == 45
+    assert index.append(x.where("chunk_id >= 1500")) == 1_000 and index.append(x.limit(20)) == 0
+    again = CellIndex(spark, str(tmp_path / "cells"))
+    assert sum(again.sizes().values()) == 3_000 and again.build(x) == 0 and again.probes() < 45
+    near = {(r.query_id, r.chunk_id) for r in again.search(q, 16).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+    assert {(r.query_id, r.chunk_id) for r in again.search(q, 16, probes=45).collect()} == exact
+    _, few = again.candidates(q.limit(1), probes=2)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and few.select("cell").distinct().count() == 2
+    assert index.search(q.limit(0), 16).count() == 0
+
+
+def test_overfull_cells_are_split(spark, tmp_path):
+    x = _vectors(spark, 400, 5, "chunk_id")
+    hot = x.select((F.col("chunk_id") + 1_000).alias("chunk_id"), F.transform(F.lit([1.0] * 8), lambda v: v).alias("_one")).join(
+        x.select((F.col("chunk_id") + 1_000).alias("chunk_id"), "embedding"), "chunk_id").select(
+        "chunk_id", F.zip_with("embedding", "_one", lambda a, b: (a * 0.1 + b).cast("float")).alias("embedding"))
+    index = CellIndex(spark, str(tmp_path / "cells"))
+    index.build(x.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")), n_cells=12)
+    index.append(hot)
+    before = index.sizes()
+    split = index.split(3.0)
+    after = index.sizes()
+    assert split and not set(split) & set(after) and len(after) == len(before) + len(split) and sum(after.values()) == sum(before.values()) == 800
+    every = x.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")).unionByName(hot)
+    q = _vectors(spark, 10, 6, "query_id")
+    want = {(r.query_id, r.chunk_id) for r in vectors.knn(q, every, 7).collect()}
+    assert {(r.query_id, r.chunk_id) for r in index.search(q, 7, probes=99).collect()} == want
 
 
 def test_bm25_matches_definition(spark):
