@@ -536,15 +536,3 @@ def ingest_corpus(spark, sf):
     chunks = I.chunk_rows(_prepared(spark, sf), metadata_rules=dict(topic_patterns=X.TOPICS, flags=""))
     return chunks.select("chunk_id", "document_id", "doc_type", "chunk_index", "section", "clause", "topic", "doc_version", "token_count",
                          F.array_join("cited_sections", "|").alias("cited_sections"), F.md5("text").alias("text_md5"))
-
-
-@query("remap_after_ingest")
-def remap_after_ingest(spark, sf):
-    """References of chunks of changed law documents that still need a mapping."""
-    docs = _prepared(spark, sf)
-    chunks = I.chunk_rows(docs, metadata_rules=dict(topic_patterns=X.TOPICS, flags=""))
-    changed = chunks.join(I.changed_law_documents(docs), "document_id", "left_semi")
-    return changed.select(F.explode(F.array_distinct(section_refs("text"))).alias("ref")).groupBy("ref").agg(
-        F.count(F.lit(1)).alias("n_chunks"))
-
-

@@ -276,6 +276,49 @@ def map_sections(spark, sf):
     return _mappings(spark, sf).withColumn("similarity_score", F.round("similarity_score", 6))
 
 
+# a run that brings the French passages and replaces the law files of some sources; mappings are left from the run before
+_OLD, _STAYS = "chunk_topic <> 'fr'", "not (doc_type = 'law' and filename like 'src2%')"
+
+
+def _remap_sql():
+    pick = "query_id as old_section_ref, chunk_id as current_chunk_id, filename as current_section, vector_score as similarity_score"
+    best = lambda refs, laws: (
+        f"(select {pick} from {dense_sql(1, 'true', f'(select * from vecs where query_id in (select ref from {refs}))', laws)} join passages using (chunk_id) where vector_score > 0.75)")
+    return plain(REFS.replace("{", "«").replace("}", "»") + f"""
+    found as (select chunk_id, chunk_topic, unnest(list_distinct(regexp_extract_all(text, {quoted(REF)}))) as ref from passages),
+    vecs as (select ref as query_id, embedding from (select ref, min(chunk_id) as c from found group by 1) join passages on chunk_id = c),
+    before_refs as (select distinct ref from found where {_OLD}),
+    before_laws as (select * from passages where doc_type = 'law' and {_OLD}),
+    laws as (select * from passages where doc_type = 'law' and {_STAYS}),
+    added as (select * from laws where not ({_OLD})),
+    maps as (select * from {best('before_refs', 'before_laws')}),
+    live as (select * from maps where current_chunk_id in (select chunk_id from laws)),
+    gone as (select * from maps where current_chunk_id not in (select chunk_id from laws)),
+    unmapped as (select distinct ref, ref in (select ref from before_refs) and ref not in (select old_section_ref from gone) as waits
+                 from found where ref not in (select old_section_ref from live)),
+    fresh as (select * from {best('(select ref from unmapped where not waits)', 'laws')} union all select * from {best('(select ref from unmapped where waits)', 'added')}),
+    result as (select *, 'kept' as change from live
+               union all select *, case when old_section_ref in (select old_section_ref from gone) then 'moved' else 'added' end from fresh
+               union all select *, 'retracted' from gone where old_section_ref not in (select old_section_ref from fresh))
+    select old_section_ref, current_chunk_id, current_section, round(similarity_score, 6) as similarity_score, change from result""")
+
+
+@query("remap_after_ingest", _remap_sql())
+def remap_after_ingest(spark, sf):
+    """Mappings after a run that added and replaced law chunks, from those before it."""
+    passages = view(spark, sf, "passages").withColumn("section", F.col("filename"))
+    chunks = materialise(passages.withColumn("refs", F.array_distinct(TO.section_refs("text", X.SECTION_REF))).drop("text", "label"), "chunks")
+    found = chunks.select("chunk_id", "chunk_topic", F.explode("refs").alias("ref"))
+    first = found.groupBy("ref").agg(F.min("chunk_id").alias("chunk_id"))
+    vecs = materialise(first.join(chunks.select("chunk_id", "embedding"), "chunk_id").select("ref", "embedding"), "ref-vectors")
+    law = chunks.where(F.col("doc_type") == "law")
+    known = found.where(_OLD).select("ref").distinct()
+    before = materialise(SE.map_sections(known, vecs, law.where(_OLD)), "mappings")
+    now = law.where(_STAYS)
+    out = SE.refresh_mappings(before, known, found.select("ref"), vecs, now, now.where(f"not ({_OLD})"))
+    return out.select("old_section_ref", "current_chunk_id", "current_section", F.round("similarity_score", 6).alias("similarity_score"), "change")
+
+
 @query("resolve_section_refs", plain(REFS.replace("{", "«").replace("}", "»") + MAPS + f"""
     , dense as {dense_sql()}, {CANDS},
     one as (select *, regexp_extract_all(text, {quoted(REF)})[1] as ref from cands),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.topics import section_refs
 from ..rules import domain as D
+from ..session import materialise
 from .skew import first_per_key
 from .vectors import knn
 
@@ -31,6 +32,35 @@ def map_sections(refs: DataFrame, ref_vectors: DataFrame, law_chunks: DataFrame,
     )
 
 
+def refresh_mappings(mappings: DataFrame, known_refs: DataFrame, refs: DataFrame, ref_vectors: DataFrame, law_chunks: DataFrame,
+                     added: DataFrame, min_score: float = D.MIN_SECTION_SIMILARITY) -> DataFrame:
+    """Mappings after a change of the law chunks, each with its ``change``: kept, added, moved or retracted.
+
+    ``mappings`` and ``known_refs`` (``ref``) are what earlier runs left, ``refs`` are all references now,
+    ``law_chunks`` the law chunks now and ``added`` those (``chunk_id``) that came with this run. A mapping
+    stays as long as its chunk is there. A reference whose chunk is gone, or that is new, is searched
+    among all law chunks; one that found nothing before is compared with the added chunks only, as the
+    others were too far already. A retracted mapping keeps its old target and score in the result.
+    """
+    ids = law_chunks.select(F.col("chunk_id").alias("current_chunk_id"))
+    live = mappings.join(ids, "current_chunk_id", "left_semi")
+    gone = mappings.join(ids, "current_chunk_id", "left_anti")
+    old = lambda df: df.select(F.col("old_section_ref").alias("ref"))
+    now = refs.select("ref").distinct().join(old(live), "ref", "left_anti").join(
+        known_refs.select("ref", F.lit(True).alias("_known")).distinct(), "ref", "left").join(
+        old(gone).distinct().withColumn("_gone", F.lit(True)), "ref", "left")
+    now = materialise(now.select("ref", (F.col("_known").isNull() | F.col("_gone").isNotNull()).alias("_all")), "open-refs")
+    found = map_sections(now.where("_all"), ref_vectors, law_chunks, min_score).unionByName(
+        map_sections(now.where("not _all"), ref_vectors, law_chunks.join(added.select("chunk_id"), "chunk_id", "left_semi"), min_score))
+    found = materialise(found, "found-refs")
+    lost = gone.join(found.select("old_section_ref"), "old_section_ref", "left_anti")
+    fresh = found.join(gone.select("old_section_ref", F.lit("moved").alias("change")).distinct(), "old_section_ref", "left")
+    columns = ["old_section_ref", "current_chunk_id", "current_section", "current_doc_version", "similarity_score"]
+    return live.select(*columns, F.lit("kept").alias("change")).unionByName(
+        fresh.select(*columns, F.coalesce("change", F.lit("added")).alias("change"))).unionByName(
+        lost.select(*columns, F.lit("retracted").alias("change")))
+
+
 def resolve_refs(cands: DataFrame, mappings: DataFrame, law_text: DataFrame, group: str = "query_id", pos: str = "pos",
                  pattern: str = D.SECTION_REF, max_refs: int = D.MAX_RESOLVED_REFS, chars: int = 500) -> DataFrame:
     """Append the current equivalent of each candidate's first reference, at most ``max_refs`` per question."""

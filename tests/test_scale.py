@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexloom.operators import crawl_state, ranking, sessions, skew, vectors
+from lexloom.operators import crawl_state, ranking, sections, sessions, skew, vectors
 from lexloom.operators.cells import CellIndex
 from lexloom.operators.chunking import case_pieces, law_pieces, pack_paragraphs
 from lexloom.operators.postings import WordIndex
@@ -292,3 +292,19 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     assert scratch_base(conf(spark_master="local[4]", spark_sql_warehouse_dir="file:/w")) == "file:/w/_scratch"
     with pytest.raises(ValueError, match="checkpoint"):
         scratch_base(conf(spark_master="spark://host:1"))
+
+
+def test_refreshed_mappings_follow_the_change(spark):
+    """Kept, added, moved and retracted mappings; a reference that waits is compared with the added chunks only."""
+    unit = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    chunk = "chunk_id long, embedding array<float>, section string, doc_version string"
+    law = lambda rows: spark.createDataFrame([(i, unit(a), f"s{i}", "1") for i, a in rows], chunk)
+    vecs = spark.createDataFrame([(r, unit(a)) for r, a in (("keeps", 0.0), ("moves", 1.0), ("ends", 2.2), ("waits", 3.0), ("new", 0.1), ("far", 4.5), ("absent", 0.0))], "ref string, embedding array<float>")
+    refs = lambda *names: spark.createDataFrame([(n,) for n in names], "ref string")
+    first = law([(1, 0.0), (2, 1.05), (3, 2.2)])
+    before = sections.map_sections(refs("keeps", "moves", "ends", "waits", "far"), vecs, first)
+    assert {(r.old_section_ref, r.current_chunk_id) for r in before.collect()} == {("keeps", 1), ("moves", 2), ("ends", 3)}
+    now = law([(1, 0.0), (4, 0.7), (5, 3.1)])  # 2 and 3 were replaced
+    got = sections.refresh_mappings(before, refs("keeps", "moves", "ends", "waits", "far"), refs("keeps", "moves", "ends", "waits", "far", "new", "new", "unknown"), vecs, now, now.where("chunk_id > 3"))
+    assert sorted((r.old_section_ref, r.current_chunk_id, r.change) for r in got.collect()) == [
+        ("ends", 3, "retracted"), ("keeps", 1, "kept"), ("moves", 4, "moved"), ("new", 1, "added"), ("waits", 5, "added")]
