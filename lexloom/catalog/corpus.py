@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.topics import section_refs
 from ..operators import activity as A
 from ..operators import chunking as CH
 from ..operators import crawl_state as CS
@@ -20,7 +19,7 @@ from ..sources import manifest as MA
 from ..sources import pages as PA
 from ..sources import sinks as SI
 from .registry import query
-from .text import quoted, strip_sql, sub_sql
+from .text import hits_sql, quoted, rule_sql, strip_sql, sub_sql
 from .views import AS_OF, check, view, views
 
 RULE = "=" * 60
@@ -484,24 +483,27 @@ def _cut(e, p):
     return f"string_split(regexp_replace({e}, {quoted(p)}, chr(1) || '\\1', 'g'), chr(1))"
 
 
-@query("chunk_law", rf"""
-    with t as (select doc_id, {LAW_TEXT} as t from documents),
-    s as (select doc_id, case when len({_cut('t', CLAUSE_SQL)}) <= 2 then {_cut('t', SECTION_SQL)} else {_cut('t', CLAUSE_SQL)} end as p from t),
+def _law_sql(source):
+    return rf"""
+    with s as (select doc_id, case when len({_cut('t', CLAUSE_SQL)}) <= 2 then {_cut('t', SECTION_SQL)} else {_cut('t', CLAUSE_SQL)} end as p from {source}),
     u as (select doc_id, {ORDERED} from (select doc_id, [y for y in [{strip_sql('x')} for x in p] if length(y) >= 50] as p from s)),
     l as (select *, nullif(regexp_extract(piece, '(?im)^(Section\s+\d+[\.\d]*)', 1), '') as sec,
                  nullif(regexp_extract(piece, '(?im)^(Clause\s+\d+[\.\d]*|§\s*\d+[\.\d]*)', 1), '') as clause from u),
     f as (select *, last_value(sec ignore nulls) over (partition by doc_id order by i rows between unbounded preceding and current row) as section from l),
     k as (select doc_id, i, section, clause, {ORDERED.replace('i,', 'j,', 1).replace('piece', 'text').replace('p, 1', 'p, 1')}
           from (select *, {pack_sql('piece', 2048)} as p from f))
-    select doc_id, row_number() over (partition by doc_id order by i, j) - 1 as chunk_index, text, section, clause from k""")
+    select doc_id, row_number() over (partition by doc_id order by i, j) - 1 as chunk_index, text, section, clause from k"""
+
+
+@query("chunk_law", f"with t as (select doc_id, {LAW_TEXT} as t from documents) select * from ({_law_sql('t')})")
 def chunk_law(spark, sf):
     d = view(spark, sf, "documents").select("doc_id", F.lit("law").alias("doc_type"), F.expr(LAW_TEXT).alias("text"))
     return CH.chunk_documents(d).select("doc_id", "chunk_index", "text", "section", "clause")
 
 
-@query("chunk_case", rf"""
-    with t as (select doc_id, {CASE_TEXT} as t from documents),
-    m as (select doc_id, t, regexp_matches(t, '(?i){"|".join(p for _, p in D.CASE_BLOCK_MARKERS)}') as found from t),
+def _case_sql(source):
+    return rf"""
+    with m as (select doc_id, t, regexp_matches(t, '(?i){"|".join(p for _, p in D.CASE_BLOCK_MARKERS)}') as found from {source}),
     s as (select doc_id, found, case when found then {_cut('t', '(?i)(' + '|'.join(p for _, p in D.CASE_BLOCK_MARKERS) + ')')}
                  else string_split(t, chr(10) || chr(10)) end as p from m),
     u as (select doc_id, found, {ORDERED} from (select doc_id, found, [{strip_sql('x')} for x in p] as p from s)),
@@ -509,7 +511,10 @@ def chunk_law(spark, sf):
     k as (select doc_id, i, case when found then kind else 'paragraph' end as block_type, {ORDERED.replace('i,', 'j,', 1).replace('piece', 'text')}
           from (select *, case when found then {pack_sql('piece', 3072)} else [piece] end as p from b
                 where (found and kind is not null and length(piece) >= 50) or (not found and length(piece) > 100)))
-    select doc_id, row_number() over (partition by doc_id order by i, j) - 1 as chunk_index, text, block_type from k""")
+    select doc_id, row_number() over (partition by doc_id order by i, j) - 1 as chunk_index, text, block_type from k"""
+
+
+@query("chunk_case", f"with t as (select doc_id, {CASE_TEXT} as t from documents) select * from ({_case_sql('t')})")
 def chunk_case(spark, sf):
     d = view(spark, sf, "documents").select("doc_id", F.lit("case").alias("doc_type"), F.expr(CASE_TEXT).alias("text"))
     return CH.chunk_documents(d).select("doc_id", "chunk_index", "text", "block_type")
@@ -524,15 +529,60 @@ def chunk_index(spark, sf):
 
 
 # --- whole ingestion -----------------------------------------------------------------------------------
-def _prepared(spark, sf):
-    raw = view(spark, sf, "documents").select(
-        F.col("doc_id").alias("document_id"), F.concat("source", F.lit("_"), "lang", F.lit(".txt")).alias("filename"),
-        F.when(F.col("n_chars") >= 150, F.expr(LAW_TEXT)).otherwise(" ").alias("text"))
-    return I.prepare_documents(raw, classify_rules=dict(law_words=X.LAW_WORDS, case_words=X.CASE_WORDS, topic_patterns=X.TOPICS, flags=""))
-
-
-@query("ingest_corpus")
+# a register of files: every document, and parts of which no text has come, so that their ingestion fails
+REGISTER = f"""
+    select coalesce(doc_id, p_partkey) as document_id, case when doc_id is null then concat(p_brand, '.txt') else concat(source, '_', lang, '.txt') end as filename,
+           {LAW_TEXT} as text from documents full join part on doc_id = p_partkey"""
+INGEST_RULES = dict(
+    classify_rules=dict(law_words=X.LAW_WORDS, case_words=X.CASE_WORDS, topic_patterns=X.TOPICS, flags=""),
+    metadata_rules=dict(topic_patterns=X.TOPICS, section=X.SECTION_REF, form=X.FORM_REF, year=X.YEAR_REF, flags=""))
+CLEANING = [(" {2,}", " "), ("\n{3,}", "\n\n"), (r"(?m)^\d+\s*$", "")]
+
+
+def _ingest_sql():
+    kinds = (f"[case when starts_with(s, '{DO.RULE}') then 'rule' when contains(s, ':') and i <= {D.HEADER_MAX_LINES} then 'header' "
+             "when s = '' or starts_with(s, '=') then 'blank' else 'body' end for s, i in trimmed]")
+    listed = lambda p: f"list_sort(list_distinct(regexp_extract_all(text, {quoted(p)})))"
+    return f"""
+    with raw as ({REGISTER}),
+    r1 as (select document_id, filename, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as lines from raw),
+    r2 as (select *, [{strip_sql('x')} for x in lines] as trimmed from r1),
+    r3 as (select *, {kinds} as kinds from r2),
+    r4 as (select *, coalesce(list_position(kinds, 'rule'), 0) as rule, coalesce(list_position(kinds, 'body'), 0) as body from r3),
+    r5 as (select *, case when rule > 0 and (body = 0 or rule < body) then rule when body > 1 then body - 1 else 0 end as start from r4),
+    r6 as (select document_id, filename, case when start > 0 then {strip_sql("array_to_string(lines[start + 1:], chr(10))")} else t end as t from r5),
+    parsed as (select document_id, filename, {strip_sql(sub_sql('t', CLEANING))} as text from r6),
+    s as (select *, {hits_sql('lower(text)', X.LAW_WORDS)} as l, {hits_sql('lower(text)', X.CASE_WORDS)} as c from parsed),
+    typed as (select document_id, filename, text, case when l >= c then 'law' else 'case' end as doc_type, case when l + c > 0 then {rule_sql('text', X.TOPICS)} end as topic,
+                     case when text = '' then 'failed' else 'completed' end as status, case when text = '' then 'No text found' end as error_message from s),
+    docs as (select *, version = max(version) over (partition by filename) as is_latest from (
+               select *, row_number() over (partition by filename, doc_type order by document_id) as version from typed)),
+    laws as (select document_id as doc_id, text as t from docs where doc_type = 'law' and status = 'completed'),
+    cases as (select document_id as doc_id, text as t from docs where doc_type = 'case' and status = 'completed'),
+    law_chunks as ({_law_sql('laws')}),
+    case_chunks as ({_case_sql('cases')}),
+    pieces as (select doc_id as document_id, chunk_index, text, section, clause, null as block_type from law_chunks
+               union all select doc_id, chunk_index, text, null, null, block_type from case_chunks),
+    chunks as (select sha256(concat_ws(':', document_id, version, chunk_index)) as chunk_id, document_id, chunk_index, coalesce(section, '') as section, coalesce(clause, '') as clause,
+                      block_type, coalesce({rule_sql('p.text', X.TOPICS)}, d.topic, '') as topic, length(p.text) // 4 as token_count, md5(p.text) as text_md5,
+                      {listed(X.SECTION_REF).replace('(text', '(p.text')} as cited, array_to_string({listed(X.FORM_REF).replace('(text', '(p.text')}, '|') as form_references
+               from pieces p join docs d using (document_id)),
+    total as (select document_id, count(*) as total_chunks, array_to_string(flatten(list(cited order by chunk_index)), '|') as document_cited from chunks group by 1)
+    select d.document_id, d.filename, d.doc_type, d.version, d.is_latest, d.status, d.error_message, coalesce(total_chunks, 0) as total_chunks, document_cited,
+           chunk_id, chunk_index, section, clause, block_type, c.topic, token_count, array_to_string(cited, '|') as cited_sections, form_references, text_md5
+    from docs d left join total using (document_id) left join chunks c using (document_id)"""
+
+
+@query("ingest_corpus", _ingest_sql())
 def ingest_corpus(spark, sf):
-    chunks = I.chunk_rows(_prepared(spark, sf), metadata_rules=dict(topic_patterns=X.TOPICS, flags=""))
-    return chunks.select("chunk_id", "document_id", "doc_type", "chunk_index", "section", "clause", "topic", "doc_version", "token_count",
-                         F.array_join("cited_sections", "|").alias("cited_sections"), F.md5("text").alias("text_md5"))
+    """Documents, failed ones too, with their roll-up and chunks, read back from the corpus tables of a committed run."""
+    documents, part = view(spark, sf, "documents"), view(spark, sf, "part")
+    raw = spark.sql(REGISTER.replace("from documents", "from {documents}").replace("join part", "join {part}"), documents=documents, part=part)
+    store = I.CorpusStore(spark, scratch_dir(spark, "corpus"))
+    store.ingest(raw, "first", **INGEST_RULES)
+    chunks = store.chunks().drop("doc_type")
+    docs = store.documents().select(
+        "document_id", "filename", "doc_type", "version", "is_latest", "status", "error_message", "total_chunks", F.array_join("cited_sections", "|").alias("document_cited"))
+    return docs.join(chunks.drop("doc_version", "year_references"), "document_id", "left").select(
+        *docs.columns, "chunk_id", "chunk_index", "section", "clause", "block_type", "topic", "token_count",
+        F.array_join("cited_sections", "|").alias("cited_sections"), F.array_join("form_references", "|").alias("form_references"), F.md5("text").alias("text_md5"))

@@ -30,9 +30,17 @@ class KeptFolder:
 
     def part(self, name: str, among: list[str] | None = None) -> DataFrame | None:
         """One part of all segments that have it (those of ``among``, named ``<kind>-...``); None without any."""
-        tables = [self.spark.read.parquet(f"{self.path}/{s}/{name}") for s in (self.segments() if among is None else among)]
+        tables = [t for t in (self._table(f"{self.path}/{s}/{name}") for s in (self.segments() if among is None else among)) if t is not None]
         return reduce(DataFrame.unionByName, tables) if tables else None
 
+    def _table(self, folder: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(folder)
+        except Exception as e:
+            if "UNABLE_TO_INFER_SCHEMA" in str(e):  # no rows, no files
+                return None
+            raise
+
     def new_segment(self, kind: str = "segment") -> str:
         return f"{kind}-{uuid.uuid4().hex}"
 
