@@ -11,9 +11,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.crawl_state import RECORD_COLUMNS
+from ..operators.record_log import RecordLog
 from ..plans.ingestion import process_crawl
 from ..rules import domain as D
-from ..session import scratch_dir
+from ..session import materialise, scratch_dir
 
 
 def read_stream(spark: SparkSession, folder: str, file_glob: str, schema, max_files: int | None = None) -> DataFrame:
@@ -171,35 +172,40 @@ def session_memory(turns: DataFrame, limit: int = D.SESSION_TURNS, snippet: int
     return turns.groupBy("conv_id").applyInPandasWithState(update, out, held, "append", GroupStateTimeout.NoTimeout)
 
 
-def crawl_changes(pages: DataFrame, first_snapshot: DataFrame, at, label: str = "crawl", order: str = "page_id") -> tuple[DataFrame, DataFrame]:
-    """Process pages as they arrive; returns (results, last record snapshot).
+def crawl_changes(pages: DataFrame, first_snapshot: DataFrame, at, label: str = "crawl", order: str = "page_id",
+                  path: str | None = None, compact_after: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Process pages as they arrive; returns (results, record snapshot).
 
-    Every micro-batch reads the snapshot of the batch before and writes its own
-    under its batch number, so a repeated batch overwrites itself.
+    Every micro-batch reads the records of its own URLs, as they were before the batch, and appends
+    those it changed to a log (``RecordLog``), so what a batch writes follows its pages, not the
+    records. A repeated batch replaces itself. With a ``path`` of its own the job goes on where it
+    stopped; the first snapshot counts on the first run only.
     """
     spark = pages.sparkSession
-    base = scratch_dir(spark, label)
-    first_snapshot.select(*RECORD_COLUMNS).write.mode("overwrite").parquet(f"{base}/records/batch=-1")
-    schema = first_snapshot.select(*RECORD_COLUMNS).schema
-    done = [-1]
+    base = path or scratch_dir(spark, label)
+    first = first_snapshot.select(*RECORD_COLUMNS)
+    log = RecordLog(spark, f"{base}/records", first.schema)
+    if not log.batches():
+        log.append(first, -1)
+    cols = [order, "url", "result", "title"]
 
     def step(batch: DataFrame, n: int):
-        previous = spark.read.schema(schema).parquet(f"{base}/records/batch={n - 1}")
+        batch = materialise(batch, "pages")
+        previous = materialise(log.state(before=n).join(batch.select("url").distinct(), "url", "left_semi"), "records")
         out = process_crawl(batch, previous, at, order)
-        cols = [order, "url", "result", "title"]
-        out["results"].select(*cols).write.mode("overwrite").parquet(f"{base}/results/batch={n}")
-        out["records"].write.mode("overwrite").parquet(f"{base}/records/batch={n}")
-        done.append(n)
+        out["results"].select(*cols).write.mode("overwrite").parquet(f"{base}/results/_batch={n}")
+        fetched = out["results"].where("result <> 'failed'").select("url").distinct()  # the records of failed pages stay as they are
+        log.append(out["records"].join(fetched, "url", "left_semi"), n)
+        if compact_after and n % compact_after == compact_after - 1:
+            log.compact(compact_after)
 
-    q = (
-        pages.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    )
+    q = pages.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     types = dict(pages.dtypes)
-    results = spark.read.schema(f"{order} {types[order]}, url string, result string, title string").parquet(
-        *[f"{base}/results/batch={n}" for n in done[1:]]
-    )
-    return results, spark.read.schema(schema).parquet(f"{base}/records/batch={done[-1]}")
+    kinds = f"{order} {types[order]}, url string, result string, title string"
+    done = [n for n in log.batches() if n >= 0]
+    results = spark.read.schema(kinds).parquet(*[f"{base}/results/_batch={n}" for n in done]) if done else spark.createDataFrame([], kinds)
+    return results, log.state()
 
 
 def review_queue(answers: DataFrame) -> DataFrame:

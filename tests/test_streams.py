@@ -5,6 +5,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lexloom.operators.crawl_state import RECORD_COLUMNS
+from lexloom.operators.record_log import RecordLog
+from lexloom.plans.ingestion import process_crawl
 from lexloom.streaming import jobs as J
 
 SCHEMA = "event_id long, user long, created_at timestamp"
@@ -48,3 +51,68 @@ def test_volume_flushes_open_windows_and_resumes(spark, tmp_path):
     want.update((s // day) * day for _, _, s in more)
     assert run() == dict(want)
     assert len(list((tmp_path / "out").glob("_batch=*"))) >= 2
+
+
+def _record(spark, urls):
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return spark.createDataFrame([(u,) for u in urls], "url string").select(
+        "url", F.lit("news").alias("source_type"), F.lit("LAW").alias("doc_type"), F.lit("t").alias("title"), F.md5(F.lit("old")).alias("content_hash"),
+        F.lit("unchanged").alias("status"), F.lit(None).cast("string").alias("error_message"), at.alias("last_scraped_at"), at.alias("last_changed_at"), F.lit(1).alias("scrape_count")
+    ).select(*RECORD_COLUMNS)
+
+
+def test_crawl_over_batches_and_runs_equals_one_batch(spark, tmp_path):
+    """Twelve micro-batches in two runs on one folder, with compaction, against the batch operators over all pages."""
+    rng = random.Random(3)
+    first = _record(spark, [f"u{i}" for i in range(400)])
+    pages = [(i, f"u{rng.randint(0, 430)}", rng.choice(["old", "old", "a", "b", None])) for i in range(120)]
+    kind = "page_id long, url string, content string"
+    folder = str(tmp_path / "in")
+    # a page without content uses the older form's column in the job; here it fails
+    shape = lambda df: df.select("page_id", "url", F.lit("news").alias("source_type"), F.lit("LAW").alias("doc_type"), F.lit("t").alias("title"), "content", F.lit(None).cast("string").alias("clean_text"))
+
+    def feed(lo, hi):
+        for k in range(lo, hi):
+            spark.createDataFrame(pages[k * 10 : k * 10 + 10], kind).coalesce(1).write.parquet(f"{folder}/f{k:02d}")
+
+    def job():
+        source = spark.readStream.schema(kind).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
+        return J.crawl_changes(shape(source), first, F.lit("2024-02-01 00:00:00").cast("timestamp"), path=str(tmp_path / "crawl"), compact_after=4)
+
+    feed(0, 7)
+    results, _ = job()
+    assert results.count() == 70
+    feed(7, 12)
+    results, records = job()
+    whole = process_crawl(shape(spark.createDataFrame(pages, kind)), first, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    columns = ["page_id", "url", "result", "title"]
+    assert sorted(map(tuple, results.select(*columns).collect())) == sorted(map(tuple, whole["results"].select(*columns).collect()))
+    state = ["url", "content_hash", "scrape_count", "last_changed_at"]
+    assert sorted(map(tuple, records.select(*state).collect())) == sorted(map(tuple, whole["records"].select(*state).collect()))
+    log = RecordLog(spark, str(tmp_path / "crawl" / "records"), first.schema)
+    assert log.batches() == list(range(-1, 12))
+    written = {n: log._read(s).count() for (k, n), s in log._live().items() if k == "delta"}
+    assert written.pop(-1) == 400
+    assert written == {n: len({u for _, u, c in pages[n * 10 : n * 10 + 10] if c}) for n in range(12)}  # the changes, not the records
+
+
+def test_log_merges_replaces_and_compacts_only_full_buckets(spark, tmp_path):
+    schema = spark.createDataFrame([], "url string, v int").schema
+    log = RecordLog(spark, str(tmp_path / "log"), schema, buckets=8)
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), schema)
+    state = lambda **kw: {r.url: r.v for r in log.state(**kw).collect()}
+    assert state() == {} and log.compact(1) == []
+    log.append(rows(*[(f"k{i}", 0) for i in range(40)]), -1)
+    for n in range(4):
+        log.append(rows(("k1", n + 1), (f"n{n}", n)), n)
+    log.append(rows(("k1", 40)), 3)  # run again: replaces its delta
+    want = {f"k{i}": 0 for i in range(40)} | {"k1": 40, "n0": 0, "n1": 1, "n2": 2}
+    assert state() == want and state(before=2)["k1"] == 2 and "n2" not in state(before=2)
+    hit = log.compact(5)
+    own = {r.url: r.b for r in rows(("k1", 0)).select("url", F.pmod(F.xxhash64("url"), F.lit(8)).alias("b")).collect()}
+    assert own["k1"] in hit and len(hit) < 8 and log.compact(5) == []
+    base = [s for (k, _), s in log._live().items() if k == "base"]
+    assert {r._bucket for r in log._read(base[0]).select("_bucket").distinct().collect()} == set(hit)
+    assert state() == want and state(before=2)["k1"] == 2
+    log.append(rows(("k1", 50)), 4)
+    assert state() == want | {"k1": 50} and log.append(rows(), 5) is None and state() == want | {"k1": 50}
