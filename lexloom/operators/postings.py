@@ -3,7 +3,7 @@
 A segment holds the rows of one ``append``: ``docs`` (key, scope, distinct words) and
 ``postings`` (word, scope, block: keys and the largest number of words among them), the
 latter in folders by a hash of the word, so that a search opens the folders of its words
-only. Blocks are slices of the rows by length and hash and hold a few thousand keys at most,
+only. Blocks are slices of the rows by length and hash and hold some ten thousand keys at most,
 however frequent the word.
 """
 
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .kept import KeptFolder
-from .skew import first_per_key
+from .skew import first_per_key, one_per_key
 
-BUCKETS, BLOCK = 64, 4_096
+BUCKETS, BLOCK = 64, 65_536
 
 
 class WordIndex(KeptFolder):
@@ -31,7 +31,7 @@ class WordIndex(KeptFolder):
         words = F.array_distinct(F.filter(F.coalesce(F.col(self.words), F.array().cast("array<string>")), lambda w: w.isNotNull()))
         new = rows.where(F.col(self.key).isNotNull()).select(
             F.col(self.key).alias("key"), F.coalesce(F.col(self.scope), F.lit("")).alias("scope"), F.array_sort(words).alias("words"))
-        new = first_per_key(new, ["key"], ["scope", F.xxhash64("words")])
+        new = one_per_key(new, ["key"], ["scope", F.xxhash64("words")])
         old = self.part("docs")
         if old is not None:
             new = new.join(old.select("key"), "key", "left_anti")
@@ -43,17 +43,24 @@ class WordIndex(KeptFolder):
         if not n:
             return 0
         size = F.size("words")
-        # rows of like length meet in a block, so that its longest row bounds the others closely
+        # rows of like length meet in a block, so that its longest row bounds the others closely; a block's rows are
+        # brought together once, as rows, and its words are grouped where they then lie
+        block_of = ["scope", "band", "shard"]
         sliced = docs.select(
             "key", "scope", size.alias("_n"), F.floor(F.log2(size + 1)).cast("int").alias("band"),
-            F.pmod(F.xxhash64("key"), F.lit(-(-n // block))).cast("int").alias("shard"), F.explode("words").alias("word"))
-        blocks = sliced.groupBy("word", "scope", "band", "shard").agg(
+            F.pmod(F.xxhash64("key"), F.lit(-(-n // block))).cast("int").alias("shard"), "words").repartition(*block_of)
+        blocks = sliced.select("key", "_n", *block_of, F.explode("words").alias("word")).groupBy("word", *block_of).agg(
             F.array_sort(F.collect_list("key")).alias("keys"), F.count(F.lit(1)).alias("n"), F.max("_n").alias("top"))
-        blocks = blocks.withColumn("bucket", _bucket("word")).repartitionByRange("bucket", "word").sortWithinPartitions("bucket", "word")
+        blocks = blocks.withColumn("bucket", _bucket("word")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "word")
         blocks.write.partitionBy("bucket").parquet(f"{folder}/postings")
         self.commit(name)
         return n
 
+    def blocks(self, buckets: list[int]) -> DataFrame | None:
+        """Posting blocks in the folders of the given buckets (of ``BUCKETS`` at most); no other folder is opened."""
+        found = self.part("postings")
+        return None if found is None else found.where(F.col("bucket").isin(buckets))
+
     def search(self, asked: DataFrame, by: list[str], fetch: int, words: str = "words", scopes: str = "scopes") -> DataFrame:
         """For each row of ``asked`` (named by the columns ``by``): the ``fetch`` keys with most of its words, as ``by``, key, hits, pos.
 
@@ -69,15 +76,16 @@ class WordIndex(KeptFolder):
         if postings is None:
             return self.spark.createDataFrame([], f"{kinds}, `{self.key}` string, hits int, pos int")
         asked = asked.select(*by, F.array_distinct(F.col(words)).alias("_asked"), F.col(scopes).alias("_scopes"))
-        terms = asked.select(*by, "_scopes", F.explode("_asked").alias("word")).withColumn("bucket", _bucket("word"))
+        # what the joins below meet the index with is stored, so its size is known when they are planned
+        terms = materialise(asked.select(*by, "_scopes", F.explode("_asked").alias("word")).withColumn("bucket", _bucket("word")), "terms")
+        postings = self.blocks([r.bucket for r in terms.select("bucket").distinct().collect()])
         # how long each question's lists are, from the counts of the blocks
         known = terms.select("bucket", "word").distinct()
         length = postings.select("bucket", "word", "scope", "n").join(known, ["bucket", "word"]).groupBy("word", "scope").agg(F.sum("n").alias("n"))
-        sized = terms.join(length, "word").where(F.array_contains("_scopes", F.col("scope"))).groupBy(*by, "word", "bucket").agg(F.sum("n").alias("n"))
+        sized = terms.join(length, "word").where(F.array_contains("_scopes", F.col("scope"))).groupBy(*by, "_scopes", "word", "bucket").agg(F.sum("n").alias("n"))
         rare = Window.partitionBy(*by).orderBy("n", "word")
         ranked = materialise(sized.withColumn("_before", F.coalesce(F.sum("n").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                              .withColumn("_from_top", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), F.desc("word")))), "lists")
-        ranked = ranked.join(asked.select(*by, "_scopes"), by)
 
         def met(lists: DataFrame, mark: str | None = None) -> DataFrame:
             """Keys of the lists, with the number of lists that hold each."""
@@ -97,7 +105,7 @@ class WordIndex(KeptFolder):
             postings.join(common.select("bucket", "word").distinct(), ["bucket", "word"]).select("word", "scope", F.explode(F.slice("keys", 1, fetch)).alias("key")),
             ["word", "scope"], ["key"], fetch)
         heads = common.join(heads, "word").where(F.array_contains("_scopes", F.col("scope"))).select(*by, "key")
-        cands = reach.unionByName(heads).distinct()
+        cands = materialise(reach.unionByName(heads).distinct(), "candidates")
         counted = cands.join(docs.select("key", F.col("words").alias("_has")), "key").join(asked.select(*by, "_asked"), by).select(
             *by, "key", F.size(F.array_intersect("_asked", "_has")).alias("hits"))
         return first_per_key(counted, by, [F.desc("hits"), "key"], fetch, "pos", keep=True).withColumnRenamed("key", self.key)

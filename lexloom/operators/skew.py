@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..session import materialise
+
 
 def split_rank(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str) -> DataFrame:
     """1-based rank of each row within ``keys``.
@@ -87,3 +89,13 @@ def first_per_key(df: DataFrame, keys: list[str], order: list, n: int = 1, name:
     w = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
     return out if keep else out.drop(name)
+
+
+def one_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row per key where keys hardly ever repeat: only rows of repeated keys move.
+
+    The repeated keys are found from the keys alone and stored, so their size is known when
+    the rows are split by them. Rows with a null key stay.
+    """
+    often = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys), "repeated-keys")
+    return df.join(often, keys, "left_anti").unionByName(first_per_key(df.join(often, keys, "left_semi"), keys, order))

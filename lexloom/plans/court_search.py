@@ -9,7 +9,7 @@ from ..functions.relevance import court_overlap_score, court_query_tokens, score
 from ..functions.text import lit_or_col, strip
 from ..operators.postings import WordIndex
 from ..operators.ranking import merge_sources, words
-from ..operators.skew import first_per_key
+from ..operators.skew import first_per_key, one_per_key
 from ..rules import domain as D
 from ..session import materialise, scratch_dir
 
@@ -85,7 +85,7 @@ def search_decisions(queries: DataFrame, decisions: DataFrame, known_topics, ter
     case_id the first by court and name counts.
     """
     queries = queries.withColumn("topic", court_topic("query_text", "topic"))
-    decisions = first_per_key(decisions, ["case_id"], ["court", "case_name", "url"] if "url" in decisions.columns else ["court", "case_name"])
+    decisions = one_per_key(decisions, ["case_id"], ["court", "case_name", "url"] if "url" in decisions.columns else ["court", "case_name"])
     known = F.coalesce(F.col("topic").isin(*known_topics), F.lit(False))
     strict = F.lit(False)
     for t, p in (pathway or {}).items():

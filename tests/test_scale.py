@@ -210,8 +210,8 @@ def test_an_append_that_dies_is_not_read(spark, tmp_path):
     rows.select(F.lit("k2").alias("key"), "scope", "words").write.parquet(f"{index.path}/segment-dead/docs")
     asked = spark.createDataFrame([(1, ["x"], ["a"])], "q long, words array<string>, scopes array<string>")
     assert [r.key for r in index.search(asked, ["q"], 5).collect()] == ["k1"]
-    lists = index.search(asked, ["q"], 5)._jdf.queryExecution().executedPlan().toString()
-    assert "bucket" in lists and "PartitionFilters: [isnotnull(bucket" in lists
+    plan = index.blocks([3, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "IN (3,5)" in plan
 
 
 def test_lexical_hits(spark):
