@@ -154,7 +154,7 @@ def _bundles(docs: DataFrame, ends: np.ndarray) -> DataFrame:
 
 
 def contexts(words: list[bytes], cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of each word: its slot in every table (rows: contexts), the bit, and the word it belongs to."""
+    """For each bit of each word: its slot in every table (rows: contexts; the tables lie one behind the other), the bit, and the word it belongs to."""
     raw = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
     length = np.array([len(w) + 1 for w in words])
     starts = np.cumsum(length) - length
@@ -170,14 +170,16 @@ def contexts(words: list[bytes], cls: np.ndarray) -> tuple[np.ndarray, np.ndarra
         h = (h + b + np.uint64(1)) * _M1
         behind.append(h)
     style = (cls.astype(np.uint64) + np.uint64(1))[word] * _M3
-    partial = ((np.uint64(256) | raw)[:, None] >> np.arange(8, 0, -1, dtype=np.uint64)).astype(np.int64)
-    slots = np.empty((K, 8 * len(raw)), np.int64)
+    partial = ((np.uint64(256) | raw)[:, None] >> np.arange(8, 0, -1, dtype=np.uint64)).astype(np.int32)
+    slots = np.empty((K, len(raw), 8), np.int32)
     for k, (order, classed, log2) in enumerate(CONTEXTS):
         h = (sofar if order < 0 else behind[order]) + np.uint64(k + 1)
-        base = (xxmix(h ^ style if classed else h) >> np.uint64(64 - log2)).astype(np.int64)
-        slots[k] = ((base[:, None] + partial) & ((1 << log2) - 1)).ravel()  # the bits of a byte lie close together
+        base = (xxmix(h ^ style if classed else h) >> np.uint64(64 - log2)).astype(np.int32)
+        np.add(base[:, None], partial, out=slots[k])  # the bits of a byte lie close together
+        slots[k] &= np.int32((1 << log2) - 1)
+        slots[k] += np.int32(OFFSETS[k])
     bits = ((raw[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return slots, bits.ravel(), np.repeat(word, 8)
+    return slots.reshape(K, -1), bits.ravel(), np.repeat(word, 8)
 
 
 def _batches(b: dict, counts: str, size: int = 6_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
@@ -202,7 +204,7 @@ def _tables(words: DataFrame, tasks: int) -> np.ndarray:
                 slots, bit, word = contexts(ws, z)
                 weight = c[word].astype(np.float32)
                 for k in range(K):
-                    np.add.at(total, (slots[k] + OFFSETS[k]) * 2 + bit, weight)
+                    np.add.at(total, slots[k].astype(np.int64) * 2 + bit, weight)
         return total
 
     def scaled(v: np.ndarray) -> np.ndarray:
@@ -210,7 +212,7 @@ def _tables(words: DataFrame, tasks: int) -> np.ndarray:
         top = np.maximum(v.max(axis=1, keepdims=True) / 65_535, 1)
         return np.where(v > 0, np.maximum(np.round(v / top), 1), 0).ravel()
 
-    return summed(words.where("c > 0").repartition(tasks, "word"), count, 2 * int(OFFSETS[-1]), 1 << 18, scaled, "u2").reshape(-1, 2)
+    return summed(words.where("c > 0").repartition(tasks, "word"), count, 2 * int(OFFSETS[-1]), 1 << 18, scaled, "u2", planes=True).reshape(-1, 2)
 
 
 def _packed(tables: np.ndarray) -> bytes:
@@ -234,7 +236,7 @@ class Mixer:
     """Gated weights over the contexts' logits, and the final correction table."""
 
     def __init__(self, tables: np.ndarray):
-        self.tables = tables
+        self.tables = np.ascontiguousarray(tables, "<u2").view("<u4").ravel()  # both counts of a slot in one number
         self.weights = np.full((GATES, K + 1), 0.3)
         self.weights[:, K] = 0
         self.seen = np.zeros((2, 256 * STEPS))
@@ -244,13 +246,11 @@ class Mixer:
         slots, bit, word = contexts(words, cls)
         x = np.empty((K + 1, len(bit)), np.float32)
         depth = np.zeros(len(bit), np.int64)
+        own = (bit.astype(np.uint32) * np.uint32(65_535) + np.uint32(1)) * np.uint32(without)  # the token itself, counted in all its slots, is not yet known
         for k in range(K):
-            n = self.tables[slots[k] + OFFSETS[k]].astype(np.float32)
-            n0, n1 = n[:, 0], n[:, 1]
-            if without:  # the token itself is not yet known
-                n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
-            x[k] = np.log((n1 + 0.3) / (n0 + 0.3))
-            depth += n0 + n1 > 0
+            n = self.tables.take(slots[k]) - own
+            depth += n > 0
+            np.log(((n >> np.uint32(16)).astype(np.float32) + np.float32(0.3)) / ((n & np.uint32(65_535)).astype(np.float32) + np.float32(0.3)), out=x[k])
         x[K] = 1
         gate = depth * 8 + np.tile(np.arange(8), len(bit) // 8)
         weights, z = self.weights.astype(np.float32), np.zeros(len(bit), np.float32)

@@ -111,7 +111,8 @@ def test_language_model(spark, monkeypatch):
 def test_word_probabilities_sum_to_one():
     """All continuations of a prefix share what the prefix leaves: the 256 one-byte words of an untrained model."""
     m = mixing_lm.Mixer(np.zeros((int(mixing_lm.OFFSETS[-1]), 2), np.uint16))
-    m.tables = np.random.default_rng(1).integers(0, 50, m.tables.shape).astype(np.uint16)
+    counts = np.random.default_rng(1).integers(0, 50, (2, *m.tables.shape)).astype(np.uint32)
+    m.tables = counts[0] | counts[1] << np.uint32(16)
     words = [bytes([b]) for b in range(256) if b != 32]
     slots = m.logs([b""], np.zeros(1, np.int64))  # the space itself
     first = 10 ** slots[0]
