@@ -12,8 +12,10 @@ logit, moves the mixed prediction towards what was observed there.
 
 Classes come from counts of neighbouring words' endings over all training text, split by
 a mixture model. Because nothing else reaches beyond the word, a word's probability is
-computed once per distinct word and class: documents become runs of word numbers in bundles of bounded size, words
-are counted and scored as a table, and the scores return to the bundles by a join. What
+computed once per distinct word and class: documents become runs of word numbers in
+bundles of bounded size; a bundle's words travel packed, by ranges of their hashes, to
+where they are counted and scored as a table, and the scores return to the bundles by
+range. A range grows with the bundles that hold its words, by a few bytes each. What
 is gathered (the word table) grows with the corpus; the hashed context tables have a
 fixed size and are broadcast.
 
@@ -212,7 +214,7 @@ def _tables(words: DataFrame, tasks: int) -> np.ndarray:
         top = np.maximum(v.max(axis=1, keepdims=True) / 65_535, 1)
         return np.where(v > 0, np.maximum(np.round(v / top), 1), 0).ravel()
 
-    return summed(words.where("c > 0").repartition(tasks, "word"), count, 2 * int(OFFSETS[-1]), 1 << 18, scaled, "u2", planes=True).reshape(-1, 2)
+    return summed(words.where("c > 0").coalesce(tasks), count, 2 * int(OFFSETS[-1]), 1 << 18, scaled, "u2", planes=True).reshape(-1, 2)
 
 
 def _packed(tables: np.ndarray) -> bytes:
@@ -314,6 +316,71 @@ def _mixer(words: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     return mixer.weights, mixer.seen
 
 
+RANGE = 400_000  # words of bundles that meet in one group
+
+
+def _packed_words(bundles: DataFrame, ranges: int) -> DataFrame:
+    """Each bundle's words with classes and counts, packed by range of the words' hashes: one row per bundle and range."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            for key, ws, z, n in zip(b["bundle"].to_pylist(), b["words"], b["cls"], b["tf"], strict=True):
+                ws, z, n = ws.as_py(), np.array(z.as_py(), np.uint8), np.array(n.as_py(), np.uint32)
+                at = np.fromiter((xxhash.xxh3_64_intdigest(w) % ranges for w in ws), np.int64, len(ws))
+                order = np.argsort(at, kind="stable")
+                parts = np.split(order, np.flatnonzero(np.diff(at[order])) + 1)
+                yield {
+                    "range": [int(at[i[0]]) for i in parts], "bundle": [key] * len(parts),
+                    "pos": [pack(np.diff(i, prepend=0).astype(np.uint32).tobytes()) for i in parts],
+                    "words": [pack(b" ".join([ws[k] for k in i.tolist()])) for i in parts],
+                    "cls": [pack(z[i].tobytes()) for i in parts], "tf": [pack(n[i].tobytes()) for i in parts],
+                }
+
+    return arrow_map(bundles, run, "range long, bundle long, pos binary, words binary, cls binary, tf binary")
+
+
+def _unpack(blob, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), kind)
+
+
+def _split(blob) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob.as_py()).split(b" ")
+
+
+def _counted(key, packed):
+    """Words of a range over all bundles: how often taught and in how many bundles there, by class."""
+    import pyarrow as pa
+
+    known: dict[bytes, int] = {}
+    ids = [np.fromiter((known.setdefault(w, len(known)) for w in _split(ws)), np.int64) for ws in packed["words"]]
+    taught, there = np.zeros(len(known) * CLASSES, np.int64), np.zeros(len(known) * CLASSES, np.int64)
+    for i, z, n in zip(ids, packed["cls"], packed["tf"], strict=True):
+        cell = i * CLASSES + _unpack(z, np.uint8)
+        np.add.at(taught, cell, _unpack(n, np.uint32).astype(np.int64))
+        np.add.at(there, cell, 1)
+    bounds = np.arange(0, len(taught) + 1, CLASSES, dtype=np.int32)
+    return pa.table({
+        "range": np.full(len(known), key[0].as_py()), "word": pa.array(list(known), pa.binary()), "c": taught.reshape(-1, CLASSES).sum(axis=1),
+        "taught": pa.ListArray.from_arrays(bounds, taught), "there": pa.ListArray.from_arrays(bounds, there),
+    })
+
+
+def _answered(key, packed, scored):
+    """Count and score of each packed word, for its bundle."""
+    import pyarrow as pa
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    row = {w: i for i, w in enumerate(scored["word"].to_pylist())}
+    c, logs = scored["c"].to_numpy(), scored["logs"].combine_chunks().flatten().to_numpy().reshape(-1, CLASSES)
+    counts, values = [], []
+    for ws, z in zip(packed["words"], packed["cls"], strict=True):
+        i = np.array([row[w] for w in _split(ws)], np.int64)
+        counts.append(pack(c[i].astype(np.int64).tobytes()))
+        values.append(logs[i, _unpack(z, np.uint8)].tobytes())
+    return pa.table({"part": packed["bundle"], "pos": packed["pos"], "c": pa.array(counts, pa.binary()), "log": pa.array(values, pa.binary())})
+
+
 def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row.
 
@@ -322,14 +389,14 @@ def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "t
     """
     src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     bundles = materialise(_bundles(src, classes_of(tail_pairs(src))), "bundles")
-    entries = bundles.select("bundle", F.posexplode(F.arrays_zip("words", "cls", "tf")).alias("pos", "w")).select("bundle", "pos", F.col("w.words").alias("word"), F.col("w.cls").alias("cls"), F.col("w.tf").alias("tf"))
-    per_class = lambda what: F.array(*[F.coalesce(F.sum(F.when(F.col("cls") == z, what)), F.lit(0)).cast("long") for z in range(CLASSES)])
-    words = materialise(entries.groupBy("word").agg(F.sum("tf").alias("c"), per_class(F.col("tf")).alias("taught"), per_class(F.lit(1)).alias("there")), "words")
+    entries = bundles.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    packed = materialise(_packed_words(bundles, max(1, -(-entries // RANGE))), "packed-words")
+    counted = packed.groupBy("range").applyInArrow(_counted, "range long, word binary, c long, taught array<long>, there array<long>")
+    words = materialise(counted.repartition(max(1, entries // 100_000), "word"), "words")
     distinct, known, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
     tasks = lambda rows: max(1, -(-distinct // rows))
     shared = words.sparkSession.sparkContext.broadcast(_packed(_tables(words, tasks(400_000))))
-    dealt = words.repartition(tasks(40_000), "word")
-    weights, observed = _mixer(dealt, shared)
+    weights, observed = _mixer(words, shared)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         m = Mixer(_unpacked(shared))
@@ -338,18 +405,18 @@ def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "t
             logs = np.zeros((len(b["word"]), CLASSES))
             for ws, z, _, i in _batches(b, "there"):
                 logs[i, z] = m.logs(ws, z)
-            yield {"word": b["word"], "c": b["c"], "logs": list(logs)}
+            yield {"range": b["range"], "word": b["word"], "c": b["c"], "logs": list(logs)}
 
-    scored = materialise(arrow_map(dealt, run, "word binary, c long, logs array<double>"), "word-scores")
+    scored = materialise(arrow_map(words, run, "range long, word binary, c long, logs array<double>"), "word-scores")
     space = tokens + known + 1
 
     def total(key, left, right):
         import pyarrow as pa
 
         base = lambda c: np.log10((c + 1) / space)
-        pos, c = right["pos"].to_numpy(), right["c"].to_numpy()
+        pos, c = (np.concatenate([part(v) for v in right[n]]) for n, part in (("pos", lambda v: np.cumsum(_unpack(v, np.uint32), dtype=np.int64)), ("c", lambda v: _unpack(v, np.int64))))
         values = np.zeros((3, len(pos)))
-        values[:, pos] = right["log"].to_numpy(), base(c), c > 0
+        values[:, pos] = np.frombuffer(b"".join(right["log"].to_pylist())), base(c), c > 0
         parts = []
         for i in range(left.num_rows):
             length = np.array(left["length"][i].as_py(), np.int64)
@@ -364,7 +431,7 @@ def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "t
             }))
         return pa.concat_tables(parts)
 
-    values = entries.select("bundle", "pos", "word", "cls").join(scored, "word").select(F.col("bundle").alias("part"), "pos", "c", F.get("logs", F.col("cls")).alias("log"))
+    values = packed.groupBy("range").cogroup(scored.groupBy("range")).applyInArrow(_answered, "part long, pos binary, c binary, log binary")
     left = bundles.select("bundle", "doc", "held", "length", "bytes", "ids")
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return left.groupBy("bundle").cogroup(values.groupBy("part")).applyInArrow(total, kind)
