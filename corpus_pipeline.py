@@ -28,8 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand earlier in the corpus or differ from such a line by at most two edits."""
-    return line_dedup.dedup_lines(docs, threshold=2, least=20, n_chars="n_chars").select(*docs.columns)
+    """Documents without lines that stand earlier in the corpus or differ from such a line by at most two edits.
+
+    A document of which nothing but white space is left goes; one that had no words before stays.
+    """
+    cut = line_dedup.dedup_lines(docs, threshold=2, least=20, n_chars="n_chars")
+    emptied = (F.col("n_dropped") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    return cut.where(~emptied).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
