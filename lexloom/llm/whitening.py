@@ -160,7 +160,7 @@ def _added(lists: DataFrame, part: Callable[[np.ndarray], np.ndarray | None], dt
 
     schema, rows = "d int, i int, s binary", {}
     parts = arrow_map(lists, count, schema).repartition(8, "d", "i")
-    for r in arrow_map(parts, add, schema).toLocalIterator():
+    for r in arrow_map(parts, add, schema).collect():  # all at once: a row iterator runs a job for each partition
         rows[r.d, r.i] = np.frombuffer(r.s, dtype)
     return {d: np.array([rows[e, i] for e, i in sorted(rows) if e == d]) for d in sorted({d for d, _ in rows})}
 

@@ -118,3 +118,14 @@ def test_query(spark):
     for (i, j), (n, dev, w, share) in want.items():
         r = got[vectors[i][0], j]
         assert (r.n, r.deviation) == (n, dev) and abs(r.whitened) == pytest.approx(abs(w), abs=1e-6) and r.explained == pytest.approx(share, rel=1e-9)
+
+
+def test_jobs_do_not_follow_partitions(spark):
+    """Sums come to the driver in one job each, however many partitions hold them."""
+    points = whitening.grid(table(spark, np.random.default_rng(4).normal(size=(60, 6)).tolist()), "embedding", "vec_id").repartition(40)
+    spark.sparkContext.setJobGroup("fit-jobs", "fit")
+    try:
+        whitening.fit(points)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit-jobs")) <= 20
