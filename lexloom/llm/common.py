@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import materialise, scratch_base, ship_package
 
-__all__ = ["WordTable", "arrow_map", "documents", "materialise", "remainder", "summed", "words_of", "with_checkpoint_dir", "xxmix"]
+__all__ = ["WordTable", "arrow_map", "documents", "materialise", "release", "remainder", "summed", "words_of", "with_checkpoint_dir", "xxmix"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +49,13 @@ def xxmix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over dictionaries: column name to Arrow array in, to list or array out."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -56,6 +65,10 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from made(batches)
+        release()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in target], schema=target)
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, arrow_map, materialise, summed, words_of, xxmix
+from .common import WordTable, arrow_map, materialise, release, summed, words_of, xxmix
 
 #: (bytes of context, -1 for the whole word so far; with the class or not), log2 of the table's slots
 CONTEXTS = ((0, True, 16), (1, True, 18), (2, False, 20), (2, True, 20), (3, True, 21), (4, False, 22), (6, False, 22), (-1, False, 22), (-1, True, 22))
@@ -84,12 +84,21 @@ def classes_of(pairs: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.log(ends)
 
 
-def running_class(tail: np.ndarray, start: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Class before each word from the ``BEFORE`` words ahead of it in its document; ``start``: words since the document's start."""
-    own, total = ends[tail], np.zeros((len(tail), CLASSES))
-    for k in range(1, BEFORE + 1):
-        total[k:] += np.where(start[k:, None] >= k, own[:-k], 0)
-    return np.where(start > 0, total.argmax(axis=1), 0)
+def running_class(tail: np.ndarray, start: np.ndarray, ends: np.ndarray, block: int = 65_536) -> np.ndarray:
+    """Class before each word from the ``BEFORE`` words ahead of it in its document; ``start``: words since the document's start.
+
+    Works through ``block`` words at a time, as each takes CLASSES numbers.
+    """
+    out = np.zeros(len(tail), np.int64)
+    for at in range(0, len(tail), block):
+        lead = min(at, BEFORE)
+        now = start[at : at + block]
+        own, total = ends[tail[at - lead : at + block]], np.zeros((len(now), CLASSES))
+        for k in range(1, BEFORE + 1):
+            skip = min(max(0, k - lead), len(now))  # no word lies so far ahead
+            total[skip:] += np.where(now[skip:, None] >= k, own[lead + skip - k : len(own) - k] if skip < len(now) else 0, 0)
+        out[at : at + block] = np.where(now > 0, total.argmax(axis=1), 0)
+    return out
 
 
 class Bundler:
@@ -360,6 +369,7 @@ def _counted(key, packed):
         np.add.at(taught, cell, _unpack(n, np.uint32).astype(np.int64))
         np.add.at(there, cell, 1)
     bounds = np.arange(0, len(taught) + 1, CLASSES, dtype=np.int32)
+    release()  # of the group before
     return pa.table({
         "range": np.full(len(known), key[0].as_py()), "word": pa.array(list(known), pa.binary()), "c": taught.reshape(-1, CLASSES).sum(axis=1),
         "taught": pa.ListArray.from_arrays(bounds, taught), "there": pa.ListArray.from_arrays(bounds, there),

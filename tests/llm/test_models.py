@@ -136,3 +136,23 @@ def test_classes_tell_languages_apart():
     text = np.concatenate([rng.integers(0, 30, 50), rng.integers(30, 60, 50)])
     cls = mixing_lm.running_class(text, np.arange(100), ends)
     assert not set(cls[5:50]) & set(cls[60:])
+
+
+def test_classes_of_a_bundle_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    ends = np.log(rng.dirichlet(np.ones(mixing_lm.TAILS), mixing_lm.CLASSES).T)
+
+    def brute(tail, start):
+        return [int(sum(ends[tail[i - k]] for k in range(1, min(4, start[i]) + 1)).argmax()) if start[i] else 0 for i in range(len(tail))]
+
+    tail, start = rng.integers(0, mixing_lm.TAILS, 300), np.concatenate([np.arange(n) for n in rng.integers(1, 9, 300)])[:300]
+    for block in (1, 2, 5, 64, 1000):
+        assert mixing_lm.running_class(tail, start, ends, block).tolist() == brute(tail, start)
+    n = 600_000
+    tracemalloc.start()
+    mixing_lm.running_class(rng.integers(0, mixing_lm.TAILS, n), np.tile(np.arange(500), n // 500), ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000  # 8 numbers a word for the whole bundle would be 115 MB and more
