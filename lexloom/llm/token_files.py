@@ -25,6 +25,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -43,73 +44,99 @@ SEEK_ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary's format).
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The character that stands for each byte in the vocabulary: printable ones for themselves, the rest from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = "".join(chr(b) if b in _PRINTED else chr(256 + b - sum(p < b for p in _PRINTED)) for b in range(256))
+LONGEST = 256  # characters of a remembered piece
 _ENCODERS: dict[int, Encoder] = {}
 
 
+class Pieces(dict):
+    """Ids of pieces that all follow ``lead``, learned as they are met.
+
+    Pieces of Latin letters are cut further, as the pre-tokenizer cuts them, so that a word
+    costs its merges once with whatever punctuation follows it. None: the piece begins with
+    white space or is empty, so it belongs to the white space before. Pieces of more than
+    ``LONGEST`` characters are not kept.
+    """
+
+    def __init__(self, encoder: Encoder, lead: str):
+        super().__init__()
+        self.encoder, self.lead, self.before = encoder, lead, {}
+
+    def turn(self) -> None:
+        """Start anew; what was known is learned from memory once more."""
+        self.before = dict(self)
+        self.clear()
+
+    def __missing__(self, piece: str) -> bytes | None:
+        lead, encoder = self.lead, self.encoder
+        if piece in self.before:
+            ids = self.before[piece]
+        elif lead and (not piece or piece[0].isspace()):
+            ids = None
+        elif piece.isascii() or max(piece) < "\u0250":
+            cut = [] if piece.isalpha() else _CUT.findall(lead + piece)
+            ids = encoder.one(lead + piece) if len(cut) < 2 else b"".join([encoder.cut(c) for c in cut])
+        else:
+            ids = encoder.plain(lead + piece)
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Byte-level BPE of whole texts with every distinct piece encoded once.
 
     A single space between two non-space characters always starts a new piece of the
     pre-tokenizer, so the pieces between such spaces encode independently and can be
-    remembered. The table is bounded by ``limit`` pieces. Texts that contain an added token
+    remembered. The tables are bounded by ``limit`` pieces: at half of it they become the ones
+    before, which answer until the next turn. Texts that contain an added token
     of the vocabulary go through the tokenizer whole, as it cuts these out first.
     """
 
-    def __init__(self, tokenizer_json: bytes, end_id: int | None, limit: int = 1_000_000):
+    def __init__(self, tokenizer_json: bytes, end_id: int | None, limit: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
+        self.merge = self.tokenizer.model.tokenize
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or () if t["content"]]
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.limit, self.first, self.rest, self.subs = limit, {}, {}, {}
+        self.limit, self.first, self.rest = limit, Pieces(self, ""), Pieces(self, " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes, with the end id appended."""
-        whole = {i: self._whole(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        cut = [t.split(" ") if t and i not in whole else [] for i, t in enumerate(texts)]
-        if len(self.rest) + len(self.first) > self.limit:
-            self.first.clear()
-            self.rest.clear()
-        if len(self.subs) > self.limit:
-            self.subs.clear()
-        self._learn(self.first, {c[0] for c in cut if c}, "")
-        self._learn(self.rest, set().union(*(c[1:] for c in cut)).difference(self.rest), " ")
-        return [whole[i] if i in whole else self._join(c) if c else self.end for i, c in enumerate(cut)]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+        out = []
+        for t in texts:
+            if any(a in t for a in self.added):
+                out.append(self.plain(t) + self.end)
+            else:
+                out.append(self._join(t.split(" ")) if t else self.end)
+            if len(self.rest) + len(self.first) > self.limit // 2:
+                self.first.turn()
+                self.rest.turn()
+        return out
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def one(self, piece: str) -> bytes:
+        """Ids of what the pre-tokenizer leaves whole."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(piece.encode().decode("latin-1").translate(_BYTES))])
+
+    def cut(self, piece: str) -> bytes:
+        return self.rest[piece[1:]] if piece[0] == " " and piece[1:].isalpha() else self.first[piece] if piece.isalpha() else self.one(piece)
 
     def _join(self, cut: list[str]) -> bytes:
         try:
             return b"".join((self.first[cut[0]], *map(self.rest.__getitem__, cut[1:]), self.end))
         except TypeError:  # a run of white space: cut only between a space and what is not white space on both sides
             cut = _SPLIT.split(" ".join(cut))
-            self._learn(self.first, {cut[0]}, "")
-            self._learn(self.rest, set(cut[1:]), " ")
             return b"".join((self.first[cut[0]], *map(self.rest.__getitem__, cut[1:]), self.end))
 
-    def _learn(self, table: dict, pieces: set[str], lead: str) -> None:
-        """Add the ids of new pieces. Those of Latin letters are cut further, as the
-        pre-tokenizer cuts them, so that a word costs its merges once with whatever
-        punctuation follows it."""
-        subs = self.subs
-        cut = {p: _CUT.findall(lead + p) if p.isascii() or max(p) < "\u0250" else [lead + p] for p in pieces if p not in table}
-        if lead:
-            odd = [p for p in cut if not p or p[0].isspace()]  # these belong to the white space before
-            table.update(dict.fromkeys(odd))
-            for p in odd:
-                del cut[p]
-        new = [x for x in {x for c in cut.values() for x in c} if x not in subs]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
-            raw = np.array(e.ids, "<u4").tobytes()
-            subs.update((x, raw[4 * i : 4 * j]) for x, i, j in zip(part, ends[:-1], ends[1:], strict=True))
-        for p, c in cut.items():
-            table[p] = subs[c[0]] if len(c) == 1 else b"".join(map(subs.__getitem__, c))
-
 
 def _encoder(tokenizer_json: bytes, end_id: int | None) -> Encoder:
     key = hash((tokenizer_json, end_id))
@@ -119,10 +146,14 @@ def _encoder(tokenizer_json: bytes, end_id: int | None) -> Encoder:
     return _ENCODERS[key]
 
 
+@lru_cache(maxsize=4)
+def _press(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
+
+
 def pack(ids: bytes, level: int = 3) -> tuple[bytes, list[int], list[int], list[int]]:
     """Frames of one document, and each frame's packed size, size and checksum."""
-    press = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
-    frames, sizes, checks = [], [], []
+    press, frames, sizes, checks = _press(level), [], [], []
     for at in range(0, len(ids), 4 * FRAME_IDS):
         part = ids[at : at + 4 * FRAME_IDS]
         frames.append(press.compress(part))
@@ -173,18 +204,17 @@ def write_files(frames: DataFrame, folder: str) -> DataFrame:
 
         part, out, path, index, seek, ids = TaskContext.get().partitionId(), None, "", [], [], 0
         for b in batches:
-            for i in range(len(b["doc_id"])):
+            keys, packed, lengths, checks = (b[n].to_pylist() for n in ("doc_id", "packed", "sizes", "checks"))
+            for d, p, sizes, c, body in zip(keys, packed, lengths, checks, b["body"], strict=True):
                 if out is None:
                     fs, root = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(root, recursive=True)
                     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.zst"
                     out = fs.open_output_stream(f"{root}/{path.rsplit('/', 1)[1]}", compression=None)
-                d = b["doc_id"][i].as_py()
-                sizes = b["sizes"][i].as_py()
                 index.append((d or 0, d is None, len(seek), len(sizes), sum(sizes) // 4))
-                seek += zip(b["packed"][i].as_py(), sizes, b["checks"][i].as_py(), strict=True)
+                seek += zip(p, sizes, c, strict=True)
                 ids += index[-1][4]
-                out.write(b["body"][i].as_buffer())
+                out.write(body.as_buffer())
         if out is not None:
             out.write(tail(np.array(index, INDEX_ENTRY), np.array(seek, SEEK_ENTRY)))
             out.close()
@@ -199,7 +229,7 @@ class TokenFile:
 
     def __init__(self, path: str):
         fs, name = pafs.FileSystem.from_uri(path)
-        self.file = fs.open_input_file(name)
+        self.file, self.unpack = fs.open_input_file(name), zstandard.ZstdDecompressor().decompress
         end = self.file.size()
         count, descriptor, magic = struct.unpack("<IBI", self._at(end - 9, 9))
         if magic != FOOTER_MAGIC or descriptor != 0x80:
@@ -220,7 +250,7 @@ class TokenFile:
         """The ids of the ``row``-th document of the file; every checksum is verified."""
         entry, parts = self.index[row], []
         for f in range(int(entry["first"]), int(entry["first"]) + int(entry["frames"])):
-            raw = zstandard.ZstdDecompressor().decompress(self._at(int(self.offsets[f]), int(self.seek["packed"][f])))
+            raw = self.unpack(self._at(int(self.offsets[f]), int(self.seek["packed"][f])))
             if len(raw) != self.seek["size"][f] or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != self.seek["check"][f]:
                 raise ValueError(f"frame {f}: wrong checksum")
             parts.append(raw)

@@ -33,6 +33,14 @@ def test_added_tokens_equal_whole_text(text):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [direct(t) for t in ("plain words", text, "", "plain again")]
 
 
+def test_long_pieces_are_not_kept():
+    """Texts without spaces would fill the tables with whole texts."""
+    texts = ["漢字" * 5000, "word " + "x" * 5000, "word, word! naïve-word's ñandú", "ab" * 128 + " " + "é" * 256]
+    e = tf.Encoder(VOCABULARY, 2)
+    assert [np.frombuffer(g, "<u4").tolist() for g in e.encode(texts)] == [direct(t) for t in texts]
+    assert max(len(p) for table in (e.first, e.rest) for p in table) <= 256
+
+
 def test_write_and_read(spark, tmp_path):
     rows = [(5, "Some text here", "x"), (1, None, "x"), (3, "", "y"), (None, "no id", "z"), (9, "word " * 300_000, "x"), (5, "Some text here", "x"), (-2, "don't  stop \n", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
