@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,35 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialise
 
 CHUNK, FAN = 16_384, 64
+LONGEST = 256  # characters of a remembered word
 SPACE = "▁"
 NONE = float("-inf")
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 
 
+class Words(dict):
+    """Ids of words (without the space in front of them), learned as they are met.
+
+    At ``limit`` words these become the words before, which answer until the next turn.
+    Words of more than ``LONGEST`` characters are not kept.
+    """
+
+    def __init__(self, model: Model, limit: int = 250_000):
+        super().__init__()
+        self.model, self.limit, self.before = model, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.model.between(SPACE + word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 @dataclass
 class Model:
     """Pieces of a SentencePiece model in plain form."""
@@ -60,28 +85,36 @@ class Model:
         self.longest = max(map(len, self.score), default=1)
         self.by_words = not any(p[1] == SPACE != p[0] for p in self.pairs)  # no piece crosses into a space
         self.worst = min(self.score.values(), default=0.0) - 10
+        self.packed = {p: np.array([i], "<i4").tobytes() for p, i in self.ids.items()}
+        self._forget()
+
+    def _forget(self) -> None:
         self.links: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.cuts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # parts of words
+        self.words = Words(self)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("links", "known", "cuts")} | {"links": {}, "known": {}, "cuts": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("links", "known", "words")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
     def merged(self, text: str) -> list[str]:
         """Best-score, leftmost merges until none is left."""
         get, out = self.score.get, list(text)
-        rank = [get(a + b, NONE) for a, b in zip(out, out[1:], strict=False)]
+        rank = [get(two, NONE) for two in map(add, text, text[1:])]
         while rank:
             best = max(rank)
             if best == NONE:
                 break
             i = rank.index(best)
-            out[i] += out[i + 1]
-            del out[i + 1], rank[i]
+            out[i] = now = out[i] + out.pop(i + 1)
+            del rank[i]
             if i:
-                rank[i - 1] = get(out[i - 1] + out[i], NONE)
+                rank[i - 1] = get(out[i - 1] + now, NONE)
             if i < len(rank):
-                rank[i] = get(out[i] + out[i + 1], NONE)
+                rank[i] = get(now + out[i + 1], NONE)
         return out
 
     def best_path(self, text: str) -> list[str]:
@@ -125,7 +158,10 @@ class Model:
         return self.links[key]
 
     def id_bytes(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
+        try:
+            return b"".join(map(self.packed.__getitem__, pieces))
+        except KeyError:  # characters that are no piece
+            out: list[int] = []
         for p in pieces:
             if p in self.ids:
                 out.append(self.ids[p])
@@ -137,20 +173,27 @@ class Model:
 
     def between(self, text: str) -> bytes:
         """Ids of a text that starts and ends at borders no piece crosses."""
-        pairs, known, start, out = self.pairs, self.known, 0, []
-        for i in range(1, len(text) + 1):
-            if i == len(text) or text[i - 1 : i + 1] not in pairs:
-                part, start = text[start:i], i
-                if part not in known:
-                    if len(known) > 300_000:
-                        known.clear()
-                    got = self.id_bytes(self.merged(part) if self.merges else self.best_path(part))
-                    if len(part) > 256:
-                        out.append(got)
-                        continue
-                    known[part] = got
-                out.append(known[part])
-        return b"".join(out)
+        pairs = self.pairs
+        cuts = [i for i, two in enumerate(map(add, text, text[1:]), 1) if two not in pairs]
+        if not cuts:
+            return self._uncut(text)
+        return b"".join([self._part(text[i:j]) for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+
+    def _uncut(self, text: str) -> bytes:
+        return self.id_bytes(self.merged(text) if self.merges else self.best_path(text))
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part without such borders; a word is remembered once, whatever stands behind it."""
+        if part[0] == SPACE and SPACE not in part[1:]:
+            return self.words[part[1:]]
+        ids = self.known.get(part)
+        if ids is None:
+            ids = self._uncut(part)
+            if len(part) <= LONGEST:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                self.known[part] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, without chunks."""
@@ -163,23 +206,9 @@ class Model:
         if not self.by_words:
             return self.between(text)
         if SPACE + SPACE in text or text[-1:] == SPACE:
-            return b"".join(self.between(w) for w in _RUNS.findall(text))
+            return b"".join([self.words[w[1:]] if w[0] == SPACE != w[1:2] else self.between(w) for w in _RUNS.findall(text)])
         first, *words = text.split(SPACE)
-        if first:
-            return self.between(first) + self._words(words)
-        return self._words(words)
-
-    def _words(self, words: list[str]) -> bytes:
-        cuts = self.cuts
-        try:
-            return b"".join(map(cuts.__getitem__, words))
-        except KeyError:
-            if len(cuts) > 300_000:
-                cuts.clear()
-            for w in words:
-                if w not in cuts:
-                    cuts[w] = self.between(SPACE + w)
-            return b"".join(map(cuts.__getitem__, words))
+        return (self.between(first) if first else b"") + b"".join(map(self.words.__getitem__, words))
 
     def decode(self, ids, first: bool = True) -> str:
         out = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")

@@ -71,3 +71,15 @@ def test_digest_and_empty(spark, model):
     got = queries.encoded_digest(documents(spark, [(1, "one two"), (2, None)]), model).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_ids, r.n_chars) for r in got] == [(1, len(PLAIN.encode("one two")), 7), (2, 0, 0)]
     assert queries.encoded_digest(documents(spark, []), model).count() == 0
+
+
+def test_words_are_kept_once_and_long_ones_not():
+    m = scan.load(PATH)
+    rows = ["word, word. word!", "漢字" * 5000 + " " + "x" * 5000, "word " * 3 + "a" * 300]
+    assert [np.frombuffer(m.encode(t), "<i4").tolist() for t in rows] == [PLAIN.encode(t) for t in rows]
+    kept = [*m.words, *m.known]
+    assert max(map(len, kept)) <= 256 and not {scan.SPACE + "word"} & set(kept)
+    m.words.limit = 2
+    for t in ("a b c d e f a b", "b c, d a"):
+        assert np.frombuffer(m.encode(t), "<i4").tolist() == PLAIN.encode(t)
+    assert len(m.words) <= 2 and len(m.words.before) <= 2
