@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..rules import domain as D
-from .skew import first_per_key
+from .skew import first_per_key, spread_left_join
 
 
 def owned_by(df: DataFrame, user_id) -> DataFrame:
@@ -108,10 +108,10 @@ def pending_reviews(reviews: DataFrame, audit: DataFrame, n: int = 50) -> DataFr
 
 
 def invite_status(requests: DataFrame, invites: DataFrame, as_of: Column) -> DataFrame:
-    """unknown / used / expired / email_mismatch / valid, in this order."""
+    """unknown / used / expired / email_mismatch / valid, in this order; a token of many requests is spread over tasks."""
     known = invites.withColumn("_known", F.lit(True)).withColumnRenamed("email", "_invited")
     mismatch = (F.coalesce("_invited", F.lit("")) != "") & (F.col("_invited") != F.col("email"))
-    return requests.join(known, "token", "left").select(
+    return spread_left_join(requests, known, "token", F.col("request_id")).select(
         "request_id", "token",
         F.when(F.col("_known").isNull(), "unknown")
         .when(F.col("is_used"), "used")

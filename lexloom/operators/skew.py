@@ -80,6 +80,22 @@ def lookback_blocks(df: DataFrame, rank: str, lookback: int, block: int = 10_000
     )
 
 
+def spread_left_join(left: DataFrame, right: DataFrame, key: str, by: Column, most: int = 200_000) -> DataFrame:
+    """Left join on ``key`` that deals the left rows of a frequent key over several tasks.
+
+    Keys of more than ``most`` left rows are counted, null included, and stored; there are at most
+    rows / ``most`` of them. Their left rows fall into parts by a hash of ``by``, their right rows
+    are repeated for each part, so every left row meets the same right rows as before.
+    """
+    counts = left.groupBy(F.col(key).alias("_often")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    often = F.broadcast(materialise(counts.select("_often", F.ceil(F.col("_n") / most).cast("int").alias("_parts")), "frequent-keys"))
+    dealt = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).otherwise(0)
+    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    rows = left.join(often, F.col(key).eqNullSafe(F.col("_often")), "left").withColumn("_part", dealt).drop("_often", "_parts")
+    found = right.join(often, F.col(key) == F.col("_often"), "left").withColumn("_part", F.explode(copies)).drop("_often", "_parts")
+    return rows.join(found, [key, "_part"], "left").drop("_part")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list, n: int = 1, name: str = "_rn", keep: bool = False) -> DataFrame:
     """The first ``n`` rows per key.
 

@@ -323,3 +323,21 @@ def test_refreshed_mappings_follow_the_change(spark):
     got = sections.refresh_mappings(before, refs("keeps", "moves", "ends", "waits", "far"), refs("keeps", "moves", "ends", "waits", "far", "new", "new", "unknown"), vecs, now, now.where("chunk_id > 3"))
     assert sorted((r.old_section_ref, r.current_chunk_id, r.change) for r in got.collect()) == [
         ("ends", 3, "retracted"), ("keeps", 1, "kept"), ("moves", 4, "moved"), ("new", 1, "added"), ("waits", 5, "added")]
+
+
+def test_left_join_spreads_a_frequent_key(spark):
+    left = spark.createDataFrame([(i, -1 if i % 4 else i % 40) for i in range(8000)] + [(9000 + i, None) for i in range(3000)], "id long, k long")
+    right = spark.createDataFrame([(-1, "a"), (-1, "b"), (0, "c"), (4, "d"), (None, "e"), (77, "f")], "k long, v string")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = skew.spread_left_join(left, right, "k", F.col("id"), most=500)
+        rows = sorted(got.select("id", "k", "v").collect(), key=str)
+        tasks = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == sorted(left.join(right, "k", "left").select("id", "k", "v").collect(), key=str)
+    assert max(t["count"] for t in tasks) < 0.4 * len(rows)  # a plain join has 12,000 of the 17,000 rows in one task
