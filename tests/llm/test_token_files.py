@@ -41,6 +41,13 @@ def test_long_pieces_are_not_kept():
     assert max(len(p) for table in (e.first, e.rest) for p in table) <= 256
 
 
+def test_tables_turn_over():
+    e = tf.Encoder(VOCABULARY, 2, limit=6)
+    texts = ["a b c d, e\n f  g", "b c d e, f naïve", "  a  b", "d c b a 漢字 x", "", " "] * 3
+    assert [np.frombuffer(g, "<u4").tolist() for g in e.encode(texts)] == [direct(t) for t in texts]
+    assert len(e.first) + len(e.rest) <= 6
+
+
 def test_write_and_read(spark, tmp_path):
     rows = [(5, "Some text here", "x"), (1, None, "x"), (3, "", "y"), (None, "no id", "z"), (9, "word " * 300_000, "x"), (5, "Some text here", "x"), (-2, "don't  stop \n", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
