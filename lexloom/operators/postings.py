@@ -30,7 +30,7 @@ class WordIndex(KeptFolder):
         """Index rows whose key is not in the index yet (the first of equal keys); returns their number."""
         words = F.array_distinct(F.filter(F.coalesce(F.col(self.words), F.array().cast("array<string>")), lambda w: w.isNotNull()))
         new = rows.where(F.col(self.key).isNotNull()).select(
-            F.col(self.key).alias("key"), F.coalesce(F.col(self.scope), F.lit("")).alias("scope"), F.array_sort(words).alias("words"))
+            F.col(self.key).alias("key"), F.coalesce(F.col(self.scope), F.lit("")).alias("scope"), F.sort_array(words).alias("words"))
         new = one_per_key(new, ["key"], ["scope", F.xxhash64("words")])
         old = self.part("docs")
         if old is not None:
@@ -50,7 +50,7 @@ class WordIndex(KeptFolder):
             "key", "scope", size.alias("_n"), F.floor(F.log2(size + 1)).cast("int").alias("band"),
             F.pmod(F.xxhash64("key"), F.lit(-(-n // block))).cast("int").alias("shard"), "words").repartition(*block_of)
         blocks = sliced.select("key", "_n", *block_of, F.explode("words").alias("word")).groupBy("word", *block_of).agg(
-            F.array_sort(F.collect_list("key")).alias("keys"), F.count(F.lit(1)).alias("n"), F.max("_n").alias("top"))
+            F.sort_array(F.collect_list("key")).alias("keys"), F.count(F.lit(1)).alias("n"), F.max("_n").alias("top"))
         blocks = blocks.withColumn("bucket", _bucket("word")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "word")
         blocks.write.partitionBy("bucket").parquet(f"{folder}/postings")
         self.commit(name)
@@ -69,7 +69,8 @@ class WordIndex(KeptFolder):
         reach by them alone. Keys that hold nothing but the mark - 1 most frequent words stay below it, so
         these words' lists are not read; nor are blocks of rows with fewer words than the mark, nor, while
         the mark is 1 or less, more than the first ``fetch`` keys of the most frequent word (a key with
-        that word alone comes behind them). Keys that may reach the mark are then counted on their own words.
+        that word alone comes behind them). The counts over the lists that were read raise the mark; keys that
+        may still reach it with the lists left out are then counted on their own words.
         """
         postings, docs = self.part("postings"), self.part("docs")
         kinds = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in by)
@@ -99,7 +100,11 @@ class WordIndex(KeptFolder):
         mark = first.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= fetch, F.min("_part")).otherwise(0).alias("_mark"))
         marked = materialise(ranked.join(mark, by, "left").withColumn("_mark", F.coalesce("_mark", F.lit(0)).cast("int")), "marked")
         left_out = F.greatest(F.col("_mark") - 1, F.lit(1))
-        reach = met(marked.where(F.col("_from_top") > left_out), "_mark").where(F.col("_part") + F.greatest(F.col("_mark") - 1, F.lit(1)) >= F.col("_mark")).select(*by, "key")
+        reached = materialise(met(marked.where(F.col("_from_top") > left_out), "_mark").where(F.col("_part") + left_out >= F.col("_mark")).select(*by, "_mark", "key", "_part"), "reached")
+        # fetch keys have that many hits at least; from the numbers of keys by count, so no list of keys is sorted
+        most = Window.partitionBy(*by).orderBy(F.desc("_part"))
+        raised = reached.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(most)).where(F.col("_upto") >= fetch).groupBy(*by).agg(F.max("_part").alias("_raised"))
+        reach = reached.join(raised, by, "left").where(F.col("_part") + left_out >= F.coalesce("_raised", F.lit(0))).select(*by, "key")
         common = marked.where((F.col("_mark") <= 1) & (F.col("_from_top") == 1))
         heads = first_per_key(
             postings.join(common.select("bucket", "word").distinct(), ["bucket", "word"]).select("word", "scope", F.explode(F.slice("keys", 1, fetch)).alias("key")),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.relevance import court_overlap_score, court_query_tokens, score_text
 from ..functions.text import lit_or_col, strip
 from ..operators.postings import WordIndex
-from ..operators.ranking import merge_sources, words
+from ..operators.ranking import merge_sources
 from ..operators.skew import first_per_key, one_per_key
 from ..rules import domain as D
 from ..session import materialise, scratch_dir
@@ -34,16 +34,17 @@ def rank_decisions(cands: DataFrame, wanted: int = 5, group: str = "query_id", p
     for t, p in (pathway or {}).items():
         strict = strict | F.coalesce((F.col("topic") == t) & F.col("query_text").rlike(flags + p), F.lit(False))
     floor = F.when(strict, F.lit(float(min_pathway_score))).otherwise(F.lit(float(min_score)))
-    best = scored.withColumn(
-        "relevance_score", F.round(F.greatest(F.col("_text_score"), F.col("_court_score") * 0.85), 9)
-    ).where(F.col("relevance_score") >= floor)
+    score = F.round(F.greatest(F.col("_text_score"), F.col("_court_score") * 0.85), 9)
+    # the floor sits inside the expression, so that no pushed-down filter scores the text twice
+    best = scored.withColumn("relevance_score", F.explode(F.filter(F.array(score), lambda s: s >= floor)))
     kept = first_per_key(best, [group], [F.desc("relevance_score"), "pos"], wanted, "rank", keep=True)
     return kept.withColumn("relevance_score", F.round("relevance_score", 3)).drop("_asked", "_text_score", "_court_score")
 
 
 def search_words(c):
     """Distinct words of a text as the search sees them: lower case, without quotes, brackets, commas and full stops."""
-    return F.array_distinct(F.filter(F.transform(words(c), lambda w: F.regexp_replace(w, '["(),.]', "")), lambda w: w != ""))
+    bare = F.translate(F.lower(lit_or_col(c)), '"(),.', "")  # none of them is white space, so words end where they did
+    return F.array_distinct(F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != ""))
 
 
 def decision_index(decisions: DataFrame, path: str | None = None, text: str = "search_text") -> WordIndex:

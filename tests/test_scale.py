@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexloom.operators import crawl_state, ranking, sections, sessions, skew, vectors
+from lexloom.operators import crawl_state, postings, ranking, sections, sessions, skew, vectors
 from lexloom.operators.cells import CellIndex
 from lexloom.operators.chunking import case_pieces, law_pieces, pack_paragraphs
 from lexloom.operators.postings import WordIndex
 from lexloom.plans import court_search
+from lexloom.session import materialise
 
 
 def test_split_rank_equals_row_number(spark):
@@ -203,6 +204,31 @@ def test_word_index_against_all_pairs(spark, tmp_path, seed):
         assert got == _brute_search(rows, docs, fetch)
 
 
+def test_search_counts_few_keys_on_their_own_words(spark, tmp_path, monkeypatch):
+    """Keys that the lists already read leave behind are not counted again, though the rarest words set a low mark."""
+    docs = [(f"k{i:04d}", "a", [*[f"c{j}" for j in range(8) if i % (j + 2)], *(["rare"] if i % 12 == 0 else [])]) for i in range(1200)]
+    rows = [(1, ["rare", *[f"c{j}" for j in range(8)]], ["a"]), (2, ["c0", "c1"], ["a"])]
+    index = WordIndex(spark, str(tmp_path / "index"), "key", "scope")
+    index.append(spark.createDataFrame(docs, "key string, scope string, words array<string>"))
+    stored = {}
+
+    def kept(df, label):
+        stored[label] = materialise(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(postings, "materialise", kept)
+    asked = spark.createDataFrame(rows, "q long, words array<string>, scopes array<string>")
+    assert {(r.q, r.key, r.pos) for r in index.search(asked, ["q"], 4).collect()} == _brute_search(rows, docs, 4)
+    assert stored["candidates"].where("q = 1").count() < 800  # of 1,200
+
+
+def test_search_words_equal_words_stripped_one_by_one(spark):
+    texts = ['A "b" (c), d. e', ' "." \u2003x.y\u00a0(z) ', "", ".,", "ΑΣ. ΟΔΟΣ, İ", "a\n\tb\x85c", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    one_by_one = F.array_distinct(F.filter(F.transform(ranking.words("t"), lambda w: F.regexp_replace(w, '["(),.]', "")), lambda w: w != ""))
+    assert df.where(~court_search.search_words(F.col("t")).eqNullSafe(one_by_one)).count() == 0
+
+
 def test_an_append_that_dies_is_not_read(spark, tmp_path):
     index = WordIndex(spark, str(tmp_path / "index"), "key", "scope")
     rows = spark.createDataFrame([("k1", "a", ["x"])], "key string, scope string, words array<string>")
