@@ -23,7 +23,7 @@ from ..sources.decisions import parse_search_results
 from .corpus import DECISION_CTE, RESULT, plain
 from .registry import query
 from .text import RELEVANCE_RULES, _terms_sql, quoted, relevance_sql, rule_sql, strip_sql, tokens_sql
-from .views import check, view, views
+from .views import VIEWS, check, view, views
 
 
 def _topic(c="query_text"):
@@ -150,10 +150,17 @@ def over_dense(sql: str) -> str:
     return plain(REFS.replace("{", "«").replace("}", "»") + "dense as " + dense_sql() + ", " + CANDS + "," + bm25_ctes() + ", " + fused_ctes() + sql)
 
 
+def _passages_of(spark, sf, ids):
+    """The passages whose ``chunk_id`` is among ``ids``: the tables are cut down to them first, so that no other text moves."""
+    ids = materialise(ids.select(F.col("chunk_id").alias("_id")).distinct(), "wanted-ids")
+    e, d, corpus = views(spark, sf, "embeddings", "documents", "corpus")
+    return spark.sql(VIEWS["passages"], embeddings=e.join(ids, e["vec_id"] == ids["_id"], "left_semi"), documents=d.join(ids, d["doc_id"] == ids["_id"], "left_semi"), corpus=corpus)
+
+
 def _cands(spark, sf):
     questions, passages = views(spark, sf, "questions", "passages")
     dense = V.knn(questions, passages, 16)
-    rows = dense.join(passages.drop("embedding", "label"), "chunk_id").join(questions.select("query_id", "query_text"), "query_id")
+    rows = dense.join(_passages_of(spark, sf, dense).drop("embedding", "label"), "chunk_id").join(questions.select("query_id", "query_text"), "query_id")
     return materialise(rows, "candidates")
 
 
@@ -259,13 +266,20 @@ MAPS = f"""
              from near join passages using (chunk_id) where vector_score > 0.75)"""
 
 
+def _referring(spark, sf):
+    """Passages with the distinct references of their texts in place of the texts, which are read where they lie."""
+    e, d, corpus = views(spark, sf, "embeddings", "documents", "corpus")
+    found = d.withColumn("text", F.array_distinct(TO.section_refs("text", X.SECTION_REF)))
+    rows = spark.sql(VIEWS["passages"], embeddings=e, documents=found, corpus=corpus)
+    return materialise(rows.withColumnRenamed("text", "refs").withColumn("section", F.col("filename")).drop("label"), "chunks")
+
+
 def _mappings(spark, sf):
-    passages = view(spark, sf, "passages").withColumn("section", F.col("filename"))
+    passages = _referring(spark, sf)
     refs = SE.reference_list(passages, None, X.SECTION_REF)
     known = refs.where(F.col("ref").startswith("El")).select(F.col("ref").alias("old_section_ref"))
     new = SE.reference_list(passages, known, X.SECTION_REF)
-    first = passages.select("chunk_id", F.explode(F.array_distinct(TO.section_refs("text", X.SECTION_REF))).alias("ref")).groupBy("ref").agg(
-        F.min("chunk_id").alias("chunk_id"))
+    first = passages.select("chunk_id", F.explode("refs").alias("ref")).groupBy("ref").agg(F.min("chunk_id").alias("chunk_id"))
     vecs = first.join(passages.select("chunk_id", "embedding"), "chunk_id").select("ref", "embedding")
     return SE.map_sections(new, vecs, passages.where(F.col("doc_type") == "law"))
 
@@ -306,8 +320,7 @@ def _remap_sql():
 @query("remap_after_ingest", _remap_sql())
 def remap_after_ingest(spark, sf):
     """Mappings after a run that added and replaced law chunks, from those before it."""
-    passages = view(spark, sf, "passages").withColumn("section", F.col("filename"))
-    chunks = materialise(passages.withColumn("refs", F.array_distinct(TO.section_refs("text", X.SECTION_REF))).drop("text", "label"), "chunks")
+    chunks = _referring(spark, sf)
     found = chunks.select("chunk_id", "chunk_topic", F.explode("refs").alias("ref"))
     first = found.groupBy("ref").agg(F.min("chunk_id").alias("chunk_id"))
     vecs = materialise(first.join(chunks.select("chunk_id", "embedding"), "chunk_id").select("ref", "embedding"), "ref-vectors")
@@ -328,7 +341,10 @@ def remap_after_ingest(spark, sf):
     select query_id, chunk_id, hit and nth <= 2 as resolved, md5(case when hit and nth <= 2 then text || chr(10) || chr(10) || '[CURRENT EQUIVALENT OF ''' || ref || ''': '
            || current_section || ' (v1)]' || chr(10) || '[CURRENT POLICY TEXT: ' || left(now, 500) || '...]' else text end) as text_md5 from j"""))
 def resolve_section_refs(spark, sf):
-    out = SE.resolve_refs(_cands(spark, sf), _mappings(spark, sf), view(spark, sf, "passages"), pos="dense_pos", pattern=X.SECTION_REF)
+    cands, maps = _cands(spark, sf), materialise(_mappings(spark, sf), "mappings")
+    asked = cands.select(F.explode(TO.section_refs("text", X.SECTION_REF)).alias("old_section_ref"))
+    targets = maps.join(asked, "old_section_ref", "left_semi").select(F.col("current_chunk_id").alias("chunk_id"))
+    out = SE.resolve_refs(cands, maps, _passages_of(spark, sf, targets), pos="dense_pos", pattern=X.SECTION_REF)
     return out.select("query_id", "chunk_id", "resolved", F.md5("text").alias("text_md5"))
 
 

@@ -13,8 +13,9 @@ from .vectors import knn
 
 
 def reference_list(chunks: DataFrame, existing: DataFrame | None = None, pattern: str = D.SECTION_REF) -> DataFrame:
-    """Distinct references of all chunks that are not mapped yet."""
-    refs = chunks.select(F.explode(F.array_distinct(section_refs("text", pattern))).alias("ref")).distinct()
+    """Distinct references of all chunks that are not mapped yet; taken from a column ``refs`` (array of strings), if there is one, else from ``text``."""
+    found = F.col("refs") if "refs" in chunks.columns else section_refs("text", pattern)
+    refs = chunks.select(F.explode(F.array_distinct(found)).alias("ref")).distinct()
     if existing is None:
         return refs
     return refs.join(existing.select(F.col("old_section_ref").alias("ref")), "ref", "left_anti")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexloom.catalog import retrieval
 from lexloom.operators import crawl_state, postings, ranking, sections, sessions, skew, vectors
 from lexloom.operators.cells import CellIndex
 from lexloom.operators.chunking import case_pieces, law_pieces, pack_paragraphs
@@ -229,6 +230,21 @@ def test_search_words_equal_words_stripped_one_by_one(spark):
     assert df.where(~court_search.search_words(F.col("t")).eqNullSafe(one_by_one)).count() == 0
 
 
+def test_passages_are_cut_down_before_their_text_moves(spark):
+    """The passages of a few ids equal the view's, no exchange lies between a scan of texts and its cut, and references come without texts."""
+    sf = "/root/testdata/sf0.001"
+    whole = retrieval.view(spark, sf, "passages")
+    ids = whole.select("chunk_id").where("chunk_id % 7 = 0")
+    got = retrieval._passages_of(spark, sf, ids)
+    assert got.exceptAll(whole.where("chunk_id % 7 = 0")).count() == 0 and got.count() == ids.count() > 0
+    plan = got.select("text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2
+    chunks = retrieval._referring(spark, sf)
+    assert "text" not in chunks.columns
+    rows = lambda df: sorted(r.ref for r in df.collect())
+    assert rows(sections.reference_list(chunks)) == rows(sections.reference_list(whole, None, retrieval.X.SECTION_REF)) != []
+
+
 def test_an_append_that_dies_is_not_read(spark, tmp_path):
     index = WordIndex(spark, str(tmp_path / "index"), "key", "scope")
     rows = spark.createDataFrame([("k1", "a", ["x"])], "key string, scope string, words array<string>")
