@@ -580,9 +580,10 @@ def ingest_corpus(spark, sf):
     raw = spark.sql(REGISTER.replace("from documents", "from {documents}").replace("join part", "join {part}"), documents=documents, part=part)
     store = I.CorpusStore(spark, scratch_dir(spark, "corpus"))
     store.ingest(raw, "first", **INGEST_RULES)
-    chunks = store.chunks().drop("doc_type")
+    # hashed before the join, which then moves no text
+    chunks = store.chunks().drop("doc_type", "doc_version", "year_references").withColumn("text_md5", F.md5("text")).drop("text")
     docs = store.documents().select(
         "document_id", "filename", "doc_type", "version", "is_latest", "status", "error_message", "total_chunks", F.array_join("cited_sections", "|").alias("document_cited"))
-    return docs.join(chunks.drop("doc_version", "year_references"), "document_id", "left").select(
+    return docs.join(chunks, "document_id", "left").select(
         *docs.columns, "chunk_id", "chunk_index", "section", "clause", "block_type", "topic", "token_count",
-        F.array_join("cited_sections", "|").alias("cited_sections"), F.array_join("form_references", "|").alias("form_references"), F.md5("text").alias("text_md5"))
+        F.array_join("cited_sections", "|").alias("cited_sections"), F.array_join("form_references", "|").alias("form_references"), "text_md5")

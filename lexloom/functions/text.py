@@ -19,9 +19,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: what ``(?U)\s`` matches
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(lit_or_col(c), r"(?U)^\s+|\s+$", "")
+    """Trim every kind of white space, not only blanks; only the ends are compared, no pattern runs over the text."""
+    return F.btrim(lit_or_col(c).cast("string"), F.lit(WHITE))
 
 
 def any_match(c, patterns, flags: str = D.I) -> Column:

@@ -207,3 +207,17 @@ def test_court_topic(one):
 
     run = lambda q, t: one({"q": q, "t": t}, court_topic("q", "t"))
     assert run("Can an H-4 spouse file an I-765?", "h4") == "h4_ead" and run("H-4 extension", "h4") == "h4" and run("EAD", "f1") == "f1"
+
+
+def test_strip_takes_what_the_pattern_takes_and_runs_none(spark):
+    """Every code point of the basic plane at both ends and inside, against the pattern; no pattern is left in the plan."""
+    from pyspark.sql import functions as F
+
+    from lexloom.functions.text import strip
+
+    chars = spark.range(1, 65_536).where("id not between 55296 and 57343").select(F.expr("decode(unhex(concat(lpad(hex(id), 4, '0'))), 'UTF-16BE')").alias("c"))
+    fixed = spark.createDataFrame([(None,), ("",), (" \n",), ("a \r\n",), ("\u2028 a b\x85\xa0",), ("a\n\n",), ("\U0001f600 ",)], "t string")
+    texts = chars.select(F.concat("c", F.lit(" a"), "c", F.lit("b "), "c").alias("t")).unionByName(chars.select(F.concat(F.lit("a"), "c").alias("t"))).unionByName(fixed)
+    wrong = texts.where(~strip("t").eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", "")))
+    assert wrong.count() == 0 and texts.where("t <> ''").count() > 100_000
+    assert "regexp_replace" not in texts.select(strip("t"))._jdf.queryExecution().optimizedPlan().toString()
