@@ -243,6 +243,12 @@ def _unpacked(shared) -> np.ndarray:
     return _TABLES[key]
 
 
+def _forget() -> None:
+    """Give the worker's tables and freed memory back: the stages behind the scores read neither."""
+    _TABLES.clear()
+    release()
+
+
 class Mixer:
     """Gated weights over the contexts' logits, and the final correction table."""
 
@@ -380,6 +386,7 @@ def _answered(key, packed, scored):
     """Count and score of each packed word, for its bundle."""
     import pyarrow as pa
 
+    _forget()
     pack = zstandard.ZstdCompressor(level=1).compress
     row = {w: i for i, w in enumerate(scored["word"].to_pylist())}
     c, logs = scored["c"].to_numpy(), scored["logs"].combine_chunks().flatten().to_numpy().reshape(-1, CLASSES)
@@ -423,6 +430,7 @@ def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "t
     def total(key, left, right):
         import pyarrow as pa
 
+        _forget()
         base = lambda c: np.log10((c + 1) / space)
         pos, c = (np.concatenate([part(v) for v in right[n]]) for n, part in (("pos", lambda v: np.cumsum(_unpack(v, np.uint32), dtype=np.int64)), ("c", lambda v: _unpack(v, np.int64))))
         values = np.zeros((3, len(pos)))

@@ -156,3 +156,19 @@ def test_classes_of_a_bundle_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60_000_000  # 8 numbers a word for the whole bundle would be 115 MB and more
+
+
+def test_context_tables_leave_the_worker_after_the_scores():
+    import pyarrow as pa
+    import zstandard
+
+    from lexloom.llm import mixing_lm as M
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    packed = pa.table({"range": [0], "bundle": [7], "pos": [pack(np.array([0, 1], np.uint32).tobytes())], "words": [pack(b"a b")], "cls": [pack(bytes([1, 0]))]})
+    logs = np.arange(2.0 * M.CLASSES).reshape(2, -1)
+    scored = pa.table({"word": pa.array([b"b", b"a"], pa.binary()), "c": [3, 4], "logs": list(logs)})
+    M._TABLES[b"key"] = np.zeros((4, 2), np.uint16)
+    got = M._answered((pa.scalar(0),), packed, scored)
+    assert not M._TABLES
+    assert np.frombuffer(got["log"][0].as_py()).tolist() == [logs[1, 1], logs[0, 0]] and M._unpack(got["c"][0], np.int64).tolist() == [4, 3]
