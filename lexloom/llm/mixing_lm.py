@@ -26,43 +26,77 @@ empty text for its fold and is returned as null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, arrow_map, materialise, release, summed, words_of, xxmix
+from .common import arrow_map, materialise, release, summed, xxmix
 
 #: (bytes of context, -1 for the whole word so far; with the class or not), log2 of the table's slots
 CONTEXTS = ((0, True, 16), (1, True, 18), (2, False, 20), (2, True, 20), (3, True, 21), (4, False, 22), (6, False, 22), (-1, False, 22), (-1, True, 22))
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for _, _, b in CONTEXTS])])
 K, GATES, STEPS = len(CONTEXTS), (len(CONTEXTS) + 1) * 8, 32
 CLASSES, TAILS, BEFORE = 8, 1024, 4
-BUNDLE = 16_000_000  # bytes of text
+BUNDLE = 16_000_000  # characters of text
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def tails(words: list[bytes]) -> np.ndarray:
-    """Each word's ending: its last two bytes, hashed to TAILS."""
-    two = np.frombuffer(b"".join(w[-2:].rjust(2) for w in words), np.uint8).reshape(-1, 2).astype(np.uint64)
-    return (xxmix(two[:, 0] * np.uint64(256) + two[:, 1]) % np.uint64(TAILS)).astype(np.int64)
+def _flat(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts, A-Z lower-cased, one text's behind the other's; and how many each text has. Null: none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    words = lists.flatten().cast(pa.binary())
+    some = pc.binary_length(words).to_numpy() > 0  # white space at either end of a text leaves an empty word there
+    length = np.diff(np.concatenate([[0], np.cumsum(some)])[lists.offsets.to_numpy()])
+    return words if some.all() else words.filter(pa.array(some)), length
+
+
+def _slices(b: dict, room: Callable[[], int]) -> Iterator[dict]:
+    """Rows of a batch, up to the text that fills the ``room`` (in characters) there is at the time."""
+    ends = np.cumsum(pc.utf8_length(b["text"]).fill_null(0).to_numpy().astype(np.int64) + 8)
+    at = 0
+    while at < len(ends):
+        upto = min(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + room())) + 1, len(ends))
+        yield {n: v.slice(at, upto - at) for n, v in b.items()}
+        at = upto
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of words, one behind the other, and where each begins (one more: the end)."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def tails(words: pa.Array) -> np.ndarray:
+    """Each word's ending: its last two bytes (spaces stand before the word), hashed to TAILS."""
+    raw, offsets = _bytes_of(words)
+    padded, end = np.concatenate([np.full(2, 32, np.uint8), raw]), offsets[1:]
+    size = np.diff(offsets)
+    two = [np.where(size >= k, padded[end + 2 - k], 32).astype(np.int64) for k in (2, 1)]
+    return _TAIL_OF[two[0] * 256 + two[1]]
+
+
+_TAIL_OF = (xxmix(np.arange(65_536, dtype=np.uint64)) % np.uint64(TAILS)).astype(np.int64)
+SLICE = 2_000_000  # characters of text cut to words at a time
 
 
 def tail_pairs(docs: DataFrame) -> np.ndarray:
     """How often each two endings follow each other in training text: TAILS x TAILS."""
 
     def count(batches: Iterator[dict]) -> np.ndarray:
-        table, total = WordTable(tails), np.zeros(TAILS * TAILS)
+        total = np.zeros(TAILS * TAILS)
         for b in batches:
-            for h, t in zip(b["held"].to_pylist(), b["text"], strict=True):
-                words = [] if h else words_of(t.as_py())
-                if len(words) > 1:
-                    at = table.rows(words)
-                    v = table.values[at]
-                    np.add.at(total, v[:-1] * TAILS + v[1:], 1)
+            for part in _slices(b, lambda: SLICE):
+                words, length = _flat(part["text"].filter(pc.invert(part["held"])))
+                v, doc = tails(words), np.repeat(np.arange(len(length)), length)
+                np.add.at(total, (v[:-1] * TAILS + v[1:])[doc[:-1] == doc[1:]], 1)
         return total
 
     return summed(docs, count, TAILS * TAILS).reshape(TAILS, TAILS)
@@ -84,63 +118,81 @@ def classes_of(pairs: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.log(ends)
 
 
-def running_class(tail: np.ndarray, start: np.ndarray, ends: np.ndarray, block: int = 65_536) -> np.ndarray:
+def running_class(tail: np.ndarray, start: np.ndarray, ends: np.ndarray, block: int = 16_384) -> np.ndarray:
     """Class before each word from the ``BEFORE`` words ahead of it in its document; ``start``: words since the document's start.
 
     Works through ``block`` words at a time, as each takes CLASSES numbers.
     """
-    out = np.zeros(len(tail), np.int64)
+    out, by_class = np.zeros(len(tail), np.int64), np.ascontiguousarray(ends.T)
     for at in range(0, len(tail), block):
         lead = min(at, BEFORE)
         now = start[at : at + block]
-        own, total = ends[tail[at - lead : at + block]], np.zeros((len(now), CLASSES))
-        for k in range(1, BEFORE + 1):
-            skip = min(max(0, k - lead), len(now))  # no word lies so far ahead
-            total[skip:] += np.where(now[skip:, None] >= k, own[lead + skip - k : len(own) - k] if skip < len(now) else 0, 0)
-        out[at : at + block] = np.where(now > 0, total.argmax(axis=1), 0)
+        near = [now >= k for k in range(1, BEFORE + 1)]
+        best = np.full(len(now), -np.inf)
+        for z in range(CLASSES):
+            own, total = by_class[z].take(tail[at - lead : at + block]), np.zeros(len(now))
+            for k in range(1, BEFORE + 1):
+                skip = min(max(0, k - lead), len(now))  # no word lies so far ahead
+                if skip < len(now):
+                    total[skip:] += own[lead + skip - k : len(own) - k] * near[k - 1][skip:]
+            ahead = total > best
+            out[at : at + block][ahead] = z
+            np.maximum(best, total, out=best)
+        out[at : at + block][now == 0] = 0
     return out
 
 
+def _planed(ids: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed byte by byte of the numbers: the upper bytes, mostly 0, take little room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unplaned(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 class Bundler:
-    """Word numbers of documents until a bundle is full."""
+    """Documents and their words until a bundle is full."""
 
     def __init__(self):
-        self.words: dict[bytes, int] = {}
-        self.doc, self.held, self.ids, self.size = [], [], [], 0
-
-    def add(self, doc: int | None, held: bool, text: str | None) -> None:
-        words = words_of(text)
-        known = self.words
-        try:
-            ids = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = len(known)
-            ids = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-        self.doc.append(doc)
-        self.held.append(held)
-        self.ids.append(ids)
-        self.size += len(text or "") + 8
+        self.doc, self.held, self.length, self.words, self.size = [], [], [], [], 0
+
+    def add(self, part: dict) -> None:
+        words, length = _flat(part["text"])
+        self.doc.append(part["doc_id"])
+        self.held.append(part["held"])
+        self.length.append(length)
+        self.words.append(words)
+        self.size += len(length) * 8 + (pc.sum(pc.utf8_length(part["text"])).as_py() or 0)
 
     def row(self, key: int, ends: np.ndarray) -> dict:
-        length = np.array([len(i) for i in self.ids], np.int64)
-        ids, words = np.concatenate(self.ids).astype(np.int64), list(self.words)
-        begin = np.cumsum(length) - length
-        start = np.arange(len(ids)) - np.repeat(begin, length)
+        coded = pa.concat_arrays(self.words).dictionary_encode()
+        doc, held, length = pa.concat_arrays(self.doc), pa.concat_arrays(self.held), np.concatenate(self.length)
+        self.__init__()
+        ids, words = coded.indices.to_numpy().astype(np.int64), pa.concat_arrays([coded.dictionary, pa.array([b""], pa.binary())])
         # each document's end is a word of its own, with a class
-        size = np.array([len(w) + 1 for w in words] or [0])
-        n_bytes = np.bincount(np.repeat(np.arange(len(length)), length), weights=size[ids], minlength=len(length)).astype(np.int64) + 1
-        ids, start = np.insert(ids, begin + length, len(words)), np.insert(start, begin + length, length)
-        words.append(b"")
+        last = np.cumsum(length + 1) - 1
+        at = np.ones(len(ids) + len(length), bool)
+        at[last] = False
+        every = np.full(len(at), len(words) - 1, np.int64)
+        every[at] = ids
         length = length + 1
-        cls = running_class(tails(words)[ids], start, ends)
-        pair, ids = np.unique(ids * CLASSES + cls, return_inverse=True)
-        taught = np.repeat(~np.array(self.held, bool), length)
+        begin = last - length + 1
+        start = np.arange(len(every)) - np.repeat(begin, length)
+        size = np.concatenate([[0], np.cumsum((pc.binary_length(words).to_numpy().astype(np.int64) + 1)[every])])
+        n_bytes = size[last + 1] - size[begin]
+        cell = every * CLASSES + running_class(tails(words)[every], start, ends)
+        there = np.zeros(len(words) * CLASSES, bool)
+        there[cell] = True
+        pair = np.flatnonzero(there)
+        ids = (np.cumsum(there) - 1).take(cell)
+        taught = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), length)
         tf = np.bincount(ids[taught], minlength=len(pair))
+        one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v))
         return {
-            "bundle": [key], "doc": [self.doc], "held": [self.held], "length": [length], "bytes": [n_bytes], "ids": [ids.astype(np.uint32).tobytes()],
-            "words": [[words[w] for w in (pair // CLASSES).tolist()]], "cls": [pair % CLASSES], "tf": [tf],
+            "bundle": [key], "doc": one(doc), "held": one(held), "length": one(length), "bytes": one(n_bytes), "ids": [_planed(ids)],
+            "words": one(words.take(pa.array(pair // CLASSES))), "cls": one(pair % CLASSES), "tf": one(tf),
         }
 
 
@@ -152,8 +204,8 @@ def _bundles(docs: DataFrame, ends: np.ndarray) -> DataFrame:
 
         part, seq, now = TaskContext.get().partitionId(), 0, Bundler()
         for b in batches:
-            for d, h, t in zip(b["doc_id"].to_pylist(), b["held"].to_pylist(), b["text"], strict=True):
-                now.add(d, h, t.as_py())
+            for some in _slices(b, lambda: min(BUNDLE - now.size, SLICE)):
+                now.add(some)
                 if now.size >= BUNDLE:
                     yield now.row((part << 32) + seq, shared.value)
                     seq, now = seq + 1, Bundler()
@@ -164,23 +216,46 @@ def _bundles(docs: DataFrame, ends: np.ndarray) -> DataFrame:
     return arrow_map(docs, run, kind)
 
 
-def contexts(words: list[bytes], cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of each word: its slot in every table (rows: contexts; the tables lie one behind the other), the bit, and the word it belongs to."""
-    raw = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
-    length = np.array([len(w) + 1 for w in words])
+def paths(words: list[bytes], cls: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The words' bytes, each with a closing space, as paths of a tree by class.
+
+    Bytes that a word shares with the front of the word before it, in the same class,
+    have the same contexts: they are one node. Returns every byte, its word, its place
+    there, whether it opens a node, and its node; nodes are numbered in this order.
+    """
+    raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.cumsum(length) - length
     word = np.repeat(np.arange(len(words)), length)
     place = np.arange(len(raw)) - starts[word]
-    power = np.cumprod(np.full(int(length.max()) + 1, _M2, np.uint64), dtype=np.uint64)
+    shared = np.zeros(len(words), np.int64)  # bytes that may be those of the word before
+    shared[1:] = np.where(cls[1:] == cls[:-1], np.minimum(length[1:], length[:-1]), 0)
+    ahead = np.arange(len(raw)) - np.concatenate([[0], length[:-1]])[word]
+    same = (place < shared[word]) & (raw[np.maximum(ahead, 0)] == raw)
+    opens = place >= np.minimum.reduceat(np.where(same, len(raw), place), starts)[word]
+    # among bytes of one place, in order of words, the last one opened is a byte's node
+    order = np.argsort(place.astype(np.uint16) if length.max() < 65_536 else place, kind="stable")
+    last = np.maximum.accumulate(np.where(opens[order], np.arange(len(raw)), 0))
+    node = np.empty(len(raw), np.int64)
+    node[order] = (np.cumsum(opens) - 1)[order[last]]
+    return raw, word, place, opens, node
+
+
+def contexts(words: list[bytes], cls: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each bit of each node of the words (see ``paths``): its slot in every table (rows: contexts; the tables lie one behind the other) and the bit; for each byte its node and its word."""
+    every, word, place, opens, node = paths(words, cls)
+    raw = every.astype(np.uint64)
+    power = np.cumprod(np.full(int(place.max()) + 2, _M2, np.uint64), dtype=np.uint64)
     total = np.concatenate([[np.uint64(0)], np.cumsum((raw + np.uint64(1)) * power[place], dtype=np.uint64)])
-    sofar = (total[:-1] - total[starts][word]) ^ (place.astype(np.uint64) * _M1)
-    behind, h = [np.zeros(len(raw), np.uint64)], np.zeros(len(raw), np.uint64)
+    sofar = ((total[:-1] - total[np.flatnonzero(place == 0)][word]) ^ (place.astype(np.uint64) * _M1))[opens]
+    behind, h = [np.zeros(len(sofar), np.uint64)], np.zeros(len(raw), np.uint64)
     for n in range(1, 7):  # the last n bytes; a space stands before the word
         b = np.full(len(raw), 32, np.uint64)
         b[n:] = np.where(place[n:] >= n, raw[:-n], 32)
         h = (h + b + np.uint64(1)) * _M1
-        behind.append(h)
-    style = (cls.astype(np.uint64) + np.uint64(1))[word] * _M3
+        behind.append(h[opens])
+    style = (cls.astype(np.uint64) + np.uint64(1))[word[opens]] * _M3
+    raw = raw[opens]
     partial = ((np.uint64(256) | raw)[:, None] >> np.arange(8, 0, -1, dtype=np.uint64)).astype(np.int32)
     slots = np.empty((K, len(raw), 8), np.int32)
     for k, (order, classed, log2) in enumerate(CONTEXTS):
@@ -190,18 +265,36 @@ def contexts(words: list[bytes], cls: np.ndarray) -> tuple[np.ndarray, np.ndarra
         slots[k] &= np.int32((1 << log2) - 1)
         slots[k] += np.int32(OFFSETS[k])
     bits = ((raw[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return slots.reshape(K, -1), bits.ravel(), np.repeat(word, 8)
+    return slots.reshape(K, -1), bits.ravel(), node, word
+
 
+def _batches(b: dict, counts: str, size: int = 6_000, ordered: bool = False) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Words with their classes and counts (rows and classes where ``counts`` is not 0), about ``size`` bytes at a time, by class and word.
 
-def _batches(b: dict, counts: str, size: int = 6_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """Words with their classes and counts (rows and classes where ``counts`` is not 0), about ``size`` bytes at a time."""
-    words, table, at = b["word"].to_pylist(), np.array(b[counts].to_pylist(), np.int64).reshape(-1, CLASSES), 0
-    ends = np.cumsum([(len(w) + 1) * max(1, k) for w, k in zip(words, (table > 0).sum(axis=1).tolist(), strict=True)])
-    while at < len(words):
+    ``ordered``: over the whole batch, so that neighbours share much; else each part is a share of the batch as it lies.
+    """
+    words, table = b["word"].to_pylist(), b[counts].flatten().to_numpy().reshape(-1, CLASSES)
+    rank = np.empty(len(words), np.int64)
+    rank[pc.sort_indices(b["word"]).to_numpy()] = np.arange(len(words))
+    row, z = np.nonzero(table)
+    length = pc.binary_length(b["word"]).to_numpy().astype(np.int64) + 1
+    if ordered:
+        cells = np.lexsort((rank[row], z))
+        row, z = row[cells], z[cells]
+        ends, upto_of = np.cumsum(length[row]), np.arange(1, len(row) + 1)
+    else:
+        ends = np.cumsum(length * np.maximum((table > 0).sum(axis=1), 1))
+        upto_of = np.searchsorted(row, np.arange(len(words)), side="right")
+    at = 0
+    while at < len(ends):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
-        i, z = np.nonzero(table[at:upto])
+        part = slice(upto_of[at - 1] if at else 0, upto_of[upto - 1])
+        i, k = row[part], z[part]
+        if not ordered:
+            cells = np.lexsort((rank[i], k))
+            i, k = i[cells], k[cells]
         if len(i):
-            yield [words[k] for k in (at + i).tolist()], z, table[at + i, z], at + i
+            yield [words[j] for j in i.tolist()], k, table[i, k], i
         at = upto
 
 
@@ -211,9 +304,9 @@ def _tables(words: DataFrame, tasks: int) -> np.ndarray:
     def count(batches: Iterator[dict]) -> np.ndarray:
         total = np.zeros(2 * int(OFFSETS[-1]), np.float32)
         for b in batches:
-            for ws, z, c, _ in _batches(b, "taught"):
-                slots, bit, word = contexts(ws, z)
-                weight = c[word].astype(np.float32)
+            for ws, z, c, _ in _batches(b, "taught", 12_000, ordered=True):
+                slots, bit, node, word = contexts(ws, z)
+                weight = np.repeat(np.bincount(node, weights=c[word]), 8).astype(np.float32)
                 for k in range(K):
                     np.add.at(total, slots[k].astype(np.int64) * 2 + bit, weight)
         return total
@@ -260,21 +353,21 @@ class Mixer:
         self.total = 0.0
 
     def predict(self, words: list[bytes], cls: np.ndarray, without: int = 0) -> tuple[np.ndarray, ...]:
-        slots, bit, word = contexts(words, cls)
+        slots, bit, node, word = contexts(words, cls)
         x = np.empty((K + 1, len(bit)), np.float32)
-        depth = np.zeros(len(bit), np.int64)
+        depth = np.zeros(len(bit), np.uint8)
         own = (bit.astype(np.uint32) * np.uint32(65_535) + np.uint32(1)) * np.uint32(without)  # the token itself, counted in all its slots, is not yet known
         for k in range(K):
             n = self.tables.take(slots[k]) - own
-            depth += n > 0
+            depth += (n != 0).view(np.uint8)
             np.log(((n >> np.uint32(16)).astype(np.float32) + np.float32(0.3)) / ((n & np.uint32(65_535)).astype(np.float32) + np.float32(0.3)), out=x[k])
         x[K] = 1
-        gate = depth * 8 + np.tile(np.arange(8), len(bit) // 8)
-        weights, z = self.weights.astype(np.float32), np.zeros(len(bit), np.float32)
+        gate = depth * np.int64(8) + np.tile(np.arange(8), len(bit) // 8)
+        weights, z = np.ascontiguousarray(self.weights.T, np.float32), np.zeros(len(bit), np.float32)
         for k in range(K + 1):
-            z += x[k] * weights[:, k].take(gate)
+            z += x[k] * weights[k].take(gate)
         z = np.clip(z, -12, 12).astype(np.float64)
-        return x, gate, z, bit, word
+        return x, gate, z, bit, node, word
 
     def place(self, z: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Cell of the correction table: partial byte and step of the logit."""
@@ -286,8 +379,8 @@ class Mixer:
         return partial.ravel() * STEPS + step
 
     def learn(self, words: list[bytes], cls: np.ndarray, counts: np.ndarray, rate: float) -> None:
-        x, gate, z, bit, word = self.predict(words, cls, without=1)
-        c = counts[word].astype(np.float64)
+        x, gate, z, bit, node, word = self.predict(words, cls, without=1)
+        c = np.repeat(np.bincount(node, weights=counts[word]), 8)
         cell = self.place(z, bit)
         for v in (0, 1):
             self.seen[v] += np.bincount(cell[bit == v], weights=c[bit == v], minlength=256 * STEPS)
@@ -299,13 +392,14 @@ class Mixer:
 
     def logs(self, words: list[bytes], cls: np.ndarray) -> np.ndarray:
         """log10 probability of each word with its closing space."""
-        _, _, z, bit, word = self.predict(words, cls)
+        _, _, z, bit, node, word = self.predict(words, cls)
         p = 1 / (1 + np.exp(-z))
         cell = self.place(z, bit)
         n0, n1 = self.seen[0, cell], self.seen[1, cell]
         refined = (n1 + 20 * p) / (n0 + n1 + 20)
         p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-        return np.bincount(word, weights=np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(words))
+        each = np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+        return np.bincount(word, weights=each[node], minlength=len(words))
 
 
 def _mixer(words: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
@@ -340,15 +434,18 @@ def _packed_words(bundles: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            for key, ws, z, n in zip(b["bundle"].to_pylist(), b["words"], b["cls"], b["tf"], strict=True):
-                ws, z, n = ws.as_py(), np.array(z.as_py(), np.uint8), np.array(n.as_py(), np.uint32)
-                at = np.fromiter((xxhash.xxh3_64_intdigest(w) % ranges for w in ws), np.int64, len(ws))
+            for row, key in enumerate(b["bundle"].to_pylist()):
+                words, z, n = (b[name].slice(row, 1).flatten() for name in ("words", "cls", "tf"))
+                z, n = z.to_numpy().astype(np.uint8), n.to_numpy().astype(np.uint32)
+                at = np.fromiter((xxhash.xxh3_64_intdigest(w) % ranges for w in words.to_pylist()), np.int64, len(words))
                 order = np.argsort(at, kind="stable")
-                parts = np.split(order, np.flatnonzero(np.diff(at[order])) + 1)
+                bounds = np.concatenate([[0], np.flatnonzero(np.diff(at[order])) + 1, [len(order)]])
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.take(pa.array(order))), b" ")
+                parts = [order[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield {
                     "range": [int(at[i[0]]) for i in parts], "bundle": [key] * len(parts),
                     "pos": [pack(np.diff(i, prepend=0).astype(np.uint32).tobytes()) for i in parts],
-                    "words": [pack(b" ".join([ws[k] for k in i.tolist()])) for i in parts],
+                    "words": [pack(ws.as_buffer()) for ws in joined],
                     "cls": [pack(z[i].tobytes()) for i in parts], "tf": [pack(n[i].tobytes()) for i in parts],
                 }
 
@@ -359,40 +456,41 @@ def _unpack(blob, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), kind)
 
 
-def _split(blob) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(blob.as_py()).split(b" ")
+def _split(blobs) -> tuple[pa.Array, np.ndarray]:
+    """Words of packed rows, one row's behind the other's, and the rows' bounds among them."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    lists = pc.split_pattern(pa.array([unpack(blob.as_py()) for blob in blobs], pa.binary()), b" ")
+    return lists.flatten(), lists.offsets.to_numpy()
 
 
 def _counted(key, packed):
     """Words of a range over all bundles: how often taught and in how many bundles there, by class."""
-    import pyarrow as pa
-
-    known: dict[bytes, int] = {}
-    ids = [np.fromiter((known.setdefault(w, len(known)) for w in _split(ws)), np.int64) for ws in packed["words"]]
+    words, bounds = _split(packed["words"])
+    coded = words.dictionary_encode()
+    known, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     taught, there = np.zeros(len(known) * CLASSES, np.int64), np.zeros(len(known) * CLASSES, np.int64)
-    for i, z, n in zip(ids, packed["cls"], packed["tf"], strict=True):
-        cell = i * CLASSES + _unpack(z, np.uint8)
+    for at, end, z, n in zip(bounds[:-1], bounds[1:], packed["cls"], packed["tf"], strict=True):
+        cell = ids[at:end] * CLASSES + _unpack(z, np.uint8)
         np.add.at(taught, cell, _unpack(n, np.uint32).astype(np.int64))
         np.add.at(there, cell, 1)
     bounds = np.arange(0, len(taught) + 1, CLASSES, dtype=np.int32)
     release()  # of the group before
     return pa.table({
-        "range": np.full(len(known), key[0].as_py()), "word": pa.array(list(known), pa.binary()), "c": taught.reshape(-1, CLASSES).sum(axis=1),
+        "range": np.full(len(known), key[0].as_py()), "word": known, "c": taught.reshape(-1, CLASSES).sum(axis=1),
         "taught": pa.ListArray.from_arrays(bounds, taught), "there": pa.ListArray.from_arrays(bounds, there),
     })
 
 
 def _answered(key, packed, scored):
     """Count and score of each packed word, for its bundle."""
-    import pyarrow as pa
-
     _forget()
     pack = zstandard.ZstdCompressor(level=1).compress
-    row = {w: i for i, w in enumerate(scored["word"].to_pylist())}
+    words, bounds = _split(packed["words"])
+    row = pc.index_in(words, scored["word"].combine_chunks()).to_numpy().astype(np.int64)
     c, logs = scored["c"].to_numpy(), scored["logs"].combine_chunks().flatten().to_numpy().reshape(-1, CLASSES)
     counts, values = [], []
-    for ws, z in zip(packed["words"], packed["cls"], strict=True):
-        i = np.array([row[w] for w in _split(ws)], np.int64)
+    for at, end, z in zip(bounds[:-1], bounds[1:], packed["cls"], strict=True):
+        i = row[at:end]
         counts.append(pack(c[i].astype(np.int64).tobytes()))
         values.append(logs[i, _unpack(z, np.uint8)].tobytes())
     return pa.table({"part": packed["bundle"], "pos": packed["pos"], "c": pa.array(counts, pa.binary()), "log": pa.array(values, pa.binary())})
@@ -420,7 +518,7 @@ def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "t
         m.weights, m.seen = weights, observed
         for b in batches:
             logs = np.zeros((len(b["word"]), CLASSES))
-            for ws, z, _, i in _batches(b, "there"):
+            for ws, z, _, i in _batches(b, "there", 12_000, ordered=True):
                 logs[i, z] = m.logs(ws, z)
             yield {"range": b["range"], "word": b["word"], "c": b["c"], "logs": list(logs)}
 
@@ -428,8 +526,6 @@ def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "t
     space = tokens + known + 1
 
     def total(key, left, right):
-        import pyarrow as pa
-
         _forget()
         base = lambda c: np.log10((c + 1) / space)
         pos, c = (np.concatenate([part(v) for v in right[n]]) for n, part in (("pos", lambda v: np.cumsum(_unpack(v, np.uint32), dtype=np.int64)), ("c", lambda v: _unpack(v, np.int64))))
@@ -438,7 +534,7 @@ def score(docs: DataFrame, held_out: Column, doc: str = "doc_id", text: str = "t
         parts = []
         for i in range(left.num_rows):
             length = np.array(left["length"][i].as_py(), np.int64)
-            ids, n = np.frombuffer(left["ids"][i].as_py(), np.uint32), len(length)
+            ids, n = _unplaned(left["ids"][i].as_py()), len(length)
             own = np.repeat(np.arange(n), length)
             log, unigram, seen = (np.bincount(own, weights=v[ids], minlength=n) for v in values)
             size = np.array(left["bytes"][i].as_py())

@@ -172,3 +172,61 @@ def test_context_tables_leave_the_worker_after_the_scores():
     got = M._answered((pa.scalar(0),), packed, scored)
     assert not M._TABLES
     assert np.frombuffer(got["log"][0].as_py()).tolist() == [logs[1, 1], logs[0, 0]] and M._unpack(got["c"][0], np.int64).tolist() == [4, 3]
+
+
+def test_fronts_that_words_share_are_predicted_once():
+    rng = np.random.default_rng(4)
+    m = mixing_lm.Mixer(rng.integers(0, 60, (int(mixing_lm.OFFSETS[-1]), 2)).astype(np.uint16))
+    m.weights[:, :-1] = rng.normal(0.2, 0.1, (mixing_lm.GATES, mixing_lm.K))
+    m.seen[:] = rng.integers(0, 9, m.seen.shape)
+    words = [b"", b"un", b"under", b"under", b"undo", b"v" * 70_000, b"v" * 70_001, b"under", b"", b"a", b"undo"]
+    cls = np.array([0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1])
+    alone = [m.logs([w], cls[i : i + 1])[0] for i, w in enumerate(words)]
+    assert m.logs(words, cls) == pytest.approx(alone, rel=1e-12)
+    n_bytes = sum(len(w) + 1 for w in words)
+    # 1 + 3 + 4 + 0 + 2 + 70,001 + 2 bytes of the first class, 6 + 1 + 2 + 5 of the other
+    assert mixing_lm.contexts(words, cls)[0].shape == (mixing_lm.K, 8 * 70_027) and n_bytes > 140_000
+    counts = rng.integers(1, 9, len(words))
+    before = m.seen.sum()
+    m.learn(words, cls, counts, 0.1)
+    assert m.seen.sum() - before == 8 * sum(c * (len(w) + 1) for c, w in zip(counts.tolist(), words, strict=True))
+
+
+def test_parts_of_a_batch_hold_every_counted_class_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    words = [w.encode() for w in sorted({sentence(random.Random(i), 1) + str(i % 7) for i in range(200)}, key=lambda w: w[::-1])]
+    table = rng.integers(0, 3, (len(words), mixing_lm.CLASSES)) * rng.integers(0, 2, (len(words), 1))
+    b = {"word": pa.array(words, pa.binary()), "taught": pa.array(list(table))}
+    for ordered in (False, True):
+        got = Counter()
+        for ws, z, c, i in mixing_lm._batches(b, "taught", 300, ordered=ordered):
+            assert ws == [words[k] for k in i.tolist()] and list(zip(z.tolist(), ws, strict=True)) == sorted(zip(z.tolist(), ws, strict=True))
+            got.update({(w, k): n for w, k, n in zip(ws, z.tolist(), c.tolist(), strict=True)})
+        assert got == Counter({(w, k): int(table[i, k]) for i, w in enumerate(words) for k in range(mixing_lm.CLASSES) if table[i, k]})
+
+
+def test_words_of_whole_batches():
+    import pyarrow as pa
+
+    from lexloom.llm.common import words_of
+
+    texts = ["Ab  c\x0b\x0cD", None, "", " \t\r\n", "É x\x1cy İI\u0085 z ", "one", "\nLast\t", "x" * 70_000]
+    for part in (texts, [], [None], [""], [" a"]):
+        words, length = mixing_lm._flat(pa.array(part, pa.string()))
+        assert words.to_pylist() == [w for t in part for w in words_of(t)] and length.tolist() == [len(words_of(t)) for t in part]
+        assert len(mixing_lm.tails(words)) == len(words)
+    words = pa.array([b"a", b"", b"ab", b"b", b"xab", b"\xc3\xa9", b"ab"], pa.binary())
+    ends = mixing_lm.tails(words)
+    assert ends[2] == ends[4] == ends[6] != ends[3] and mixing_lm.tails(words[2:5]).tolist() == ends[2:5].tolist()
+    parts = list(mixing_lm._slices({"text": pa.array(texts)}, lambda: 10))
+    assert [t for p in parts for t in p["text"].to_pylist()] == texts and len(parts) > 3
+
+
+def test_word_numbers_travel_by_byte_and_small():
+    ids = np.random.default_rng(3).geometric(0.001, 50_000).astype(np.uint32)
+    ids[7] = 4_000_000_000
+    blob = mixing_lm._planed(ids)
+    assert mixing_lm._unplaned(blob).tolist() == ids.tolist() and len(blob) < 0.5 * ids.nbytes
+    assert mixing_lm._unplaned(mixing_lm._planed(ids[:0])).tolist() == []
