@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import materialise, scratch_base, ship_package
 
-__all__ = ["WordTable", "arrow_map", "documents", "materialise", "release", "remainder", "summed", "words_of", "with_checkpoint_dir", "xxmix"]
+__all__ = ["WordTable", "arrays_of", "arrow_map", "documents", "materialise", "release", "remainder", "summed", "words_of", "with_checkpoint_dir", "xxmix"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,17 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
     return df.mapInArrow(run, schema)
 
 
+def arrays_of(df: DataFrame, kinds: dict[str, str]) -> dict[str, np.ndarray]:
+    """Number columns of a bounded table in the driver, by their type there; they travel as bytes, not as rows of objects."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {c: [b[c].to_numpy(zero_copy_only=False).astype(kind).tobytes()] for c, kind in kinds.items()}
+
+    rows = arrow_map(df.select(*kinds), run, ", ".join(f"{c} binary" for c in kinds)).collect()
+    return {c: np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in kinds.items()}
+
+
 def summed(df: DataFrame, per_task: Callable[[Iterator[dict]], np.ndarray], size: int, slice_size: int = 1 << 16, finish: Callable[[np.ndarray], np.ndarray] = lambda v: v, kind_of: str = "f8", planes: bool = False) -> np.ndarray:
     """Sum of one vector of ``size`` counts per task.
 

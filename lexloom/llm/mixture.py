@@ -7,8 +7,9 @@ from its cell's weight: ``min(1, s * weight)`` with the scale s that makes the e
 number of tokens the budget, cells that reach 1 giving their surplus to the others. A
 document is taken when a number between 0 and 1 derived from its id is below it.
 
-All of it are DataFrame functions. The cell table is joined by broadcast up to
-``BROADCAST_CELLS`` cells, and by a salted join beyond.
+All of it are DataFrame functions. Up to ``BROADCAST_CELLS`` cells the cell table is joined
+by broadcast and fitted in one partition, since a shuffle for every dimension and round
+costs more than its rows; beyond, it is joined by a salted join and fitted by shuffles.
 
 Defined cases: null dimension values form the value "unknown"; documents without words
 have 0 tokens and their cell's probability (cells without tokens: the rate); values
@@ -60,8 +61,15 @@ def _number(df: DataFrame, aggregate: Column) -> float | None:
     return df.agg(aggregate.cast("double")).first()[0]
 
 
+def _together(cells: DataFrame, few: bool) -> DataFrame:
+    """A small cell table in one partition, where its sums, joins and windows need no shuffle."""
+    return cells.coalesce(1) if few else cells
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 20) -> DataFrame:
     """Adds ``w``: each cell's share of all token weight after ``rounds`` of fitting."""
+    few = cells.count() <= BROADCAST_CELLS
+    cells = _together(cells, few)
     now = cells.withColumn("w", F.col("tokens") / F.lit(max(_number(cells, F.sum("tokens")) or 0.0, 1.0)))
     for d in DIMS:
         now = now.join(targets[d].select(d, F.col("share").alias(f"_{d}")), d, "left")
@@ -69,13 +77,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 20) -> D
         now = now.withColumn(f"_{d}", F.coalesce(f"_{d}", F.sum("w").over(Window.partitionBy(d))))
         sums = now.groupBy(d).agg(F.first(f"_{d}").alias("s"), F.sum("w").alias("n"))
         now = now.withColumn(f"_{d}", F.col(f"_{d}") / F.lit(_number(sums, F.sum(F.when(F.col("n") > 0, F.col("s")))) or 1.0))
-    now = materialise(now, "cells")
+    now = _together(materialise(now, "cells"), few)
     for i in range(rounds):
         for d in DIMS:
             own = F.sum("w").over(Window.partitionBy(d))
             now = now.withColumn("w", F.when(own > 0, F.col("w") * F.col(f"_{d}") / own).otherwise(0.0))
         if i % 4 == 3 or i == rounds - 1:
-            now = materialise(now, "raked")
+            now = _together(materialise(now, "raked"), few)
     return now.drop(*[f"_{d}" for d in DIMS])
 
 
@@ -96,6 +104,7 @@ def fit(docs: DataFrame, rate: float, alpha: float = 0.5, rounds: int = 20, targ
     """Stored (per document: doc_id, dimensions, tokens) and (per cell: weight, probability)."""
     narrow = materialise(_dims(docs.select("doc_id", "source", "lang", topic(F.coalesce(F.col(text), F.lit(""))).alias("topic"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))), "documents")
     cells = materialise(narrow.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "cells")
+    cells = _together(cells, cells.count() <= BROADCAST_CELLS)
     given = targets_of(cells, alpha) | (targets or {})
     return narrow, materialise(probabilities(rake(cells, given, rounds), rate), "probabilities")
 

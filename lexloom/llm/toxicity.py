@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, arrow_map, words_of
+from .common import WordTable, arrays_of, arrow_map, release, words_of
 from .textfeatures import first_by_hash, grams, labelled, texts_of
 
 SIZES = (4, 5)
@@ -108,19 +108,36 @@ def _count(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total.any(axis=0))
         yield {"slot": at, "n0": total[0, at], "n1": total[1, at]}
 
-    rows = arrow_map(texts, run, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    out = np.zeros((2, SLOTS + 1), np.int64)  # at most SLOTS + 1 rows
-    out[:, rows["slot"]] = rows[["n0", "n1"]].to_numpy().T
+    rows = arrow_map(texts, run, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    got = arrays_of(rows, {"slot": "<i4", "n0": "<i8", "n1": "<i8"})  # at most SLOTS + 1 rows
+    out = np.zeros((2, SLOTS + 1), np.int64)
+    out[:, got["slot"]] = got["n0"], got["n1"]
     return out
 
 
+class _Rows:
+    """Dense rows of some documents' features, in one buffer that each step clears and fills anew."""
+
+    def __init__(self, shown: list[np.ndarray], n_features: int, most: int):
+        self.length = np.array([len(f) for f in shown], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.features = np.concatenate(shown, dtype=np.int32) if len(shown) else np.zeros(0, np.int32)
+        self.x, self.set = np.zeros((most, n_features)), (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def of(self, docs: np.ndarray) -> np.ndarray:
+        self.x[self.set] = 0
+        n = self.length[docs]
+        row = np.repeat(np.arange(len(docs)), n)
+        self.set = row, self.features[np.arange(len(row)) + np.repeat(self.start[docs] - (np.cumsum(n) - n), n)]
+        self.x[self.set] = 1
+        return self.x[: len(docs)]
+
+
 def train(shown: list[np.ndarray], label: np.ndarray, n_features: int, prior: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of the members; ``shown`` has each document's features."""
     rng = np.random.default_rng(s.seed)
-    x = np.zeros((len(shown), n_features), np.float32)
-    for i, f in enumerate(shown):
-        x[i, f] = 1
     pos, unl = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    some_pos, some_unl = (_Rows(shown, n_features, min(len(k), most)) for k, most in ((pos, 512), (unl, s.batch)))
     weights, biases = np.zeros((s.members, n_features)), np.zeros(s.members)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for m in range(s.members):
@@ -129,7 +146,7 @@ def train(shown: list[np.ndarray], label: np.ndarray, n_features: int, prior: fl
         for step in range(s.steps):
             rate, part = s.rate * (1 - step / s.steps), rng.choice(own, min(len(own), s.batch), replace=False)
             p = rng.choice(pos, min(len(pos), 512), replace=False)
-            xp, xu = x[p], x[part]
+            xp, xu = some_pos.of(p), some_unl.of(part)
             gp, gu = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
             negative = gu.mean() - prior * gp.mean()
             dp, du = gp * (1 - gp) / len(p), gu * (1 - gu) / len(part)
@@ -174,12 +191,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         seen = Presence(slots)
         for b in batches:
-            yield {"label": b["label"], "shown": [seen.of(t) for t in b["text"].to_pylist()]}
-
-    rows = arrow_map(sample, run, "label int, shown array<long>").toPandas()  # bounded by the sample
-    order = np.lexsort([[len(x) for x in rows["shown"]], [int(np.sum(x)) for x in rows["shown"]], rows["label"]])
-    shown = [np.asarray(rows["shown"].iloc[i], np.int64) for i in order]
-    weights, bias = train(shown, rows["label"].to_numpy()[order], len(slots), prior, s)
+            yield {"label": b["label"], "shown": [seen.of(t).astype("<i4").tobytes() for t in b["text"].to_pylist()]}
+
+    rows = arrow_map(sample, run, "label int, shown binary").collect()  # bounded by the sample
+    label_, shown = np.array([r.label for r in rows]), [np.frombuffer(r.shown, "<i4") for r in rows]
+    del rows
+    order = np.lexsort([[len(x) for x in shown], [int(x.sum(dtype=np.int64)) for x in shown], label_])
+    weights, bias = train([shown[i] for i in order], label_[order], len(slots), prior, s)
+    del shown
+    release()  # the driver goes on with other work
     return Model(slots, weights, bias, prior)
 
 

@@ -49,3 +49,23 @@ def test_cases(spark, monkeypatch):
     assert mixture.mix(documents(spark, []), 0.5).count() == 0
     assert mixture.mix(documents(spark, [(1, None), (2, " ")]), 0.5).count() == 2
     assert mixture.mix(docs, 1.0).where("probability < 0.999999").count() == 0
+
+
+def test_few_cells_are_fitted_without_a_shuffle(spark, monkeypatch):
+    rows = [(f"s{i % 5}", f"l{i % 3}", f"t{i % 2}", 10 + 7 * i) for i in range(30)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy(*mixture.DIMS).agg(F.sum("tokens").alias("tokens"))
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+
+    def fitted(name):
+        table = mixture.materialise(cells.repartition(8), name)
+        sc.setJobGroup(name, "")
+        got = {tuple(r[d] for d in mixture.DIMS): r.w for r in mixture.rake(table, mixture.targets_of(table, 0.5), 8).collect()}
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+        return got, len(stages)
+
+    got, stages = fitted("together")
+    monkeypatch.setattr(mixture, "BROADCAST_CELLS", 0)
+    spread, many = fitted("spread")
+    assert got == pytest.approx(spread, rel=1e-12) and len(got) == 30
+    assert stages < 60 < many, (stages, many)

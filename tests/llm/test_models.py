@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ from helpers import documents, sentence
 from pyspark.sql import functions as F
 
 from lexloom.llm import mixing_lm, quality, toxicity
-from lexloom.llm.common import remainder
+from lexloom.llm.common import arrays_of, remainder
 
 BAD = ["vilefool", "nastyrat", "dumbox"]
 
@@ -42,6 +43,33 @@ def split(score, truth, rows):
     return [s for d, s in got.items() if truth[d]], [s for d, s in got.items() if not truth[d]]
 
 
+def test_toxicity_trains_without_a_dense_sample():
+    rng = np.random.default_rng(1)
+    shown = [np.unique(rng.integers(0, 4096, rng.integers(0, 40))) for _ in range(3_000)]
+    label = (np.arange(3_000) % 30 == 0).astype(np.int64)
+    s = toxicity.Settings(members=2, steps=20, batch=64)
+    tracemalloc.start()
+    w, b = toxicity.train(shown, label, 4096, 0.1, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert w.shape == (2, 4096) and np.isfinite(w).all() and np.isfinite(b).all() and w.any()
+    assert peak < 20e6, peak  # the dense sample alone has 49 MB
+    rows, dense = toxicity._Rows(shown, 4096, 8), np.zeros((3_000, 4096))
+    for i, f in enumerate(shown):
+        dense[i, f] = 1
+    for _ in range(5):
+        docs = rng.choice(3_000, rng.integers(1, 9), replace=False)
+        assert (rows.of(docs) == dense[docs]).all()
+
+
+def test_arrays_of(spark):
+    df = spark.range(1_000, numPartitions=7).selectExpr("cast(id as int) as a", "id * 5000000000 as b", "'x' as c")
+    got = arrays_of(df, {"a": "<i4", "b": "<i8"})
+    order = np.argsort(got["a"])
+    assert (got["a"][order] == np.arange(1_000)).all() and (got["b"][order] == np.arange(1_000) * 5_000_000_000).all()
+    assert {c: len(v) for c, v in arrays_of(df.where("a < 0"), {"a": "<i4"}).items()} == {"a": 0}
+
+
 def test_toxicity(spark):
     rows, toxic, junk = corpus()
     docs = documents(spark, rows)
